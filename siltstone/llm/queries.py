@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import classifier, language, licenses, mixing, neighbours, packing, quality, secrets
+from siltstone.llm import classifier, language, licenses, mixing, neighbours, packing, quality, secrets, shingles
 from siltstone.session import read_table
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": _docs(packing.op2),
     "op3_fertility_rules": _docs(quality.op3),
     "op4_entropy_balancing": _docs(mixing.op4),
+    "op5_parity_sketch_join": _docs(shingles.op5),
     "op6_permutation_index": lambda spark, sf_dir: neighbours.op6(read_table(spark, sf_dir, "embeddings")),
     "op7_byte_network": _docs(language.op7),
     "op8_license_dice": _docs(licenses.op8),
