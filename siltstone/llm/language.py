@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm._cluster import crc_mod
-from siltstone.llm._words import plain, slices
+from siltstone.llm._words import slices
+from siltstone.llm.repeats import utf8
 
 HIDDEN, WINDOW = 8, 64
 #: Documents of each language that the fit reads at most, chosen by a hash of their id.
@@ -76,7 +77,7 @@ class Network:
 
     def pooled(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Mean probabilities (n, L) of each text over its bytes, and bytes given to each language (n, L)."""
-        data, bounds = _bytes(texts)
+        data, bounds = utf8(texts)
         size = np.diff(bounds)
         per = -(-size // WINDOW)
         text = np.repeat(np.arange(len(size)), per)
@@ -124,16 +125,6 @@ class Network:
         return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All UTF-8 bytes of the texts one after the other, and boundaries (n + 1)."""
-    x = plain(texts).cast(pa.large_binary())
-    bounds = np.frombuffer(x.buffers()[1], np.int64, len(x) + 1, x.offset * 8)
-    if x.buffers()[2] is None:
-        return np.zeros(0, np.uint8), np.zeros(len(x) + 1, np.int64)
-    data = np.frombuffer(x.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
-    return data, bounds - bounds[0]
-
-
 def _forward(windows: np.ndarray, table: np.ndarray, u_mat: np.ndarray) -> list[tuple]:
     n, steps = windows.shape
     size = u_mat.shape[0]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import classifier, language, licenses, mixing, neighbours, packing, quality, secrets, shingles
+from siltstone.llm import classifier, language, licenses, mixing, neighbours, packing, quality, repeats, secrets, shingles
 from siltstone.session import read_table
 
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_permutation_index": lambda spark, sf_dir: neighbours.op6(read_table(spark, sf_dir, "embeddings")),
     "op7_byte_network": _docs(language.op7),
     "op8_license_dice": _docs(licenses.op8),
+    "op9_suffix_dedup": _docs(repeats.op9),
     "op10_ngram_regression": lambda spark, sf_dir: classifier.op10(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
 }
 
