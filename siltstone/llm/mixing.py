@@ -175,6 +175,16 @@ def mix(
     return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs`, each as often as mix() has copies of it; those with none go.
+
+    All columns pass through. Rows that share an id get the copies of the one with most.
+    """
+    copies = mix(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("__of")).agg(F.max("copies").alias("__copies")).where(F.col("__copies") > 0)
+    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("__of")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+
+
 def op4(docs: DataFrame) -> DataFrame:
     """The contract's columns of mix() over `documents`."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -240,6 +240,26 @@ def link_clusters(members: DataFrame, width: int, percent: int) -> DataFrame:
     return grouped.groupBy("group", "large").applyInArrow(compare, "a long, b long")
 
 
+def _solve(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of (id, th, text): its kept sketches, and (n, h1, h2, node, first, component) of each class.
+
+    `first` is (no id, id, uid) of the class's first row, `component` a node's number.
+    """
+    base = keep(sketches(rows, width, percent).withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
+    classes = keep(base.where(F.col("n") > 0).groupBy("n", "h1", "h2").agg(F.min("uid").alias("node"), F.min(place).alias("first")), "classes")
+    first = base.join(classes.select("node"), F.col("uid") == F.col("node")).select("node", "keys")
+    clusters = components(equal_keys(first.select(F.explode("keys").alias("key"), "node")))
+    at = base.join(clusters, F.col("uid") == F.col("node")).select(F.col("id").alias("of"), F.col("th").alias("text_hash"), "node", F.col("component").alias("cluster"))
+    members = rows.join(at, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("text_hash"))).select("cluster", "node", "text")
+    linked = components(link_clusters(members, width, percent))
+    return base, classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id.
 
@@ -250,22 +270,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     class, compared once; ids may repeat. A null id is no least id: a component has the least of
     its other ids, or null. An empty table gives an empty result. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    base = keep(sketches(rows, width, percent).withColumn("uid", F.monotonically_increasing_id()), "sketches")
-    classes = keep(base.where(F.col("n") > 0).groupBy("n", "h1", "h2").agg(F.min("uid").alias("node"), F.min("id").alias("least")), "classes")
-    first = base.join(classes.select("node"), F.col("uid") == F.col("node")).select("node", "keys")
-    clusters = components(equal_keys(first.select(F.explode("keys").alias("key"), "node")))
-    at = base.join(clusters, F.col("uid") == F.col("node")).select(F.col("id").alias("of"), F.col("th").alias("text_hash"), "node", F.col("component").alias("cluster"))
-    members = rows.join(at, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("text_hash"))).select("cluster", "node", "text")
-    links = link_clusters(members, width, percent)
-    linked = components(links)
-    joined = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = joined.join(least, "component").select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "component_id")
+    base, classes = _solve(_rows(docs, id_col, text_col), width, percent)
+    least = classes.groupBy("component").agg(F.min("first.id").alias("component_id"))
+    known = classes.join(least, "component").select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "component_id")
     out = base.join(known, (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` less all but one of each component of jaccard_components().
+
+    The row of the least id stays (a null id counts as greatest; of repeated rows one stays).
+    Rows with an empty set all stay. All columns pass through.
+    """
+    base, classes = _solve(_rows(docs, id_col, text_col), width, percent)
+    firsts = classes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("keeper"))
+    staying = base.where(F.col("n") > 0).join(firsts, F.col("uid") == F.col("keeper")).select(F.xxhash64("id").alias("__i"), F.col("th").alias("__t"), F.lit(True).alias("__once"))
+    blank = base.where(F.col("n") == 0).select(F.xxhash64("id").alias("__i"), F.col("th").alias("__t"), F.lit(False).alias("__once")).distinct()
+    tagged = docs.withColumns({"__id": F.xxhash64(F.col(id_col)), "__th": F.xxhash64(F.col(text_col))})
+    kept = tagged.join(staying.union(blank), (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__t")))
+    # repeated rows meet in the join's partitions, so the count below moves nothing
+    nth = F.row_number().over(Window.partitionBy("__id", "__th").orderBy(F.lit(0)))
+    return kept.withColumn("__nth", nth).where(~F.col("__once") | (F.col("__nth") == 1)).select(*docs.columns)
+
+
 def op5(docs: DataFrame) -> DataFrame:
     """The contract's join: 3-word shingles, Jaccard of 0.9 or more."""
     return jaccard_components(docs, width=3, percent=90)
