@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm._cluster import keep, n_buckets, ranked
 from siltstone.llm._pieces import public_path, word_bpe
@@ -172,7 +173,7 @@ def pack(pieces: DataFrame, order: tuple[str, ...] = ("doc_id", "piece"), length
     return placed.select(*rows.columns, "__place.sequence_id", "__place.offset")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def ids_crc32(ids: pd.Series) -> pd.Series:
     """crc32 of the ids as little-endian unsigned 32-bit numbers."""
     return pd.Series([zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in ids], dtype="int64")
