@@ -20,7 +20,7 @@ def plain(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts, "")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of the batch of about `most` bytes of text at most, or of a single row."""
     if batch.num_rows == 0:
         return

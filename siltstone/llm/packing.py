@@ -10,7 +10,6 @@ each document finds its place from its rank among the documents of its length.
 from __future__ import annotations
 
 import bisect
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +29,9 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most `capacity` ids: id_col, piece, start, length, ids array<int>.
+    """Pieces of at most `capacity` ids: id_col, piece, start, length, ids.
 
+    `ids` is binary, each id as a little-endian unsigned 32-bit number; unpack_ids() lists them.
     A document's ids end with `end_id`; only documents longer than `capacity` are cut. A null
     or empty text is the end id alone; repeated rows give their pieces again; a null id stays
     null. `vocabulary` is a tokenizer file on the workers (default: the public word BPE).
@@ -41,13 +41,13 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_bpe(path)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 codes, words, offsets = split_words(batch.column("text"))
                 ids, ends = spread(codes, *memo.runs(words))
                 bounds = per_text(ends, offsets)
                 n = np.diff(bounds) + 1
                 # the documents' ids one after the other, each with its end id
-                flat = np.full(int(n.sum()), end_id, np.int32)
+                flat = np.full(int(n.sum()), end_id, "<u4")
                 first = np.cumsum(n) - n
                 flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n - 1)] = ids
                 count = -(-n // capacity)
@@ -55,15 +55,15 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 start = piece * capacity
                 length = np.minimum(n[row] - start, capacity)
-                cuts = np.append(first[row] + start, len(flat)).astype(np.int32)
+                cuts = pa.array((np.append(first[row] + start, len(flat)) * 4).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))],
+                    [batch.column("id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, cuts.buffers()[1], pa.py_buffer(flat)])],
                     ["id", "piece", "start", "length", "ids"],
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(pieces, f"id {kind}, piece int, start long, length long, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(pieces, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -173,13 +173,13 @@ def pack(pieces: DataFrame, order: tuple[str, ...] = ("doc_id", "piece"), length
     return placed.select(*rows.columns, "__place.sequence_id", "__place.offset")
 
 
-@F.pandas_udf(T.LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    """crc32 of the ids as little-endian unsigned 32-bit numbers."""
-    return pd.Series([zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in ids], dtype="int64")
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def unpack_ids(ids: pd.Series) -> pd.Series:
+    """The ids of a binary column as a list."""
+    return ids.map(lambda x: None if x is None else np.frombuffer(x, "<u4").astype(np.int64))
 
 
 def op2(docs: DataFrame) -> DataFrame:
     """The contract's digest of the packing of `documents`: ids travel as their crc32."""
-    pieces = tokenize(docs).withColumn("ids_crc32", ids_crc32("ids")).drop("ids")
+    pieces = tokenize(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
