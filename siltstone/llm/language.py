@@ -77,6 +77,8 @@ class Network:
 
     def pooled(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Mean probabilities (n, L) of each text over its bytes, and bytes given to each language (n, L)."""
+        if not self.languages:
+            return np.zeros((len(texts), 0)), np.zeros((len(texts), 0), np.int64)
         data, bounds = utf8(texts)
         size = np.diff(bounds)
         per = -(-size // WINDOW)
