@@ -85,7 +85,7 @@ def tilts(cells: DataFrame, goals: DataFrame, cap: int = MAX_COPIES, max_steps:
                 F.sum(_exact(tokens * F.least(rate, F.lit(float(cap))))).cast("double").alias("tokens"),
                 F.sum(_exact(F.when(rate < cap, tokens * z * rate).otherwise(0.0))).cast("double").alias("slope"),
             )
-            .withColumnRenamed("source", "of")
+            .select(F.col("source").alias("of"), "tokens", "slope", F.lit(True).alias("found"))
         )
         off = F.col("tokens") - F.col("target")
         low = F.when(off < 0, F.col("tilt")).otherwise(F.col("low"))
@@ -99,11 +99,11 @@ def tilts(cells: DataFrame, goals: DataFrame, cap: int = MAX_COPIES, max_steps:
         inside = (F.col("newton") > F.col("low_")) & (F.col("newton") < F.col("high_"))
         fresh = stepped.select(
             *goals.columns,
-            F.when(F.col("saturated") | F.col("of").isNull() | done, F.col("tilt")).otherwise(F.when(inside, F.col("newton")).otherwise(middle)).alias("tilt"),
-            F.when(F.col("of").isNull(), F.col("low")).otherwise(F.col("low_")).alias("low"),
-            F.when(F.col("of").isNull(), F.col("high")).otherwise(F.col("high_")).alias("high"),
+            F.when(F.col("saturated") | F.col("found").isNull() | done, F.col("tilt")).otherwise(F.when(inside, F.col("newton")).otherwise(middle)).alias("tilt"),
+            F.when(F.col("found").isNull(), F.col("low")).otherwise(F.col("low_")).alias("low"),
+            F.when(F.col("found").isNull(), F.col("high")).otherwise(F.col("high_")).alias("high"),
             "saturated",
-            F.when(F.col("saturated") | F.col("of").isNull(), 0.0).otherwise(error).alias("error"),
+            F.when(F.col("saturated") | F.col("found").isNull(), 0.0).otherwise(error).alias("error"),
         )
         before, state = state, keep(fresh, "tilts")
         drop_kept(before)
@@ -112,13 +112,13 @@ def tilts(cells: DataFrame, goals: DataFrame, cap: int = MAX_COPIES, max_steps:
     return state
 
 
-def rounded(cell: DataFrame, rounds: int = 6) -> DataFrame:
+def rounded(cell: DataFrame, cap: int = MAX_COPIES, rounds: int = 6) -> DataFrame:
     """Cells (source, size, n, target, rate) with copies: `base` each and one more for `extra` documents.
 
     Going through a source's cells by size, the fractions of copies are summed up and a cell
     gets the whole ones that fall into it: the error stays within the longest document. What is
     then missing or too much is made up by single copies, `rounds` times from the largest cell
-    whose size fits into it. Windows are over the cells of a source, one per distinct size.
+    whose size fits into it, and then from any cell within 0 and `cap` copies. Windows are over the cells of a source, one per distinct size.
     """
     upto = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -129,17 +129,23 @@ def rounded(cell: DataFrame, rounds: int = 6) -> DataFrame:
     out = out.withColumn("extra", F.greatest(F.least(F.col("extra"), F.col("n")), F.lit(0)))
     given = F.sum(F.col("size") * (F.col("n") * F.col("base") + F.col("extra"))).over(whole)
     out = out.withColumn("missing", F.col("target") - given)
-    # only cells whose rate lies between whole copies have copies to give or take
+    # copies of a cell in all; first cells whose rate lies between whole copies give or take some
+    out = out.withColumn("total", F.col("n") * F.col("base") + F.col("extra"))
     partial = (F.col("rate") > F.col("base")) & (F.col("size") > 0)
-    for _ in range(rounds):
-        free = F.when(~partial, 0).when(F.col("missing") > 0, F.col("n") - F.col("extra")).otherwise(F.col("extra"))
-        fits = (free > 0) & (F.col("size") <= F.abs(F.col("missing")))
+    for i in range(rounds + rounds // 2):
+        if i < rounds:
+            least, most = F.when(partial, F.col("n") * F.col("base")).otherwise(F.col("total")), F.when(partial, F.col("n") * (F.col("base") + 1)).otherwise(F.col("total"))
+        else:
+            least, most = F.lit(0), F.when(F.col("size") > 0, F.col("n") * cap).otherwise(0)
+        free = F.when(F.col("missing") > 0, most - F.col("total")).otherwise(F.col("total") - least)
+        fits = (free > 0) & (F.col("size") > 0) & (F.col("size") <= F.abs(F.col("missing")))
         out = out.withColumn("pick", F.max(F.when(fits, F.col("size"))).over(whole))
         change = F.when(fits & (F.col("size") == F.col("pick")), F.least(free, F.floor(F.abs(F.col("missing")) / F.col("size")).cast("long"))).otherwise(0)
         out = out.withColumn("change", (F.signum(F.col("missing")) * change).cast("long"))
-        out = out.withColumn("extra", F.col("extra") + F.col("change"))
+        out = out.withColumn("total", F.col("total") + F.col("change"))
         out = out.withColumn("missing", F.col("missing") - F.sum(F.col("change") * F.col("size")).over(whole))
-    return out.drop("sum", "own", "missing", "pick", "change")
+    out = out.withColumns({"base": F.floor(F.col("total") / F.col("n")).cast("long"), "extra": (F.col("total") % F.col("n")).cast("long")})
+    return out.drop("sum", "own", "missing", "pick", "change", "total")
 
 
 def mix(
@@ -167,7 +173,7 @@ def mix(
     joined = cells.join(solved.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     rate = F.when(F.col("saturated"), float(cap)).otherwise(F.least(F.exp(F.col("tilt") * F.col("size") / F.col("mean_size")), F.lit(float(cap))))
     cell = joined.select("source", "size", "n", "source_size", "target", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"))
-    cell = rounded(cell)
+    cell = rounded(cell, cap)
     numbered = ranked(rows, ["source", "size"], [F.xxhash64("id"), F.col("id")], n_buckets(rows.sparkSession), "nth")
     cell = cell.select(F.col("source").alias("of"), F.col("size").alias("cell_size"), "source_size", "target", "rate", "base", "extra")
     placed = numbered.join(cell, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("cell_size")))
