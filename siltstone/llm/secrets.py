@@ -103,7 +103,7 @@ def scan_secrets(
 ) -> DataFrame:
     """One row per input row: `id_col` and `spans`, each span with its counts and verdict.
 
-    Span: start, end (code points, end exclusive), kind_no, kind, hash, entropy, n_repos,
+    Span: start, kind_no, end (code points, end exclusive), kind, hash, entropy, n_repos,
     n_owners, verdict. Verdicts: `example` (held by `widespread_owners` owners or more),
     `placeholder` (entropy under `min_entropy`), `live` (a single owner), else `shared`.
     Base kinds are always reported, other kinds only as `live`.
@@ -133,7 +133,8 @@ def scan_secrets(
     )
     judged = each.join(counts, "hash").withColumn("verdict", verdict)
     judged = judged.where((F.col("kind_no") < len(BASE_KINDS)) | (F.col("verdict") == "live"))
-    span = F.struct("start", "end", "kind_no", "kind", "hash", "entropy", "n_repos", "n_owners", "verdict")
+    # by start, then kind
+    span = F.struct("start", "kind_no", "end", "kind", "hash", "entropy", "n_repos", "n_owners", "verdict")
     # a document's own spans meet here; texts stay where they are
     listed = judged.groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("judged"))
     none = F.array().cast(listed.schema["judged"].dataType)
