@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -34,6 +35,12 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Ask the driver to notice which shuffles nothing needs any more, so that their files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_kept(df: DataFrame) -> None:
     """Delete the table behind a frame made by keep(), once nothing reads it any more."""
     spark = df.sparkSession

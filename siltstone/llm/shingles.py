@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._cluster import keep, mix64
+from siltstone.llm._cluster import drop_kept, keep, let_go, mix64
 from siltstone.llm._components import components
 from siltstone.llm._words import plain, slices, split_words
 
@@ -206,19 +206,21 @@ def verified_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray,
     return links
 
 
-def link_clusters(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among (cluster, node, text) of each cluster, compared block against block.
+def link_clusters(members: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among the texts of each cluster, compared block against block.
 
-    A cluster of more than BLOCK members is dealt into blocks by a hash of the node; each pair
-    of its blocks is a group of its own. Small clusters share groups. A group holds 2 * BLOCK
-    texts or so, however large a cluster is.
+    `members` is (cluster, node, of, text_hash), narrow; texts come from `rows` (id, th, text)
+    once it is known which groups need them. A cluster of more than BLOCK members is dealt into
+    blocks by a hash of the node; each pair of its blocks is a group of its own. Small clusters
+    share groups. A group holds 2 * BLOCK texts or so, however large a cluster is.
     """
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     total = members.count()
     spread = max(1, -(-total // BLOCK))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    fetched = rows.join(dealt, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("text_hash"))).drop("id", "th", "of", "text_hash")
+    met = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     where = F.when(F.col("blocks") > 1, F.xxhash64("cluster", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(spread)))
     grouped = met.select(where.alias("group"), (F.col("blocks") > 1).alias("large"), "cluster", "node", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "text")
 
@@ -245,14 +247,21 @@ def _solve(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
 
     `first` is (no id, id, uid) of the class's first row, `component` a node's number.
     """
-    base = keep(sketches(rows, width, percent).withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    sketched = keep(sketches(rows, width, percent).withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    base = keep(sketched.drop("keys"), "sets")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
     classes = keep(base.where(F.col("n") > 0).groupBy("n", "h1", "h2").agg(F.min("uid").alias("node"), F.min(place).alias("first")), "classes")
-    first = base.join(classes.select("node"), F.col("uid") == F.col("node")).select("node", "keys")
-    clusters = components(equal_keys(first.select(F.explode("keys").alias("key"), "node")))
+    # copies have the keys of their class's first row and land in its cluster
+    edges = equal_keys(sketched.select(F.explode("keys").alias("key"), F.col("uid").alias("node")))
+    drop_kept(sketched)
+    let_go(rows.sparkSession)
+    clusters = components(edges).join(classes.select("node"), "node")
+    several = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
+    clusters = keep(clusters.join(several.select("component"), "component"), "clusters")
     at = base.join(clusters, F.col("uid") == F.col("node")).select(F.col("id").alias("of"), F.col("th").alias("text_hash"), "node", F.col("component").alias("cluster"))
-    members = rows.join(at, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("text_hash"))).select("cluster", "node", "text")
-    linked = components(link_clusters(members, width, percent))
+    links = keep(link_clusters(keep(at, "members"), rows, width, percent), "links")
+    let_go(rows.sparkSession)
+    linked = components(links)
     return base, classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
