@@ -23,6 +23,9 @@ from siltstone.llm._words import SPACES, per_text, plain, slices, split_words, s
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+#: Tokens of a block whose entropy is taken. A longer text is judged by all its blocks: the
+#: entropy of a text settles while the logarithm of its length grows.
+BLOCK = 4096
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
@@ -32,7 +35,7 @@ class Band(NamedTuple):
     min_chars: float
     max_chars: float
     max_bytes: float
-    #: Entropy in bits over the bits that as many different tokens would have.
+    #: Entropy in bits over the bits that as many different tokens would have, in blocks of BLOCK tokens.
     min_evenness: float
 
 
@@ -90,13 +93,22 @@ def duplicate_lines(text: str) -> int:
 
 
 def _evenness(ids: np.ndarray, bounds: np.ndarray, base: int) -> np.ndarray:
-    """Entropy of each text's ids over the logarithm of how many they are (at most `base`); 1 below two ids."""
+    """Mean over each text's blocks of BLOCK ids, weighted by their ids, of a block's entropy over the logarithm of how many it has.
+
+    `base` is over every id. The last block is what remains; a block of one id has 1, and so
+    has a text without ids. A text of one block is judged whole.
+    """
     n = np.diff(bounds)
-    text = np.repeat(np.arange(len(n)), n)
-    cells, counts = np.unique(text * np.int64(base) + ids, return_counts=True)
-    p = counts / n[cells // base]
-    bits = np.bincount(cells // base, weights=-p * np.log2(p), minlength=len(n))
-    return np.where(n > 1, bits / np.log2(np.clip(n, 2, base)), 1.0)
+    blocks = -(-n // BLOCK)
+    text = np.repeat(np.arange(len(n)), blocks)
+    first = np.cumsum(blocks) - blocks
+    inner = np.arange(len(text)) - first[text]
+    held = np.minimum(n[text] - inner * BLOCK, BLOCK)
+    cells, counts = np.unique(np.repeat(np.arange(len(held)), held) * np.int64(base) + ids, return_counts=True)
+    p = counts / held[cells // base]
+    bits = np.bincount(cells // base, weights=-p * np.log2(p), minlength=len(held))
+    even = np.where(held > 1, bits / np.log2(np.maximum(held, 2)), 1.0)
+    return np.where(n > 0, np.bincount(text, weights=even * held, minlength=len(n)) / np.maximum(n, 1), 1.0)
 
 
 def measure(texts: pa.Array, word_path: str, byte_path: str) -> dict[str, pa.Array]:

@@ -255,6 +255,20 @@ def test_quality_bands_reject_by_language_and_script(spark):
     assert got[2].rejected_by is not None or got[2].base_failed
 
 
+def test_quality_keeps_a_clean_text_of_a_million_tokens(spark):
+    # words as frequent as in prose (Zipf), so that the entropy of the text settles
+    rng = np.random.default_rng(3)
+    words = [w.decode() for w in np.unique(rng.integers(97, 123, (4000, 4), np.uint8).view("S4").ravel())]
+    p = 1 / np.arange(1, len(words) + 1) ** 1.25
+    drawn = rng.choice(len(words), 600_000, p=p / p.sum())
+    text = " ".join(words[i] for i in drawn)
+    uniform = "ab cd " * 300_000
+    got = {r.doc_id: r.quality for r in quality.judge(spark.createDataFrame([(1, text, "xx"), (2, text[:20_000], "xx"), (3, uniform, "xx")], "doc_id long, text string, lang string")).collect()}
+    assert got[1].n_tokens > 1_000_000 and got[1].rejected_by is None and got[1].kept
+    assert got[2].kept and abs(got[1].evenness - got[2].evenness) < 0.05
+    assert got[3].rejected_by == "uniform tokens"
+
+
 def test_quality_odd_rows(odd, empty):
     got = quality.judge(odd).collect()
     assert len(got) == 7 and all(not r.quality.kept for r in got if not r.text)
