@@ -22,7 +22,7 @@ from siltstone.llm._words import plain, slices
 
 #: Kinds of the base patterns, in their order; fixed values.
 BASE_KINDS = ("assign", "access", "hex")
-#: Kinds that count only where their value has one owner, after the base kinds in order.
+#: Kinds that count only where their value is no example and no placeholder, after the base kinds in order.
 OWNED_KINDS = ("key_block", "prefixed", "jwt", "random")
 
 # Fixed patterns of the base kinds. Case-insensitive ones fold ASCII letters alone.
@@ -106,7 +106,7 @@ def scan_secrets(
     Span: start, kind_no, end (code points, end exclusive), kind, hash, entropy, n_repos,
     n_owners, verdict. Verdicts: `example` (held by `widespread_owners` owners or more),
     `placeholder` (entropy under `min_entropy`), `live` (a single owner), else `shared`.
-    Base kinds are always reported, other kinds only as `live`.
+    Base kinds are always reported, other kinds only as `live` or `shared`.
 
     `owner_col` names owners, `repo_col` repositories of an owner (default: each row is one).
     Null texts are empty and give no span; a null owner or repository is one of its own;
@@ -132,7 +132,7 @@ def scan_secrets(
         .otherwise("shared")
     )
     judged = each.join(counts, "hash").withColumn("verdict", verdict)
-    judged = judged.where((F.col("kind_no") < len(BASE_KINDS)) | (F.col("verdict") == "live"))
+    judged = judged.where((F.col("kind_no") < len(BASE_KINDS)) | F.col("verdict").isin("live", "shared"))
     # by start, then kind
     span = F.struct("start", "kind_no", "end", "kind", "hash", "entropy", "n_repos", "n_owners", "verdict")
     # a document's own spans meet here; texts stay where they are
