@@ -744,7 +744,7 @@ def _(spark, d):
 @query("m_knn_impute")
 def _(spark, d):
     t = bound(spark, d, TRANSACTIONS).select("id", "amount", "avg_amount_user", F.col("account_age_days").cast("double").alias("age"))
-    return tabular.knn_impute(t, "id", ["amount", "avg_amount_user", "age"], donors=300)
+    return tabular.knn_impute(t, "id", ["amount", "avg_amount_user", "age"])
 
 
 @query("m_features", f"SELECT id, round(amount / nullif(avg_amount_user, 0), 8) AS amount_ratio, round(total_transactions_user / (account_age_days + 1), 8) AS tx_per_day, (shipping_distance_km > 100)::INT AS far_shipping, round(avg_amount_user / (total_transactions_user + 1), 8) AS avg_per_tx FROM {_T}")

@@ -2,6 +2,8 @@
 
 import datetime
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,6 +195,27 @@ def test_tabular(spark):
     assert train.count() + test.count() == 1000 and 700 < train.count() < 900 and train.join(test, "k").count() == 0
 
 
+def test_knn_impute_looks_among_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(tabular, "HOLE_ROWS", 40, raising=False)
+    monkeypatch.setattr(tabular, "DONOR_ROWS", 700, raising=False)
+    rng = random.Random(5)
+    hole = lambda p, v: None if rng.random() < p else v
+    rows = [(i, hole(0.03, float(rng.randrange(300))), hole(0.03, float(rng.randrange(300))), hole(0.03, float(rng.randrange(3)))) for i in range(3000)] + [(3000, None, None, None)]
+    got = {r.id: r for r in tabular.knn_impute(spark.createDataFrame(rows, "id long, a double, b double, c double"), "id", ["a", "b", "c"]).collect()}
+    assert len(got) == len(rows)
+    for key, *x in rows:
+        want = list(x)
+        for c in (c for c in range(3) if x[c] is None):
+            far = []
+            for other, *y in rows:
+                both = [i for i in range(3) if x[i] is not None and y[i] is not None]
+                if both and y[c] is not None:
+                    far.append((math.sqrt(sum((x[i] - y[i]) ** 2 for i in both) * 3 / len(both)), other, y[c]))
+            near = sorted(far)[:5]
+            want[c] = sum(v for *_, v in near) / len(near) if near else None
+        assert [got[key].a, got[key].b, got[key].c] == want
+
+
 def test_classifiers_and_saving(spark, tmp_path):
     df = spark.createDataFrame([(i, float(i % 10), float(i % 7), int(i % 10 > 5)) for i in range(200)], "id long, a double, b double, y int")
     rows = tabular.assemble(df, ["a", "b"], "y")
