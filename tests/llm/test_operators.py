@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -433,6 +434,24 @@ def test_neighbours_recall_ties_and_scores(spark):
     assert [got[100][r][0] for r in range(1, 11)] == list(range(101, 111))
 
 
+def test_neighbours_recall_over_full_blocks(spark, tmp_path):
+    n = 5 * neighbours.ROW_BLOCK
+    x = np.random.default_rng(11).standard_normal((n, 64))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x))}), tmp_path / "v.parquet")
+    hits = 0
+    got = {}
+    for r in neighbours.op6(spark.read.parquet(str(tmp_path / "v.parquet"))).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = range(0, n, 100)
+    for i in asked:
+        far = ((x - x[i]) ** 2).sum(1)
+        far[i] = np.inf
+        hits += len(got[i] & set(np.argpartition(far, 10)[:10].tolist()))
+    recall = hits / (10 * len(asked))
+    print(f"recall {recall:.4f} of {len(asked)} queries")
+    assert recall >= 0.9
+
+
 def test_neighbours_leave_bad_vectors_out(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [float("inf"), 1.0]), (6, [0.0, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0, 1.0]), (8, [1.0, 0.0]), (8, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
