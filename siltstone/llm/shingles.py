@@ -1,12 +1,14 @@
 """N-gram Jaccard join by parity sketches.
 
 The shingles of a document are XORed into a sketch of K segments, so that every shingle two
-documents do not share changes one segment at most: documents that link have few differing
-shingles, and with K above that number some segment is equal (pigeonhole). Sizes of linked
-documents lie in the same or the next size band, and K is chosen by band. Equal segments are
-found by a range-partitioned sort, which cuts hot values across tasks. What they connect is
-then compared in blocks: dense one-bit-a-shingle sketches bound the symmetric difference from
-below by their Hamming distance, and pairs within the bound are verified on the full sets.
+documents do not share changes one segment at most: documents that link differ in few segments,
+and with K above that number several are equal (pigeonhole). Sizes of linked documents lie in
+the same or the next size band, and K is chosen by band. Equal segments are found by a
+range-partitioned sort, which cuts hot values across tasks. Each document needs to be looked
+for under its rarest segments only: as linked documents share several, those that most others
+hold can be left out without losing a link. Candidates are pairs. They are dropped by size and by
+the Hamming distance of dense one-bit-a-shingle sketches, which bounds the symmetric difference
+from below, before any text moves, and verified on the full sets.
 """
 
 from __future__ import annotations
@@ -18,18 +20,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm._cluster import drop_kept, keep, let_go, mix64
 from siltstone.llm._components import components
 from siltstone.llm._words import plain, slices, split_words
 
-#: Segments beyond the pigeonhole's need: so many may be empty without counting as equal.
-SPARE = 1
-#: Documents compared in one block, and bits of the dense sketch.
-BLOCK, DENSE_BITS = 512, 2048
+#: Segments beyond the pigeonhole's need, so that linked documents share several.
+SPARE = 3
+#: Documents under one key that are compared in one block.
+BLOCK = 512
+#: Shingles of the documents that one group of a verification holds, about.
+GROUP_SHINGLES = 1 << 18
+#: Least bits of a dense sketch.
+LEAST_BITS = 64
+#: Set hashes that a task remembers so as to post a set once; it forgets them all when full.
+REMEMBERED = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,17 +69,21 @@ class Bands:
         self.percent = percent
         self.starts = [1]
 
+    def start(self, band: int) -> int:
+        while len(self.starts) <= band:
+            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
+        return self.starts[band]
+
     def of(self, n: int) -> int:
         while self.starts[-1] <= n:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
+            self.start(len(self.starts))
         return int(np.searchsorted(self.starts, n, side="right")) - 1
 
     def segments(self, band: int) -> int:
-        """Most shingles that linked sets can differ in, the smaller being of this band; and 1 + SPARE."""
-        while len(self.starts) <= band + 1:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        largest = self.starts[band + 1] - 1
-        return most_different(largest + largest * 100 // self.percent, self.percent) + 1 + SPARE
+        """Most shingles that linked sets can differ in, the smaller being of this band; and some to spare."""
+        largest = self.start(band + 1) - 1
+        most = most_different(largest + largest * 100 // self.percent, self.percent)
+        return most + SPARE + most // 16
 
 
 def most_different(sizes: int, percent: int) -> int:
@@ -85,184 +96,291 @@ def _bands(percent: int) -> Bands:
     return Bands(percent)
 
 
-def segment_keys(values: np.ndarray, band: int, count: int) -> np.ndarray:
-    """Keys of the segments of one sketch: each names band, segment and the XOR of its shingles."""
+def segment_keys(values: np.ndarray, band: int, count: int, most: int) -> tuple[np.ndarray, int]:
+    """Keys of a sketch's segments, each naming band, segment and XOR of shingles; and how many of
+    them any linked set shares at least, given that it differs in `most` shingles at most.
+
+    Empty segments are no keys, so they can not be shared. Where none but they may be shared, they
+    are keys too, and the number is 0: this set has to be looked for under all its keys.
+    """
     folded = np.zeros(count, np.uint64)
-    at = (mix64(values + np.uint64(band)) % np.uint64(count)).astype(np.int64)
-    np.bitwise_xor.at(folded, at, values)
+    np.bitwise_xor.at(folded, (mix64(values + np.uint64(band)) % np.uint64(count)).astype(np.int64), values)
     held = np.flatnonzero(folded)
-    if count - len(held) > SPARE:
-        held = np.arange(count)
-    return mix64(folded[held] ^ mix64((held + 1).astype(np.uint64) * _ODD + np.uint64(band)))
+    shared = len(held) - most
+    if shared < 1:
+        held, shared = np.arange(count), 0
+    return mix64(folded[held] ^ mix64((held + 1).astype(np.uint64) * _ODD + np.uint64(band))), shared
+
+
+def set_hash(values: np.ndarray) -> int:
+    """A 64-bit hash of the whole set."""
+    mixed = mix64(values)
+    both = np.array([np.bitwise_xor.reduce(mixed), mix64(mixed ^ _ODD).sum(dtype=np.uint64)], np.uint64) * np.array([1, _ODD], np.uint64)
+    return int(mix64(both[:1] ^ both[1:] ^ np.uint64(len(values))).view(np.int64)[0])
+
+
+def dense_sketch(values: np.ndarray) -> bytes:
+    """One bit flipped by each shingle, in a power of two of bits near the set's size."""
+    bits = max(LEAST_BITS, 1 << (len(values) - 1).bit_length()) if len(values) else LEAST_BITS
+    at = (mix64(values ^ _ODD) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded_to(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The dense sketch in `size` words of 64 bits: halves laid over each other keep its parities."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, th, n, h1, h2, keys): set size, 128-bit set hash and segment keys of (id, th, text)."""
+    """Of (id, th, text): (id, th, n, node, dense, own, low, own_shared, low_shared).
+
+    n is the set's size, node a 64-bit hash of the set, which stands for all its copies; `own` and
+    `low` are segment keys in the set's band and, as the larger of two, in the band below. A task
+    gives dense sketch and keys with a set's first copy only, so that many copies are no hot keys.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    nothing = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = _bands(percent)
+        bands, seen = _bands(percent), set()
         for whole in batches:
             for batch in slices(whole, "text"):
-                n, h1, h2, keys = [], [], [], []
+                n, node, dense, shared, keys = [], [], [], ([], []), ([], [])
                 for s in shingle_sets(batch.column("text"), width):
-                    n.append(len(s))
-                    mixed = mix64(s)
-                    h1.append(int(np.bitwise_xor.reduce(mixed).view(np.int64)) if len(s) else 0)
-                    h2.append(int(mix64(mixed ^ _ODD).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    if len(s):
-                        own = bands.of(len(s))
-                        keys.append(np.concatenate([segment_keys(s, b, bands.segments(b)) for b in (own, own - 1) if b >= 0]).view(np.int64))
-                    else:
-                        keys.append(np.zeros(0, np.int64))
-                ends = np.cumsum([0, *map(len, keys)])
-                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), listed], ["id", "th", "n", "h1", "h2", "keys"])
-
-    return docs.mapInArrow(run, f"id {kinds['id']}, th long, n long, h1 long, h2 long, keys array<long>")
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (head of the run, node) of equal keys in a sorted partition, and its first and last run."""
-    part = TaskContext.get().partitionId()
-    names = ["a", "b", "edge_of", "part", "last"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-    key = head = None
+                    size = len(s)
+                    h = set_hash(s)
+                    n.append(size)
+                    node.append(h)
+                    fresh = size > 0 and h not in seen
+                    if fresh:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(h)
+                        band = bands.of(size)
+                        sides = [(band, size + size * 100 // percent), (band - 1, size + bands.start(band) - 1)]
+                    dense.append(dense_sketch(s) if fresh else None)
+                    for i in (0, 1):
+                        if fresh and sides[i][0] >= 0:
+                            k, least = segment_keys(s, sides[i][0], bands.segments(sides[i][0]), most_different(sides[i][1], percent))
+                        else:
+                            k, least = nothing, 0
+                        keys[i].append(k)
+                        shared[i].append(least)
+                listed = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, k)]), pa.int32()), pa.array(np.concatenate(k).view(np.int64))) for k in keys]
+                columns = [batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(dense, pa.binary()), *listed, *(pa.array(x, pa.int32()) for x in shared)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "n", "node", "dense", "own", "low", "own_shared", "low_shared"])
+
+    return docs.mapInArrow(run, f"id {kinds['id']}, th long, n long, node long, dense binary, own array<long>, low array<long>, own_shared int, low_shared int")
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition sorted by (key, node): each row whose key several nodes hold, once; and those
+    of its first and last key, which may go on in the next partition."""
+    first = before = held = None
+    many = False  # whether the rows of the key before are out already
+    names = ["key", "node", "low"]
     for batch in batches:
-        if batch.num_rows == 0:
+        key, node, low = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+        if not len(key):
+            continue
+        if first is None:
+            first = key[0]
+        new = np.append(before != (key[0], node[0]), (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        last_key = None if before is None else before[0]
+        before = (key[-1], node[-1])
+        key, node, low = key[new], node[new], low[new]
+        if held is not None:
+            key, node, low = (np.append(np.array([h]), x) for h, x in zip(held, (key, node, low), strict=True))
+            last_key, held = None, None
+        if not len(key):
             continue
-        k, node = np.asarray(batch.column("key")), np.asarray(batch.column("node"))
-        begins = np.append(True, k[1:] != k[:-1])
-        if key is not None and k[0] == key:
-            begins[0] = False
-        if key is None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([int(node[0]), None, int(k[0]), part, False], kinds, strict=True)], names)
-        heads = node[np.maximum.accumulate(np.where(begins, np.arange(len(k)), -1))]
-        if not begins[0]:
-            heads[: int(np.argmax(begins)) if begins.any() else len(k)] = head
-        key, head = int(k[-1]), int(heads[-1])
-        linked = heads != node
-        n = int(linked.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(heads[linked]), pa.array(node[linked]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_())], names)
-    if key is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([head, None, key, part, True], kinds, strict=True)], names)
-
-
-def equal_keys(postings: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all nodes of each key of (key, node), as many as rows at most.
+        same = key[1:] == key[:-1]
+        back = np.append(many and key[0] == last_key, same)
+        out = back | np.append(same, False) | (key == first)
+        if not out[-1]:
+            held = (key[-1], node[-1], low[-1])
+        many = bool(out[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out]), pa.array(low[out].astype(bool))], names)
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (int(held[0]), int(held[1]), bool(held[2]))], names)
+
+
+def shared_keys(postings: DataFrame) -> DataFrame:
+    """The rows (key, node, low) of the keys that several nodes hold, each once, and few others.
 
     Rows are sorted by key and node over range partitions, so a hot key goes to as many tasks
-    as its rows fill; runs cut by a partition border are joined by their heads.
+    as its rows fill.
     """
-    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node")
-    found = keep(dealt.mapInArrow(_runs, "a long, b long, edge_of long, part int, last boolean").where(F.col("edge_of").isNotNull() | (F.col("a") != F.col("b"))).groupBy("a", "b", "edge_of", "part", "last").count().drop("count"), "runs")
-    # two rows a partition: its first and its last run
-    order = Window.orderBy("part", "last")
-    border = found.where(F.col("edge_of").isNotNull()).withColumns({"key_before": F.lag("edge_of").over(order), "before": F.lag("a").over(order)})
-    border = border.where((F.col("key_before") == F.col("edge_of")) & (F.col("before") != F.col("a"))).select(F.col("before").alias("a"), F.col("a").alias("b"))
-    return found.where(F.col("edge_of").isNull()).select("a", "b").union(border)
-
-
-def _dense(sets: list[np.ndarray]) -> np.ndarray:
-    """Odd sketches as +1 / -1: each shingle flips one of DENSE_BITS signs."""
-    out = np.ones((len(sets), DENSE_BITS), np.float32)
-    for row, s in zip(out, sets, strict=True):
-        row[np.bincount((mix64(s ^ _ODD) % np.uint64(DENSE_BITS)).astype(np.int64), minlength=DENSE_BITS) % 2 == 1] = -1
-    return out
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
+    return keep(dealt.mapInArrow(_shared_rows, "key long, node long, low boolean"), "shared")
 
 
-def verified_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between rows `left` and `right`, enough to connect all that link among them.
+def rarest_keys(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, node, low, n, weight): the keys under which a node has to be looked for.
 
-    A pair is skipped where earlier links of this call already connect it, or where sizes or
-    the Hamming distance rule a link out; else the sets are intersected.
+    A node of which any linked set shares at least s keys leaves out its s - 1 most held ones, by
+    (holders, key), an order that is the same for all: of the keys that linked sets share, the
+    least held is among the rest of both. `weight` is the number of keys the node shares with any.
     """
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    dense = _dense(sets)
-    total = size[left][:, None] + size[right][None]
-    apart = (DENSE_BITS - dense[left] @ dense[right].T) / 2
-    low, high = np.minimum(size[left][:, None], size[right][None]), np.maximum(size[left][:, None], size[right][None])
-    near = (apart <= total * (100 - percent) // (100 + percent)) & (100 * low >= percent * high) & (left[:, None] != right[None])
-    i, j = np.nonzero(near)
-    order = np.argsort(apart[i, j], kind="stable")
-    parent = list(range(len(sets)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    for a, b in zip(left[i[order]].tolist(), right[j[order]].tolist(), strict=True):
-        ra, rb = root(a), root(b)
-        if ra == rb:
-            continue
-        shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-        if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
-            parent[ra] = rb
-            links.append((int(nodes[a]), int(nodes[b])))
-    return links
+    holders = shared.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > 1)
+    most_held = Window.partitionBy("node", "low").orderBy(F.desc("holders"), F.desc("key"))
+    least = F.when(F.col("low"), F.col("low_shared")).otherwise(F.col("own_shared"))
+    rows = shared.join(holders, "key").join(classes.select("node", "n", "own_shared", "low_shared"), "node")
+    rows = rows.withColumns({"nth": F.row_number().over(most_held), "weight": F.count(F.lit(1)).over(Window.partitionBy("node", "low"))})
+    return rows.where(F.col("nth") >= least).select("key", "node", "low", "n", "weight")
+
+
+def _sizes_fit(a: str | Column, b: str | Column, percent: int) -> Column:
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def link_clusters(members: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among the texts of each cluster, compared block against block.
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(hub, other, n) of the pairs (hub, other) within the bounds of sizes and Hamming distance."""
+    hubs = classes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("dense").alias("hub_dense"))
+    others = classes.select(F.col("node").alias("other"), "n", "dense")
+    both = pairs.join(others, "other").join(hubs, "hub").where(_sizes_fit("n", "hub_n", percent))
 
-    `members` is (cluster, node, of, text_hash), narrow; texts come from `rows` (id, th, text)
-    once it is known which groups need them. A cluster of more than BLOCK members is dealt into
-    blocks by a hash of the node; each pair of its blocks is a group of its own. Small clusters
-    share groups. A group holds 2 * BLOCK texts or so, however large a cluster is.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = np.asarray(batch.column("n")), np.asarray(batch.column("hub_n"))
+            limit = (n + m) * (100 - percent) // (100 + percent)
+            near = np.zeros(len(n), bool)
+            for i, (x, y) in enumerate(zip(batch.column("dense").to_pylist(), batch.column("hub_dense").to_pylist(), strict=True)):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                size = min(len(a), len(b))
+                near[i] = np.bitwise_count(folded_to(a, size) ^ folded_to(b, size)).sum() <= limit[i]
+            yield batch.select(["hub", "other", "n"]).filter(pa.array(near))
+
+    return both.mapInArrow(run, "hub long, other long, n long")
+
+
+def _pairs_in_block(node: np.ndarray, n: np.ndarray, component: np.ndarray, dense: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (hub, others) of rows of different components within the bounds."""
+    words = [np.frombuffer(x, np.uint64) for x in dense]
+    size = min(map(len, words))
+    bits = np.stack([folded_to(w, size) for w in words])
+    for i in left:
+        j = right if left is not right else right[right > i]
+        j = j[(component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+        if len(j):
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+            j = j[apart <= (n[j] + n[i]) * (100 - percent) // (100 + percent)]
+            yield np.minimum(node[j], node[i]), np.maximum(node[j], node[i])
+
+
+def close_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, other) of different components under one key within the bounds, each once.
+
+    `rows` is (key, node, n, component). Members of a key with more than BLOCK of them are dealt
+    into blocks by a hash of the node, and each pair of its blocks is a group of its own, so a group
+    holds 2 * BLOCK dense sketches however many hold a key; other keys share groups.
     """
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    total = members.count()
-    spread = max(1, -(-total // BLOCK))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    fetched = rows.join(dealt, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("text_hash"))).drop("id", "th", "of", "text_hash")
-    met = fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    where = F.when(F.col("blocks") > 1, F.xxhash64("cluster", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(spread)))
-    grouped = met.select(where.alias("group"), (F.col("blocks") > 1).alias("large"), "cluster", "node", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "text")
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).where(F.col("c0") != F.col("c1"))
+    mixed = keep(rows.join(mixed.select("key", "members"), "key"), "mixed")
+    spread = max(1, -(-mixed.count() // BLOCK))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = mixed.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.join(classes.select("node", "dense"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("mine", "with"), F.greatest("mine", "with")
+    group = F.when(F.col("blocks") > 1, F.xxhash64("key", low, high)).otherwise(F.pmod(F.xxhash64("key"), F.lit(spread)))
+    grouped = met.select(group.alias("group"), (F.col("blocks") > 1).alias("large"), "key", "node", "n", "component", "dense", "mine", low.alias("b0"), high.alias("b1"))
 
     def compare(table: pa.Table) -> pa.Table:
+        key, node, n, component, mine, b0, b1 = (np.asarray(table[c]) for c in ("key", "node", "n", "component", "mine", "b0", "b1"))
+        dense = table["dense"].to_pylist()
+        found = [(node[:0], node[:0])]
+        order = np.lexsort((b1, b0, key))
+        borders = (key[order][1:] != key[order][:-1]) | (b0[order][1:] != b0[order][:-1]) | (b1[order][1:] != b1[order][:-1])
+        for at in np.split(order, np.flatnonzero(borders) + 1):
+            every = np.arange(len(at))
+            left, right = (every, every) if b0[at[0]] == b1[at[0]] else (every[mine[at] == b0[at[0]]], every[mine[at] == b1[at[0]]])
+            found += _pairs_in_block(node[at], n[at], component[at], [dense[x] for x in at], left, right, percent)
+        a, b = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        return pa.table({"hub": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64())})
+
+    found = keep(grouped.groupBy("group", "large").applyInArrow(compare, "hub long, other long").distinct(), "found")
+    drop_kept(mixed)
+    return found
+
+
+def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b): the pairs (hub, other, n) whose whole sets link.
+
+    Texts are fetched from `rows` (id, th, text) once for each set that any pair names. The
+    others of a hub are dealt into groups of about GROUP_SHINGLES shingles, so that the hub's text
+    goes along once a group and a group is bounded however many pairs a hub has.
+    """
+    pairs = keep(pairs, "pairs")
+    load = pairs.groupBy("hub").agg(F.sum("n").alias("load"))
+    total = load.agg(F.sum("load")).first()[0] or 0
+    spread = max(1, -(-total // GROUP_SHINGLES))
+    chunks = F.ceil(F.col("load") / GROUP_SHINGLES).cast("int")
+    dealt = pairs.join(load, "hub").withColumn("chunk", F.pmod(F.xxhash64("other"), chunks))
+    group = F.pmod(F.xxhash64("hub", "chunk"), F.lit(spread))
+    dealt = keep(dealt.select(group.alias("group"), "hub", "chunk", "other"), "dealt")
+    members = dealt.select("group", "hub", F.col("other").alias("node")).union(dealt.select("group", "hub", F.col("hub").alias("node")).distinct())
+    wanted = members.select("node").distinct().join(classes, "node").select("node", F.xxhash64("first.id").alias("i"), F.col("first.th").alias("t"))
+    found = rows.select(F.xxhash64("id").alias("i"), F.col("th").alias("t"), "text").join(wanted, ["i", "t"])
+    # repeated rows meet in the join's partitions; one of them is enough
+    nth = F.row_number().over(Window.partitionBy("i", "t").orderBy(F.lit(0)))
+    texts = keep(found.withColumn("nth", nth).where(F.col("nth") == 1).select("node", "text"), "texts")
+
+    def check(table: pa.Table) -> pa.Table:
         sets = shingle_sets(table["text"].combine_chunks(), width)
-        nodes = np.asarray(table["node"])
-        cluster, mine, low, high = (np.asarray(table[c]) for c in ("cluster", "mine", "low", "high"))
-        links: list[tuple[int, int]] = []
-        names = np.rec.fromarrays([cluster, low, high])
-        order = np.argsort(names, kind="stable")
-        for rows in np.split(order, np.flatnonzero(names[order][1:] != names[order][:-1]) + 1) if len(order) else []:
-            local = [sets[r] for r in rows]
-            at = np.arange(len(rows))
-            first, second = (at, at) if low[rows[0]] == high[rows[0]] else (at[mine[rows] == low[rows[0]]], at[mine[rows] == high[rows[0]]])
-            if len(first) and len(second) and len(rows) > 1:
-                links += verified_links(nodes[rows], local, first, second, percent)
+        node, hub = np.asarray(table["node"]), np.asarray(table["hub"])
+        at = {int(node[i]): i for i in np.flatnonzero(node == hub)}
+        links = []
+        for i in np.flatnonzero(node != hub):
+            a, b = sets[at[int(hub[i])]], sets[i]
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * shared >= percent * (len(a) + len(b) - shared):
+                links.append((int(hub[i]), int(node[i])))
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return grouped.groupBy("group", "large").applyInArrow(compare, "a long, b long")
+    links = keep(members.join(texts, "node").groupBy("group").applyInArrow(check, "a long, b long"), "links")
+    for done in (pairs, dealt, texts):
+        drop_kept(done)
+    return links
 
 
 def _solve(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of (id, th, text): its kept sketches, and (n, h1, h2, node, first, component) of each class.
+    """Of (id, th, text): (id, th, n, node) of each row, and (node, first, component) of each set.
 
-    `first` is (no id, id, uid) of the class's first row, `component` a node's number.
+    `first` is (no id, id, th) of the set's first row, `component` the least node it is linked to.
     """
-    sketched = keep(sketches(rows, width, percent).withColumn("uid", F.monotonically_increasing_id()), "sketches")
-    base = keep(sketched.drop("keys"), "sets")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
-    classes = keep(base.where(F.col("n") > 0).groupBy("n", "h1", "h2").agg(F.min("uid").alias("node"), F.min(place).alias("first")), "classes")
-    # copies have the keys of their class's first row and land in its cluster
-    edges = equal_keys(sketched.select(F.explode("keys").alias("key"), F.col("uid").alias("node")))
-    drop_kept(sketched)
-    let_go(rows.sparkSession)
-    clusters = components(edges).join(classes.select("node"), "node")
-    several = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
-    clusters = keep(clusters.join(several.select("component"), "component"), "clusters")
-    at = base.join(clusters, F.col("uid") == F.col("node")).select(F.col("id").alias("of"), F.col("th").alias("text_hash"), "node", F.col("component").alias("cluster"))
-    links = keep(link_clusters(keep(at, "members"), rows, width, percent), "links")
-    let_go(rows.sparkSession)
-    linked = components(links)
-    return base, classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spark = rows.sparkSession
+    sketched = keep(sketches(rows, width, percent), "sketches")
+    base = keep(sketched.select("id", "th", "n", "node"), "sets")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
+    full = sketched.where(F.col("n") > 0).groupBy("node").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("dense").alias("dense"), F.max("own_shared").alias("own_shared"), F.max("low_shared").alias("low_shared"))
+    classes = keep(full, "classes")
+    sides = [sketched.select(F.explode(side).alias("key"), "node", F.lit(side == "low").alias("low")) for side in ("own", "low")]
+    shared = shared_keys(sides[0].union(sides[1]))
+    posted = keep(rarest_keys(shared, classes), "posted")
+    for done in (sketched, shared):
+        drop_kept(done)
+    let_go(spark)
+    # first the pairs with the member of each key that shares most: it is the likeliest origin
+    heads = posted.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("head"))
+    stars = posted.join(heads, "key").where((F.col("node") != F.col("head.node")) & _sizes_fit("n", "head.n", percent))
+    stars = keep(stars.select(F.col("head.node").alias("hub"), F.col("node").alias("other")).distinct(), "stars")
+    links = verified(_close(stars, classes, percent), classes, rows, width, percent)
+    let_go(spark)
+    # then all other pairs of a key that the first links leave in different components
+    first_linked = components(links)
+    joined = posted.join(first_linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = close_pairs(joined.select("key", "node", "n", "component").distinct(), classes, percent)
+    done = stars.select(F.least("hub", "other").alias("hub"), F.greatest("hub", "other").alias("other"))
+    more = more.join(done, ["hub", "other"], "left_anti").join(classes.select(F.col("node").alias("other"), "n"), "other").select("hub", "other", "n")
+    others = verified(more, classes, rows, width, percent)
+    let_go(spark)
+    linked = first_linked if others.isEmpty() else components(links.union(others))
+    for done in (posted, stars):
+        drop_kept(done)
+    return base, classes.select("node", "first").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -276,13 +394,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingles (fewer words: the whole sequence is the one shingle). component_id is the least id
     reachable over links, the row's own included. Null and blank texts have an empty set and
     link with nothing, so component_id is the row's own id. Repeated rows and copies are one
-    class, compared once; ids may repeat. A null id is no least id: a component has the least of
+    class, compared once, by a 64-bit hash of the set; ids may repeat. A null id is no least id: a component has the least of
     its other ids, or null. An empty table gives an empty result. Other columns are not read.
     """
     base, classes = _solve(_rows(docs, id_col, text_col), width, percent)
     least = classes.groupBy("component").agg(F.min("first.id").alias("component_id"))
-    known = classes.join(least, "component").select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "component_id")
-    out = base.join(known, (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
+    known = classes.join(least, "component").select("node", "component_id")
+    out = base.join(known, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -290,17 +408,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of `docs` less all but one of each component of jaccard_components().
 
     The row of the least id stays (a null id counts as greatest; of repeated rows one stays).
-    Rows with an empty set all stay. All columns pass through.
+    Rows with an empty set all stay. All columns pass through, whatever their names.
     """
     base, classes = _solve(_rows(docs, id_col, text_col), width, percent)
-    firsts = classes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("keeper"))
-    staying = base.where(F.col("n") > 0).join(firsts, F.col("uid") == F.col("keeper")).select(F.xxhash64("id").alias("__i"), F.col("th").alias("__t"), F.lit(True).alias("__once"))
-    blank = base.where(F.col("n") == 0).select(F.xxhash64("id").alias("__i"), F.col("th").alias("__t"), F.lit(False).alias("__once")).distinct()
-    tagged = docs.withColumns({"__id": F.xxhash64(F.col(id_col)), "__th": F.xxhash64(F.col(text_col))})
-    kept = tagged.join(staying.union(blank), (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__t")))
+    firsts = classes.groupBy("component").agg(F.min("first").alias("first"))
+    staying = firsts.select(F.xxhash64("first.id").alias("i"), F.col("first.th").alias("t"), F.lit(True).alias("once"))
+    blank = base.where(F.col("n") == 0).select(F.xxhash64("id").alias("i"), F.col("th").alias("t"), F.lit(False).alias("once")).distinct()
+    tagged = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col)).alias("i"), F.xxhash64(F.col(text_col)).alias("t"))
+    kept = tagged.join(staying.union(blank), ["i", "t"])
     # repeated rows meet in the join's partitions, so the count below moves nothing
-    nth = F.row_number().over(Window.partitionBy("__id", "__th").orderBy(F.lit(0)))
-    return kept.withColumn("__nth", nth).where(~F.col("__once") | (F.col("__nth") == 1)).select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("i", "t").orderBy(F.lit(0)))
+    return kept.withColumn("nth", nth).where(~F.col("once") | (F.col("nth") == 1)).select("row.*")
 
 
 def op5(docs: DataFrame) -> DataFrame:

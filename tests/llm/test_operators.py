@@ -393,7 +393,30 @@ def test_equal_segments_bound():
         for n in range(1, 400, 7):
             for m in range(n, n * 100 // percent + 1, 3):
                 assert bands.of(m) - bands.of(n) in (0, 1)
-                assert bands.segments(bands.of(n)) >= shingles.most_different(n + m, percent) + 1 + shingles.SPARE
+                assert bands.segments(bands.of(n)) >= shingles.most_different(n + m, percent) + shingles.SPARE
+
+
+def shared_shingle(n):
+    """Unrelated texts of one size, each with the same short passage in it."""
+    return [(i, " ".join([f"a{i}x{j}" for j in range(60)] + ["one", "common", "passage", "of", "words"] + [f"b{i}x{j}" for j in range(60)]), None, None, None) for i in range(n)]
+
+
+def test_jaccard_pairs_of_a_common_passage_stay_linear(spark, monkeypatch):
+    seen = []
+    close, blocks = shingles._close, shingles.close_pairs
+    monkeypatch.setattr(shingles, "_close", lambda pairs, *rest: seen.append(pairs.count()) or close(pairs, *rest))
+    monkeypatch.setattr(shingles, "close_pairs", lambda rows, *rest: seen.append(rows.join(rows.withColumnRenamed("node", "with"), "key").where("node < with").count()) or blocks(rows, *rest))
+    for n in (100, 200):
+        assert {r.component_id for r in shingles.jaccard_components(spark.createDataFrame(shared_shingle(n), SCHEMA)).collect()} == set(range(n))
+    few, many = sum(seen[:2]), sum(seen[2:])
+    assert many <= 2 * few + 200  # all pairs would be 4 950 and 19 900
+
+
+def test_jaccard_copies_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "REMEMBERED", 3)
+    rows = [(i, f"{'common words that all of these texts have one after the other ' * 3} {i % 7} end", None, None, None) for i in range(200)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingles.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()}
+    assert got == brute_components(rows, 5, 80)
 
 
 def test_jaccard_odd_rows(odd, empty):
