@@ -96,3 +96,13 @@ def passengers(adults: Column, children: Column, most: int = 9) -> Column:
 
 def offer_key(name: Column, store: Column, price: Column) -> Column:
     return F.concat_ws("|", name, store, price.cast("string"))
+
+
+def shuffled(key: Column, seed: int = 42) -> Column:
+    """A hash by which rows are put in an order without meaning: the same on any engine, in any partitioning."""
+    return F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed))))
+
+
+def shuffled_place(key: Column, digits: int, seed: int = 42) -> Column:
+    """The first hexadecimal digits of shuffled() as a number: cells in the order of the hash."""
+    return F.conv(F.substring(shuffled(key, seed), 1, digits), 16, 10).cast("long")

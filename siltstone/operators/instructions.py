@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions.text import pair_hash, sanitize, strip, tokens, training_prompt, word_count
+from siltstone.functions.values import shuffled, shuffled_place
 
 # Role names of both spellings.
 ASKING, ANSWERING = ("human", "user"), ("gpt", "assistant")
@@ -82,10 +88,36 @@ def clean_report(labelled: DataFrame) -> DataFrame:
     return labelled.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("label") == k).alias(k) for k in ("invalid", "length", "duplicate", "kept")])
 
 
+#: Hexadecimal digits of the hash cells by which rows are counted before they are put in order.
+CELL_DIGITS = 4
+
+
+def first_by_hash(rows: DataFrame, key: str, count: int, seed: int = 42) -> DataFrame:
+    """The `count` rows that come first by (hash of the key, key), all if there are fewer.
+
+    Rows are counted by cells of the hash: the cells before the border go whole, and only the
+    cell in which the border lies is put in order, so no task sees a share of the table.
+    """
+    if count <= 0:
+        return rows.limit(0)
+    cell = shuffled_place(F.col(key), CELL_DIGITS, seed)
+    counts = rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))  # at most 16**CELL_DIGITS rows
+    upto = F.sum("n").over(Window.orderBy("cell"))
+    border = counts.withColumn("upto", upto).where(F.col("upto") >= count).orderBy("cell").first()
+    if border is None:
+        return rows
+    last = rows.where(cell == border["cell"]).orderBy(shuffled(F.col(key), seed), key).limit(count - (border["upto"] - border["n"]))
+    return rows.where(cell < border["cell"]).unionByName(last)
+
+
 def split_train(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows, disjoint and complete; at least one for validation."""
-    m = max(1, int(rows.count() * share))
-    chosen = rows.select(key).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(m)
+    """Training and validation rows, disjoint and complete; at least one for validation.
+
+    `key` tells rows apart; those that share it go together.
+    """
+    keys = rows.select(key).distinct()
+    m = max(1, int(keys.count() * share))
+    chosen = first_by_hash(keys, key, m, seed)
     return rows.join(chosen, key, "left_anti"), rows.join(chosen, key, "left_semi")
 
 
@@ -123,33 +155,120 @@ def personal_counts(c: Column) -> dict[str, Column]:
 
 def sample_rows(rows: DataFrame, key: str, percent: int, seed: int = 42) -> DataFrame:
     """A sample by hash: the same rows in every run and partitioning."""
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < percent)
+    return rows.where(shuffled_place(F.col(key), 8, seed) % 100 < percent)
 
 
-def word_grams(c: Column, n: int) -> Column:
-    t = tokens(c)
-    return F.array_distinct(F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))).otherwise(F.array().cast("array<string>")))
+def gram_hashes(c: Column, n: int) -> Column:
+    """Distinct 64-bit hashes of the word n-grams; none in a text of fewer words."""
+    # the outer transform binds the tokens to a name, so that they are found once and not once a gram
+    grams = F.transform(F.array(tokens(c)), lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.xxhash64(F.slice(t, i + 1, n)))).otherwise(F.array().cast("array<bigint>")))
+    return F.array_distinct(F.get(grams, F.lit(0)))
 
 
 def leaked(train: DataFrame, evaluation: DataFrame, key: str, eval_key: str, n: int = 8) -> DataFrame:
     """(key, eval_key, shared): training texts that share an n-gram with an evaluation text.
 
-    Grams go as 64-bit hashes with their text, so only those of evaluation texts meet.
+    Only hashes meet, and of the training texts only those that some evaluation text has.
     """
-    left = train.select(key, F.explode(word_grams(F.col("text"), n)).alias("gram"))
-    right = evaluation.select(eval_key, F.explode(word_grams(F.col("text"), n)).alias("gram"))
+    left = train.select(key, F.explode(gram_hashes(F.col("text"), n)).alias("gram"))
+    right = evaluation.select(eval_key, F.explode(gram_hashes(F.col("text"), n)).alias("gram"))
     return left.join(right, "gram").groupBy(key, eval_key).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, seed: int = 42, large: int = 2000) -> DataFrame:
-    """`rows` with `part`: of each stratum a tenth is val below `large` rows in all, else a twentieth."""
+    """`rows` with `part`: of each stratum a tenth is val below `large` rows in all, else a twentieth.
+
+    A row's place in its stratum is that of its hash cell and its place in the cell, so that a
+    large stratum is spread over tasks.
+    """
     share = 0.1 if rows.count() < large else 0.05
-    by_hash = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    size = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    return rows.withColumn("part", F.when(F.row_number().over(by_hash) <= F.ceil(size * share), "val").otherwise("train"))
+    tagged = rows.select(F.struct("*").alias("row"), F.col(stratum).alias("s"), shuffled_place(F.col(key), CELL_DIGITS, seed).alias("cell"), shuffled(F.col(key), seed).alias("h"), F.col(key).alias("k"))
+    cells = tagged.groupBy(F.col("s").alias("s2"), F.col("cell").alias("cell2")).agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy("s2")
+    before = F.coalesce(F.sum("n").over(every.orderBy("cell2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumns({"before": before, "size": F.sum("n").over(every)})
+    placed = tagged.join(cells, F.col("s").eqNullSafe(F.col("s2")) & (F.col("cell") == F.col("cell2")))
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("s", "cell").orderBy("h", "k"))
+    return placed.withColumn("part", F.when(nth <= F.ceil(F.col("size") * share), "val").otherwise("train")).select("row.*", "part")
 
 
 def mix_slices(slices: dict[str, tuple[DataFrame, float]], total: int, key: str, seed: int = 42) -> DataFrame:
     """`total` rows from named slices at their shares, each slice in the order of a hash."""
-    parts = [df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(round(total * share)).withColumn("slice", F.lit(name)) for name, (df, share) in slices.items()]
+    parts = [first_by_hash(df, key, int(total * share + 0.5), seed).withColumn("slice", F.lit(name)) for name, (df, share) in slices.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def near_copies(embedded: DataFrame, key: str, cosine: float = 0.95, bands: int = 48, bits: int = 14, block: int = 1024, seed: int = 42) -> DataFrame:
+    """(key, other, cosine): rows of (key, embedding) that are near, key < other; keys should be unique.
+
+    Vectors get a sign bit for each of bands * bits random directions; rows that agree in all
+    bits of a band are candidates, compared by exact cosine. At a cosine of 0.95 a bit differs
+    with probability 0.101, so a pair is missed with (1 - 0.899 ** 14) ** 48, about one in
+    200 000. Equal vectors are compared once, by their least key; each other copy comes as a pair
+    with that key. A band that many rows share is dealt into blocks of which each pair is a group
+    of its own, so a task is bounded and only near pairs leave it. Null and zero vectors are near
+    to nothing, and vectors of another length than the first one's are left out.
+    """
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    rows = embedded.select(F.col(key).alias("key"), "embedding", F.xxhash64("embedding").alias("h")).where(norm > 0)
+    first = rows.select(F.size("embedding")).first()
+    dimension = first[0] if first else 1
+    rows = rows.where(F.size("embedding") == dimension)
+    classes = rows.groupBy("h").agg(F.min_by("embedding", "key").alias("embedding"), F.min("key").alias("key"))
+    kind = rows.schema["key"].dataType.simpleString()
+    planes = np.random.default_rng(seed).standard_normal((dimension, bands * bits))
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return np.asarray(flat.flatten(), dtype=np.float64).reshape(-1, dimension)
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = (vectors(batch.column("embedding")) @ planes > 0).reshape(-1, bands, bits)
+            found = (signs @ weights) * bands + np.arange(bands)
+            ends = pa.array(np.arange(len(found) + 1) * bands, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "embedding")), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], ["key", "embedding", "codes"])
+
+    coded = classes.select("key", "embedding").mapInArrow(codes, f"key {kind}, embedding array<{embedded.schema['embedding'].dataType.elementType.simpleString()}>, codes array<bigint>")
+    posted = coded.select("key", "embedding", F.explode("codes").alias("code"))
+    sizes = posted.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = posted.join(sizes, "code").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # small bands share groups, as many as rows fill; each pair of blocks of a large one is a group
+    spread = max(1, -(-rows.count() * bands // (16 * block)))
+    b0, b1 = F.least("mine", "with"), F.greatest("mine", "with")
+    group = F.when(F.col("blocks") > 1, F.xxhash64("code", b0, b1)).otherwise(F.pmod(F.xxhash64("code"), F.lit(spread)))
+    met = met.select(group.alias("group"), (F.col("blocks") > 1).alias("large"), "code", b0.alias("b0"), b1.alias("b1"), "mine", "key", "embedding")
+    key_type = to_arrow_type(rows.schema["key"].dataType)
+    out = pa.schema([("key", key_type), ("other", key_type), ("cosine", pa.float64())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        v = vectors(table["embedding"])
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        code, mine, b0, b1 = (table[c].to_numpy() for c in ("code", "mine", "b0", "b1"))
+        order = np.lexsort((b1, b0, code))
+        borders = np.flatnonzero((np.diff(code[order]) != 0) | (np.diff(b0[order]) != 0) | (np.diff(b1[order]) != 0)) + 1
+        found = []
+        for at in np.split(order, borders):
+            left, right = at[mine[at] == b0[at[0]]], at[mine[at] == b1[at[0]]]
+            near = v[left] @ v[right].T
+            i, j = np.nonzero(near >= cosine)
+            apart = left[i] < right[j] if b0[at[0]] == b1[at[0]] else left[i] != right[j]
+            found.append((left[i][apart], right[j][apart], near[i, j][apart]))
+        i, j, near = (np.concatenate([f[k] for f in found]) for k in range(3))
+        keys = table["key"].combine_chunks()
+        a, b = keys.take(pa.array(i)), keys.take(pa.array(j))
+        swap = pc.greater(a, b)
+        return pa.table([pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(near)], schema=out)
+
+    near = met.groupBy("group", "large").applyInArrow(compare, f"key {kind}, other {kind}, cosine double")
+    near = near.groupBy("key", "other").agg(F.max("cosine").alias("cosine"))
+    copies = rows.select("h", F.col("key").alias("other")).join(classes.select("h", "key"), "h").where("key < other")
+    return near.unionByName(copies.select("key", "other", F.lit(1.0).alias("cosine")))
+
+
+def drop_near_copies(rows: DataFrame, embedded: DataFrame, key: str, cosine: float = 0.95) -> DataFrame:
+    """`rows` less those whose vector in `embedded` (key, embedding) is near that of a smaller key."""
+    again = near_copies(embedded, key, cosine).select(F.col("other").alias(key)).distinct()
+    return rows.join(again, key, "left_anti")

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from siltstone.functions.values import shuffled_place
+
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def split_rows(df: DataFrame, key: str, train_share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Training and test rows by a hash of the key: stable under any partitioning."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) / 10_000.0
-    return df.where(u < train_share), df.where(u >= train_share)
+    below = shuffled_place(F.col(key), 8, seed) % 10_000 < int(train_share * 10_000 + 0.5)
+    return df.where(below), df.where(~below)
 
 
 def imputations(train: DataFrame) -> dict[str, object]:
@@ -31,10 +33,16 @@ def imputations(train: DataFrame) -> dict[str, object]:
     doubles = [c for c, t in train.dtypes if t == "double"]
     if doubles:
         out |= train.agg(*[F.avg(c).alias(c) for c in doubles]).first().asDict()
-    for c, t in train.dtypes:
-        if t != "double":
-            top = train.where(F.col(c).isNotNull()).groupBy(c).count().agg(F.min_by(c, F.struct(-F.col("count"), F.col(c)))).first()[0]
-            out[c] = top
+    others = [c for c, t in train.dtypes if t != "double"]
+    if others:
+        # one pass: a row per column and value, counted, and the best of each column
+        values = F.array(*[F.struct(F.lit(c).alias("column"), F.to_json(F.struct(F.col(f"`{c}`").alias("v"))).alias("json"), F.col(f"`{c}`").isNotNull().alias("held")) for c in others])
+        counts = train.select(F.inline(values)).where("held").groupBy("column", "json").count()
+        most = counts.groupBy("column").agg(F.max("count").alias("count"))
+        # values of equal counts are few; the smallest is found by the column's own order
+        top = counts.join(most, ["column", "count"])
+        best = top.groupBy("column").agg(*[F.min(F.from_json("json", f"v {train.schema[c].dataType.simpleString()}")["v"]).alias(f"v{i}") for i, c in enumerate(others)])
+        out |= {r["column"]: r[f"v{others.index(r['column'])}"] for r in best.collect()}
     return {k: v for k, v in out.items() if v is not None}
 
 
@@ -238,14 +246,27 @@ def importances(model: Model, features: list[str], n: int = 10) -> list[str]:
     return [f for _, f in ranked[:n]]
 
 
+#: Ranges of scores over which the ranks of an AUC are dealt.
+SCORE_RANGES = 64
+
+
 def classification_metrics(scored: DataFrame) -> DataFrame:
     """One row: accuracy, precision, recall, f1 of label 1, and the exact AUC with ties.
 
-    Ranks come from counts per distinct score, so no task sorts all rows.
+    Counts per distinct score are dealt into ranges of scores of about equal size; how many
+    negatives lie below a score are those of the ranges before and those below it in its range.
+    So no task sees all scores, however many differ.
     """
     hit = lambda label, said: F.count_if((F.col("label") == label) & (F.col("prediction") == said))
     by_score = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label") == F.col("prediction")).alias("right"), hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = by_score.withColumn("score", F.col("score").cast("double")).approxQuantile("score", [i / SCORE_RANGES for i in range(1, SCORE_RANGES)], 0.5 / SCORE_RANGES)
+    place = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("score"))) if cuts else F.lit(0)
+    by_score = by_score.withColumn("range", place)
+    ranges = by_score.groupBy(F.col("range").alias("r")).agg(F.sum("neg").alias("n"))  # at most SCORE_RANGES rows
+    ranges = ranges.select("r", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_score = by_score.join(F.broadcast(ranges), F.col("range") == F.col("r"))
+    below = F.col("before") + inside
     wins = F.col("pos") * (F.col("below") + F.col("neg") / 2)
     t = by_score.withColumn("below", below).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "right", "tp", "fp", "fn")], F.sum(wins).alias("wins"))
     t = t.withColumns({"accuracy": F.try_divide(F.col("right"), F.col("pos") + F.col("neg")), "precision": F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)), "recall": F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))})

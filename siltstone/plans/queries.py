@@ -121,13 +121,13 @@ def _(spark, d):
 
 @query(
     "t_sources_block",
-    """SELECT source, md5(string_agg('--- Manba ' || rank || ' ---' || chr(10) || 'Qonun: ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Sahifa: ' || doc_id ELSE '' END || chr(10) || 'Matn: ' || substr(text, 1, 80), chr(10) || chr(10) ORDER BY rank)) AS block
+    """SELECT source, md5(string_agg('--- Manba ' || rank || ' ---' || chr(10) || 'Qonun: ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Sahifa: ' || doc_id ELSE '' END || chr(10) || 'Matn: ' || text, chr(10) || chr(10) ORDER BY rank)) AS block
     FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 5 GROUP BY source""",
 )
 def _(spark, d):
     best = retrieval.top_k(docs(spark, d).select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), (-F.col("doc_id")).alias("score"), "text", "lang"), 5)
     none = F.lit(None).cast("string")
-    block = X.source_block(F.col("rank"), F.substring("text", 1, 80), F.col("lang"), none, none, F.when(F.col("chunk_id") % 2 == 0, F.col("chunk_id")))
+    block = X.source_block(F.col("rank"), F.col("text"), F.col("lang"), none, none, F.when(F.col("chunk_id") % 2 == 0, F.col("chunk_id")))
     return best.groupBy(F.col("query_id").alias("source")).agg(F.md5(X.sources_text(F.col("rank"), block)).alias("block"))
 
 
@@ -573,9 +573,9 @@ def _(spark, d):
     return offers.first_of_url(read_table(spark, d, "pages"), "page_id").select("page_id", "url")
 
 
-@query("o_filter", f"SELECT offer_id, price FROM {_O} WHERE price IS NOT NULL AND price <> 0 AND price <= 1200 AND price >= 1000 AND lower(brand) = 'brand#11' AND in_stock")
+@query("o_filter", f"SELECT offer_id, price FROM {_O} WHERE price IS NOT NULL AND price <> 0 AND price <= 960 AND price >= 850 AND lower(brand) = 'brand#11' AND in_stock")
 def _(spark, d):
-    return offers.filter_offers(bound(spark, d, OFFERS), 1200, 1000, "BRAND#11", in_stock=True).select("offer_id", "price")
+    return offers.filter_offers(bound(spark, d, OFFERS), 960, 850, "BRAND#11", in_stock=True).select("offer_id", "price")
 
 
 @query("o_compare", f"SELECT product, count(*) AS offers, arg_min(offer_id, (price, offer_id)) AS cheapest_id, min(price) AS cheapest, arg_min(offer_id, (-price, offer_id)) AS dearest_id, max(price) AS dearest FROM {_O} WHERE price IS NOT NULL AND price <> 0 GROUP BY product")
@@ -704,10 +704,20 @@ def _(spark, d):
 _T = f"({duck(TRANSACTIONS)})"
 
 
-@query("m_split", f"SELECT count(*) AS rows FROM {_T}")
+def s_shuffled(key: str) -> str:
+    """The order of values.shuffled() in DuckDB SQL."""
+    return f"md5(concat({key}, '-42'))"
+
+
+def s_place(key: str) -> str:
+    """Eight digits of it as a number."""
+    return f"('0x' || substr({s_shuffled(key)}, 1, 8))::BIGINT"
+
+
+@query("m_split", f"SELECT id, CASE WHEN {s_place('id')} % 10000 < 8000 THEN 'train' ELSE 'test' END AS part FROM {_T}")
 def _(spark, d):
     a, b = tabular.split_rows(bound(spark, d, TRANSACTIONS), "id")
-    return a.union(b).agg(F.count(F.lit(1)).alias("rows"))
+    return a.select("id", F.lit("train").alias("part")).union(b.select("id", F.lit("test").alias("part")))
 
 
 @query("m_impute", f"SELECT id, round(coalesce(avg_amount_user, (SELECT avg(avg_amount_user) FROM {_T})), 6) AS avg_amount_user, coalesce(channel, (SELECT channel FROM {_T} WHERE channel IS NOT NULL GROUP BY channel ORDER BY count(*) DESC, channel LIMIT 1)) AS channel FROM {_T}")
@@ -826,9 +836,9 @@ def _(spark, d):
     return instructions.conversation_pairs(_talk(spark, d)).select("conv_id", "pair", *[F.md5(c).alias(c) for c in ("instruction", "input", "output")])
 
 
-@query("i_qa", "SELECT md5(text) AS instruction, '' AS input, md5(role) AS output FROM conversations WHERE turn = 0")
+@query("i_qa", "SELECT md5(text) AS instruction, '' AS input, md5(role) AS output FROM conversations")
 def _(spark, d):
-    rows = _talk(spark, d).where("turn = 0").select(F.md5("text").alias("question"), F.lit(None).cast("string").alias("context"), F.md5("role").alias("answer"))
+    rows = _talk(spark, d).select(F.md5("text").alias("question"), F.lit(None).cast("string").alias("context"), F.md5("role").alias("answer"))
     return instructions.qa_rows(rows)
 
 
@@ -873,16 +883,20 @@ def _(spark, d):
     return instructions.not_blank(instructions.conversation_pairs(_talk(spark, d))).select("conv_id", "pair")
 
 
-@query("i_split", "SELECT greatest(1, floor(count(*) * 0.1))::BIGINT AS val, (count(*) - greatest(1, floor(count(*) * 0.1)))::BIGINT AS train FROM conversations")
+@query(
+    "i_split",
+    f"""WITH k AS (SELECT *, conv_id * 1000 + turn AS k FROM conversations), r AS (SELECT *, row_number() OVER (ORDER BY {s_shuffled('k')}, k) AS nth FROM k)
+    SELECT conv_id, turn, CASE WHEN nth <= greatest(1, floor((SELECT count(*) FROM k) * 0.1::DOUBLE)) THEN 'val' ELSE 'train' END AS part FROM r""",
+)
 def _(spark, d):
     train, val = instructions.split_train(_talk(spark, d).withColumn("k", F.col("conv_id") * 1000 + F.col("turn")), "k")
-    one = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
-    return one(val, "val").join(one(train, "train"), how="cross")
+    return train.withColumn("part", F.lit("train")).union(val.withColumn("part", F.lit("val"))).select("conv_id", "turn", "part")
 
 
-@query("i_render")
+@query("i_render", _PAIRS + f"""SELECT md5(CASE WHEN {s_strip("coalesce(history, '')")} <> '' THEN {_sql_text(_WITH[0])} || {s_strip('instruction')} || {_sql_text(_WITH[1])} || {s_strip("coalesce(history, '')")} || {_sql_text(_WITH[2])} || {s_strip('output')}
+    ELSE {_sql_text(_WITHOUT[0])} || {s_strip('instruction')} || {_sql_text(_WITHOUT[1])} || {s_strip('output')} END || '</s>') AS text FROM p""")
 def _(spark, d):
-    return instructions.render(instructions.conversation_pairs(_talk(spark, d)))
+    return instructions.render(instructions.conversation_pairs(_talk(spark, d))).select(F.md5("text").alias("text"))
 
 
 @query("i_language")
@@ -896,7 +910,7 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", n["emails"].cast("long").alias("emails"), n["ids"].cast("long").alias("ids"), F.md5(instructions.scrub(F.col("text"))).alias("scrubbed"))
 
 
-@query("i_spot_check")
+@query("i_spot_check", f"SELECT doc_id, lang FROM documents WHERE {s_place('doc_id')} % 100 < 7")
 def _(spark, d):
     return instructions.sample_rows(docs(spark, d), "doc_id", 7).select("doc_id", "lang")
 
@@ -911,16 +925,37 @@ def _(spark, d):
     return instructions.leaked(docs(spark, d), read_table(spark, d, "benchmark"), "doc_id", "item_id")
 
 
-@query("i_stratified", "SELECT source, count(*) AS rows, ceil(count(*) * CASE WHEN (SELECT count(*) FROM documents) < 2000 THEN 0.1 ELSE 0.05 END)::BIGINT AS val FROM documents GROUP BY source")
+@query(
+    "i_stratified",
+    f"""SELECT doc_id, source, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY {s_shuffled('doc_id')}, doc_id) <= ceil(count(*) OVER (PARTITION BY source) * CASE WHEN (SELECT count(*) FROM documents) < 2000 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END) THEN 'val' ELSE 'train' END AS part FROM documents""",
+)
 def _(spark, d):
-    s = instructions.stratified_split(docs(spark, d).select("doc_id", "source"), "source", "doc_id")
-    return s.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("part") == "val").alias("val"))
+    return instructions.stratified_split(docs(spark, d).select("doc_id", "source"), "source", "doc_id")
 
 
-@query("i_mix", "SELECT 'public' AS slice, 70::BIGINT AS rows UNION ALL SELECT 'custom', 30")
+@query(
+    "i_mix",
+    f"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'public' ELSE 'custom' END AS slice FROM documents), n AS (SELECT slice, count(*) AS n, CASE WHEN slice = 'public' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS share FROM s GROUP BY slice),
+    t AS (SELECT floor(min(n / share)) AS total FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY {s_shuffled('doc_id')}, doc_id) AS nth FROM s)
+    SELECT doc_id, slice FROM r JOIN n USING (slice), t WHERE nth <= floor(total * share + 0.5::DOUBLE)""",
+)
+def _(spark, d):
+    t = docs(spark, d).select("doc_id")
+    slices = {"public": (t.where("doc_id % 2 = 0"), 0.7), "custom": (t.where("doc_id % 2 = 1"), 0.3)}
+    # as many rows as the slices allow at these shares
+    total = int(min(df.count() / share for df, share in slices.values()))
+    return instructions.mix_slices(slices, total, "doc_id")
+
+
+@query(
+    "i_near_copies",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i = 1 THEN 0.01 ELSE 0 END) FROM embeddings WHERE vec_id % 10 = 0)
+    SELECT a.vec_id AS key, b.vec_id AS other FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.95""",
+)
 def _(spark, d):
-    t = docs(spark, d).select("doc_id", "source")
-    return instructions.mix_slices({"public": (t.where("doc_id % 2 = 0"), 0.7), "custom": (t.where("doc_id % 2 = 1"), 0.3)}, 100, "doc_id").groupBy("slice").agg(F.count(F.lit(1)).alias("rows"))
+    v = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = v.where("vec_id % 10 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: x + F.when(i == 0, 0.01).otherwise(0.0)).alias("embedding"))
+    return instructions.near_copies(v.union(moved), "vec_id").select("key", "other")
 
 
 # ---- audits
@@ -957,17 +992,17 @@ def _(spark, d):
     return audit.append_sources(_audited_log(spark, d)).where("role = 'assistant'").select("conv_id", "turn", F.md5("audited").alias("audited"))
 
 
-_RESULTS = f"SELECT product, CASE WHEN product % 4 = 0 THEN '[]' WHEN product % 4 = 1 THEN '{{{{broken' ELSE to_json(list({{{{'name': name, 'price': price, 'store': store}}}} ORDER BY offer_id)) END AS result FROM {_O} WHERE offer_id % 3 = 0 GROUP BY product"
+_RESULTS = f"SELECT product, CASE WHEN product % 4 = 0 THEN '[]' WHEN product % 4 = 1 THEN '{{{{broken' ELSE to_json(list({{{{'name': name, 'price': price, 'store': store}}}} ORDER BY offer_id)) END AS result FROM {_O} GROUP BY product"
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    o = bound(spark, d, OFFERS).where("offer_id % 3 = 0")
+    o = bound(spark, d, OFFERS)
     listed = F.array_sort(F.collect_list(F.struct("offer_id", "name", "price", "store")))
     o = o.groupBy("product").agg(F.to_json(F.transform(listed, lambda x: F.struct(x["name"].alias("name"), x["price"].alias("price"), x["store"].alias("store")))).alias("j"))
     return o.select("product", F.when(F.col("product") % 4 == 0, "[]").when(F.col("product") % 4 == 1, "{broken").otherwise(F.col("j")).alias("result"))
 
 
-@query("g_tool_products", f"SELECT product, name, price, store FROM {_O} WHERE offer_id % 3 = 0 AND product % 4 > 1")
+@query("g_tool_products", f"SELECT product, name, price, store FROM {_O} WHERE product % 4 > 1")
 def _(spark, d):
     return audit.product_rows(_results(spark, d)).select("product", "name", "price", "store")
 
