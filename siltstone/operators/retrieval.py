@@ -2,36 +2,56 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import clean_query, tokens
+from siltstone.functions.text import clean_query, sources_text, tokens
+from siltstone.session import written
 
 
 @dataclass
 class LexicalIndex:
-    """postings (term, chunk_id, tf), lengths (chunk_id, len), terms (term, df), totals (n, avgdl)."""
+    """postings (term, chunk_id, tf, len), terms (term, df), totals (n, avgdl); len is the chunk's."""
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
     totals: DataFrame
 
 
 def build_lexical(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> LexicalIndex:
-    """Postings and statistics; a chunk without tokens counts towards the totals."""
+    """Postings and statistics; a chunk without tokens counts towards the totals.
+
+    Chunks are read and tokenised once, into a table of postings. Each chunk also posts a null
+    term, so that all statistics come from that table.
+    """
     tokenised = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    lengths = tokenised.select("chunk_id", F.size("terms").alias("len"))
-    postings = tokenised.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    return LexicalIndex(postings, lengths, terms, totals)
+    each = tokenised.select("chunk_id", F.size("terms").alias("len"), F.explode(F.array_append("terms", F.lit(None).cast("string"))).alias("term"))
+    table = written(each.groupBy("term", "chunk_id", "len").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    postings = table.where(F.col("term").isNotNull()).select("term", "chunk_id", "tf", "len")
+    terms = written(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    totals = table.where(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    return LexicalIndex(postings, terms, totals)
+
+
+def _met(wanted: DataFrame, index: LexicalIndex) -> DataFrame:
+    """Postings joined with the (query_id, term, times, idf, avgdl) that ask for their term.
+
+    Terms that hold more than one of `parts` shares of all postings are fewer than `parts`; their
+    postings are dealt by chunk, and the queries that ask for them go to every part.
+    """
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = index.terms.agg(F.sum("df")).first()[0] or 0
+    hot = F.broadcast(index.terms.where(F.col("df") > max(1, total // parts)).select("term"))
+    cold = index.postings.join(hot, "term", "left_anti").join(wanted, "term")
+    dealt = index.postings.join(hot, "term", "left_semi").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)))
+    every = wanted.join(hot, "term", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return cold.unionByName(dealt.join(every.withColumn("part", F.col("part").cast("long")), ["term", "part"]).drop("part"))
 
 
 def search_lexical(index: LexicalIndex, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, negative_idf: str = "floor") -> DataFrame:
@@ -49,7 +69,7 @@ def search_lexical(index: LexicalIndex, queries: DataFrame, k: int = 20, k1: flo
         mean = weighted.agg(F.avg("idf").alias("mean_idf")).withColumn("one", F.lit(1))
         weighted = weighted.join(F.broadcast(mean), "one").withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("idf")))
     wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    scored = wanted.join(weighted.select("term", "idf", "avgdl"), "term").join(index.postings, "term").join(index.lengths, "chunk_id")
+    scored = _met(wanted.join(weighted.select("term", "idf", "avgdl"), "term"), index)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scores = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("idf") * tf), 9).alias("score"))
     return top_k(scores, k).where(F.col("score") > 0)
@@ -61,31 +81,55 @@ def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search_dense(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 256) -> DataFrame:
+#: Vectors and query vectors of a block: what one task of a dense search holds.
+ROW_BLOCK, QUERY_BLOCK = 8192, 1024
+
+
+def search_dense(vectors: DataFrame, queries: DataFrame, k: int = 20, digits: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact inner products of (chunk_id, embedding) and (query_id, embedding).
 
-    Query vectors go in blocks of `block` to every part of the vectors; each part keeps its
-    own k best of each query, so what is shuffled does not grow with the product of both.
+    Blocks of ROW_BLOCK vectors meet blocks of QUERY_BLOCK query vectors, and each pair of blocks
+    keeps its own k best of each query: a task is bounded, and what is shuffled after it does not
+    grow with the product of both. With `digits` scores are rounded, so that equal vectors tie.
     """
-    dim = queries.select(F.size("embedding")).first()
-    if dim is None:
-        return queries.select("query_id").join(vectors.select("chunk_id"), F.lit(False)).withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
-    parts = max(8, vectors.sparkSession.sparkContext.defaultParallelism)
-    n_blocks = max(1, -(-queries.count() // block))
-    left = vectors.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("qb"), "chunk_id", "embedding")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("qb"), "query_id", "embedding")
-    kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("chunk_id",)} | {"query_id": queries.schema["query_id"].dataType.simpleString()}
-
-    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(q):
-            return pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": v["chunk_id"][:0], "score": pd.Series(dtype=float)})
-        v = v.sort_values("chunk_id")
-        scores = np.stack(q["embedding"].to_numpy()).astype(float) @ np.stack(v["embedding"].to_numpy()).astype(float).T
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), top.shape[1]), "chunk_id": v["chunk_id"].to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
-
-    found = left.groupBy("part", "qb").cogroup(right.groupBy("part", "qb")).applyInPandas(best, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
-    return top_k(found, k)
+    n, n_asked = vectors.count(), queries.count()
+    row_blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
+
+    def block(c: str, count: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    left = vectors.select(block("chunk_id", row_blocks).alias("rb"), every(query_blocks).alias("qb"), "chunk_id", "embedding")
+    right = queries.select(every(row_blocks).alias("rb"), block("query_id", query_blocks).alias("qb"), "query_id", "embedding")
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("chunk_id", vectors), ("query_id", queries))}
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
+
+    def best(v: pa.Table, q: pa.Table) -> pa.Table:
+        found = [pa.table({"query_id": q["query_id"][:0], "chunk_id": v["chunk_id"][:0], "score": pa.array([], pa.float64())})]
+        if v.num_rows and q.num_rows:
+            v = v.sort_by("chunk_id")
+            rows, asked = matrix(v["embedding"]), matrix(q["embedding"])
+            for i in range(0, len(asked), 128):
+                scores = asked[i : i + 128] @ rows.T
+                if digits is not None:
+                    scores = np.round(scores, digits)
+                # all that tie with the k-th best, then the first k by score and id
+                least = np.partition(scores, -min(k, len(rows)), axis=1)[:, -min(k, len(rows))]
+                of, at = np.nonzero(scores >= least[:, None])
+                order = np.lexsort((at, -scores[of, at], of))
+                of, at = of[order], at[order]
+                top = np.arange(len(of)) - np.searchsorted(of, of) < k
+                of, at = of[top], at[top]
+                found.append(pa.table({"query_id": q["query_id"].take(pa.array(of + i)), "chunk_id": v["chunk_id"].take(pa.array(at)), "score": pa.array(scores[of, at])}))
+        return pa.concat_tables(found)
+
+    met = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(best, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    return top_k(met, k)
 
 
 def embed(rows: DataFrame, encode: Callable[[list[str]], np.ndarray], id_col: str = "chunk_id", text_col: str = "text", batch: int = 32) -> DataFrame:
@@ -103,20 +147,21 @@ def embed(rows: DataFrame, encode: Callable[[list[str]], np.ndarray], id_col: st
     return rows.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, embedding array<float>")
 
 
-def hashing_encoder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """The bundled encoder: signed hashed counts of words, log-damped."""
-    import re
-    import zlib
-
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimension), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            for word in re.findall(r"\w+", text.lower()):
-                h = zlib.crc32(word.encode())
-                row[h % dimension] += 1 if h & 0x10000 else -1
-        return np.sign(out) * np.log1p(np.abs(out))
+def hashed_vectors(rows: DataFrame, id_col: str = "chunk_id", text_col: str = "text", dimension: int = 64) -> DataFrame:
+    """(id, embedding): the bundled encoder. Signed hashed counts of words, log-damped, of length 1.
 
-    return encode
+    Words are counted by component with column expressions alone; a text without words, or null,
+    has zeros. Ids should be unique.
+    """
+    words = rows.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("word"))
+    digits = lambda at, n: F.conv(F.substring(F.md5("word"), at, n), 16, 10).cast("long")
+    signed = F.when(digits(9, 1) % 2 == 0, 1).otherwise(-1)
+    sums = words.groupBy("id", (digits(1, 8) % dimension).cast("int").alias("at")).agg(F.sum(signed).alias("s"))
+    damped = (F.signum("s") * F.log1p(F.abs("s"))).alias("w")
+    listed = sums.select("id", "at", damped).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("held"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("held", i) / F.nullif(F.col("length"), F.lit(0.0)), F.lit(0.0)).cast("float"))
+    of = rows.select(F.col(id_col).alias("of")).join(listed, F.col("of").eqNullSafe(F.col("id")), "left")
+    return of.select(F.col("of").alias(id_col), dense.alias("embedding"))
 
 
 def normalised(hits: DataFrame, score: str = "score", name: str = "norm") -> DataFrame:
@@ -151,17 +196,23 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def overlap_score(query: Column, text: Column) -> Column:
-    """The bundled pair score: share of the query's tokens in the text, as a logit."""
-    q = token_set(query)
-    share = F.size(F.array_intersect(q, token_set(text))) / F.greatest(F.size(q), F.lit(1))
+    """The bundled pair score of two token sets: share of the query's tokens in the text, as a logit."""
+    share = F.size(F.array_intersect(query, text)) / F.greatest(F.size(query), F.lit(1))
     return 8 * share - 4
 
 
-def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 5, scorer: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
-    """Hits with text and a sigmoid pair score, the k best of each query; unknown chunks drop out."""
-    rows = hits.drop("rank").join(chunks, "chunk_id").join(queries.select("query_id", "query"), "query_id")
-    scored = rows.withColumn("reranker_score", 1 / (1 + F.exp(-scorer(F.col("query"), F.col("text")))))
-    return top_k(scored, k, "reranker_score")
+def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 5, scorer: Callable[[Column, Column], Column] = overlap_score, prepare: Callable[[Column], Column] = token_set) -> DataFrame:
+    """Hits with text and a sigmoid pair score, the k best of each query; unknown chunks drop out.
+
+    `prepare` makes of a text what `scorer` compares, once for each chunk that was hit and once
+    for each query, not once for each pair.
+    """
+    wanted = hits.select("chunk_id").distinct()
+    rows = chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", "text", prepare(F.col("text")).alias("__text"))
+    asked = queries.select("query_id", "query", prepare(F.col("query")).alias("__query"))
+    pairs = hits.drop("rank").join(rows, "chunk_id").join(asked, "query_id")
+    scored = pairs.withColumn("reranker_score", 1 / (1 + F.exp(-scorer(F.col("__query"), F.col("__text")))))
+    return top_k(scored.drop("__query", "__text"), k, "reranker_score")
 
 
 def compress(hits: DataFrame, threshold: float = 0.6, budget: int = 6000, score: str = "reranker_score") -> DataFrame:
@@ -203,15 +254,17 @@ def provenance(compressed: DataFrame) -> DataFrame:
     return compressed.select("query_id", "rank", "chunk_id", *[F.round(c, 4).alias(c) for c in cols], "status", F.count(F.lit(1)).over(w).alias("with_status"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, vectors: DataFrame, encode: Callable[[list[str]], np.ndarray], k: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, vectors: DataFrame, encode: Callable[[DataFrame, str, str], DataFrame] = hashed_vectors, k: int = 20, allowed: DataFrame | None = None) -> DataFrame:
     """From raw queries (query_id, query) to compressed hits, for all queries at once.
 
-    With `allowed` (chunk_id) the searches go four times as deep and the scope is applied after.
+    `encode` turns (rows, id column, text column) into (id, embedding), as hashed_vectors() does
+    or embed() with any encoder. With `allowed` (chunk_id) the searches go four times as deep and
+    the scope is applied after.
     """
     clean = queries.select("query_id", clean_query(F.col("query")).alias("query")).where(F.col("query").isNotNull())
     depth = k * (4 if allowed is not None else 1)
-    asked = embed(clean, encode, "query_id", "query")
-    fused = fuse(search_dense(vectors, asked, depth), search_lexical(index, clean, depth))
+    asked = encode(clean, "query_id", "query")
+    fused = fuse(search_dense(vectors, asked, depth, digits=9), search_lexical(index, clean, depth))
     best = scoped(fused, allowed, 2 * k) if allowed is not None else top_k(fused, 2 * depth, "combined_score")
     return compress(rerank(best, clean, chunks))
 
@@ -221,6 +274,29 @@ def answer_found(answer: Column, sentence: str) -> Column:
     return ~F.contains(answer, F.lit(sentence))
 
 
+def prompts(queries: DataFrame, compressed: DataFrame, block: Column, template: str, system: str, sentence: str) -> DataFrame:
+    """(query_id, messages, answer, answer_found) of every query (query_id, query).
+
+    messages are two of (role, content): `system`, and `template` with its {context} and
+    {question} filled in. The context is the `block` of each kept hit, numbered anew best first
+    (`block` may use the column `number`). A query without a kept hit asks nobody: it has no
+    messages, the fixed `sentence` as answer, and no answer found. Otherwise both are null until
+    a model has answered.
+    """
+    numbered = compressed.where(F.col("status") == "kept").withColumn("number", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    listed = numbered.groupBy("query_id").agg(sources_text(F.col("number"), block).alias("context"))
+    before, after = template.split("{context}")
+    if "{question}" in before:
+        raise ValueError("the question comes after the context")
+    middle, end = after.split("{question}")
+    content = F.concat(F.lit(before), "context", F.lit(middle), "query", F.lit(end))
+    messages = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), content.alias("content")))
+    none = F.col("context").isNull()
+    return queries.join(listed, "query_id", "left").select(
+        "query_id", F.when(~none, messages).alias("messages"), F.when(none, sentence).alias("answer"), F.when(none, F.lit(False)).alias("answer_found"),
+    )
+
+
 def evaluate(hits: DataFrame, golden: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, precision, recall, reciprocal_rank, ndcg, hit_rank) of each golden query.
 
@@ -276,8 +352,3 @@ def compare_runs(base: DataFrame, tuned: DataFrame) -> DataFrame:
 def training_series(log: DataFrame, name: str) -> DataFrame:
     """(step, value) points of one measure of a log of uneven entries (step, values map)."""
     return log.select("step", F.try_element_at("values", F.lit(name)).alias("value")).where(F.col("value").isNotNull())
-
-
-def log_base(n: int) -> float:
-    """Ideal gain of n relevant results in order."""
-    return sum(1 / math.log2(i + 1) for i in range(1, n + 1))

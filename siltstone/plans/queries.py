@@ -492,20 +492,70 @@ def _(spark, d):
 
 def _retrieved(spark: SparkSession, d: str) -> DataFrame:
     chunks = docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
-    encode = retrieval.hashing_encoder()
-    return retrieval.retrieve(_asked(spark, d), chunks, _index(spark, d), retrieval.embed(chunks, encode), encode)
+    return retrieval.retrieve(_asked(spark, d), chunks, _index(spark, d), retrieval.hashed_vectors(chunks))
+
+
+_TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def _duck_vectors(rows: str, ident: str, text: str) -> str:
+    """hashed_vectors() in DuckDB SQL, as (ident, bkt, x)."""
+    return f"""SELECT {ident}, bkt, (w / nullif(sqrt(sum(w * w) OVER (PARTITION BY {ident})), 0))::FLOAT::DOUBLE AS x FROM (SELECT {ident}, bkt, sign(s) * ln(1 + abs(s)) AS w FROM (
+      SELECT {ident}, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS bkt, sum(CASE WHEN ('0x' || substr(md5(word), 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS s
+      FROM (SELECT {ident}, unnest({_TOK.format(text)}) AS word FROM {rows}) GROUP BY ALL))"""
+
+
+_RETRIEVE = (
+    _BM25.replace("FROM benchmark)", "FROM asked)").replace("\nWITH d AS", f"""
+WITH RECURSIVE asked AS (SELECT item_id, regexp_replace(substr({s_clean('text')}, 1, 1000), '[{SP}]+$', '', 'g') AS text FROM benchmark),
+dv AS ({_duck_vectors('documents', 'doc_id', 'text')}), qv AS ({_duck_vectors('asked', 'item_id', 'text')}),
+d AS""")
+    + """, ds AS (SELECT item_id, doc_id, round(coalesce(sum(q.x * v.x), 0), 9) AS score FROM asked CROSS JOIN documents LEFT JOIN qv q USING (item_id) LEFT JOIN dv v USING (doc_id, bkt) GROUP BY ALL),
+dr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ds) WHERE rank <= 20),
+sr AS (SELECT * FROM b WHERE rank <= 20 AND score > 0),
+dn AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM dr WINDOW w AS (PARTITION BY item_id)),
+sn AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM sr WINDOW w AS (PARTITION BY item_id)),
+fu AS (SELECT item_id, doc_id, dn.score AS dense_score, sn.score AS sparse_score, 0.5::DOUBLE * coalesce(dn.norm, 0.0::DOUBLE) + 0.5::DOUBLE * coalesce(sn.norm, 0.0::DOUBLE) AS combined_score FROM dn FULL JOIN sn USING (item_id, doc_id)),
+fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY combined_score DESC, doc_id) AS rank FROM fu) WHERE rank <= 40),
+aq AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS qs FROM asked),
+dt AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS s, length(text) AS size FROM documents WHERE doc_id IN (SELECT doc_id FROM fb)),
+rr AS (SELECT *, 1 / (1 + exp(-(8 * (len(list_intersect(qs, s))::DOUBLE / greatest(len(qs), 1)) - 4))) AS reranker_score FROM fb JOIN aq USING (item_id) JOIN dt USING (doc_id)),
+h AS (SELECT * EXCLUDE (rank) FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY reranker_score DESC, doc_id)::INT AS nth FROM rr) WHERE nth <= 5),
+near AS (SELECT x.item_id, x.nth, list(y.nth) AS like_it FROM h x JOIN h y ON x.item_id = y.item_id AND y.nth < x.nth AND len(x.s) > 0 AND len(y.s) > 0 AND len(list_intersect(x.s, y.s))::DOUBLE / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) >= 0.6 GROUP BY ALL),
+hs AS (SELECT h.*, coalesce(near.like_it, []) AS like_it FROM h LEFT JOIN near USING (item_id, nth)),
+st(item_id, nth, uniq, kept, used, status) AS (
+  SELECT item_id, 0, []::INT[], 0::BIGINT, 0::BIGINT, '' FROM asked
+  UNION ALL SELECT st.item_id, hs.nth,
+    CASE WHEN list_has_any(uniq, like_it) THEN uniq ELSE list_append(uniq, hs.nth) END,
+    CASE WHEN NOT list_has_any(uniq, like_it) AND (kept = 0 OR used + size <= 6000) THEN kept + 1 ELSE kept END,
+    CASE WHEN NOT list_has_any(uniq, like_it) AND (kept = 0 OR used + size <= 6000) THEN used + size ELSE used END,
+    CASE WHEN list_has_any(uniq, like_it) THEN 'duplicate' WHEN kept = 0 OR used + size <= 6000 THEN 'kept' ELSE 'budget' END
+  FROM st JOIN hs ON hs.item_id = st.item_id AND hs.nth = st.nth + 1),
+out AS (SELECT h.*, st.status FROM h JOIN st USING (item_id, nth))
+"""
+)
 
 
-@query("r_retrieve")
+@query("r_retrieve", _RETRIEVE + "SELECT item_id AS query_id, nth AS rank, doc_id AS chunk_id, round(reranker_score, 6) AS score, status FROM out")
 def _(spark, d):
     return _retrieved(spark, d).select("query_id", "rank", "chunk_id", F.round("reranker_score", 6).alias("score"), "status")
 
 
-@query("r_provenance")
+@query("r_provenance", _RETRIEVE + "SELECT item_id AS query_id, nth AS rank, doc_id AS chunk_id, round(dense_score, 4) AS dense_score, round(sparse_score, 4) AS sparse_score, round(combined_score, 4) AS combined_score, round(reranker_score, 4) AS reranker_score, status, count(*) OVER (PARTITION BY item_id, status) AS with_status FROM out")
 def _(spark, d):
     return retrieval.provenance(_retrieved(spark, d))
 
 
+@query("r_prompts", _RETRIEVE + """SELECT a.item_id AS query_id, md5('Sources:' || chr(10) || string_agg('--- Manba ' || k.number || ' ---' || chr(10) || 'Matn: ' || d2.text, chr(10) || chr(10) ORDER BY k.number) || chr(10) || 'Question: ' || any_value(a.text)) AS asked, NULL::VARCHAR AS answer
+  FROM asked a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY nth) AS number FROM out WHERE status = 'kept') k USING (item_id) LEFT JOIN documents d2 USING (doc_id) GROUP BY a.item_id""")
+def _(spark, d):
+    none = F.lit(None).cast("string")
+    block = X.source_block(F.col("number"), F.col("text"), none, none, none, none)
+    asked = _asked(spark, d).withColumn("query", X.clean_query(F.col("query")))
+    made = retrieval.prompts(asked, _retrieved(spark, d), block, "Sources:\n{context}\nQuestion: {question}", "Answer from the sources.", "Nothing was found.")
+    return made.select("query_id", F.md5(F.get("messages", F.lit(1))["content"]).alias("asked"), "answer")
+
+
 # ---- evaluation: hits of one label are relevant
 
 _EVAL = _DENSE + """,

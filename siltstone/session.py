@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +41,21 @@ def with_workers(spark: SparkSession) -> SparkSession:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table by name; works with any path that Spark's readers open."""
     return with_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder (spark.checkpoint.dir), read back.
+
+    What is used several times is computed once, and a lost executor repeats only what comes
+    after the table. In local mode a folder of its own stands in where the setting is unset.
+    """
+    spark = with_workers(df.sparkSession)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="siltstone-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/siltstone-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
