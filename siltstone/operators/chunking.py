@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import approx_tokens, chunk_id
-from siltstone.operators.structure import LEGAL, Patterns, articles, distinct_articles, strip_noise
+from siltstone.functions.text import approx_tokens, chunk_id, title
+from siltstone.operators.structure import LEGAL, Patterns, articles, distinct_articles, page_of, strip_noise
 
 SIZE, OVERLAP = 800, 150
 # Separators from the strongest to none.
@@ -97,13 +97,35 @@ def split_column(df: DataFrame, text_col: str, size: int = SIZE, overlap: int =
     return df.mapInPandas(run, schema)
 
 
-def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP, by_tokens: bool = False, patterns: Patterns = LEGAL) -> DataFrame:
-    """(id, chunk_index, chunk_id, text, char_count, article_number, section, start_offset).
+#: Longest first line that counts as a document's name.
+LONGEST_NAME = 150
+
+
+def chunk_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SIZE,
+    overlap: int = OVERLAP,
+    by_tokens: bool = False,
+    patterns: Patterns = LEGAL,
+    pages_col: str | None = None,
+    name_col: str | None = None,
+) -> DataFrame:
+    """(id, chunk_index, chunk_id, text, char_count, law_name, article_number, section, page_number, start_offset).
 
     A document with articles gives one chunk per article, or several where it is over `size`;
-    one without is split as a whole.
+    one without is split as a whole. With `pages_col` (array of strings) the text is that of the
+    pages, and each chunk has the number of the page on which its article, or without articles
+    the chunk, starts; null where a document has one page. law_name is the first line that is
+    not blank, if it is short enough, else the file name in `name_col` without its suffix.
     """
-    clean = docs.select(F.col(id_col).alias("doc"), strip_noise(F.col(text_col), patterns).alias("text"))
+    name = F.regexp_replace(F.col(name_col), "\\.[^.]*$", "") if name_col else F.lit(None).cast("string")
+    whole = F.array_join(pages_col, "\n\n") if pages_col else F.col(text_col)
+    pages = F.transform(pages_col, lambda x: strip_noise(x, patterns)) if pages_col else F.array(strip_noise(F.col(text_col), patterns))
+    clean = docs.select(F.col(id_col).alias("doc"), F.array_join(pages, "\n\n").alias("text"))
+    # by the text as it was: boilerplate may be the first line
+    names = docs.select(F.col(id_col).alias("named"), title(whole, name, LONGEST_NAME).alias("law_name"))
     found = distinct_articles(articles(clean, "doc", "text", patterns), "doc")
     plain = clean.join(found.select("doc").distinct(), "doc", "left_anti")
     none = F.lit(None).cast("string")
@@ -116,8 +138,13 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = kept.unionByName(split_column(units.where(~fits), "text", size, overlap, by_tokens))
     index = F.row_number().over(Window.partitionBy("doc").orderBy("nth", "piece")) - 1
     out = chunks.withColumn("chunk_index", index)
-    start = F.when(F.col("whole"), F.col("base")).otherwise(F.col("base") + F.col("at"))
+    out = out.withColumn("offset", F.when(F.col("whole"), F.col("base")).otherwise(F.col("base") + F.col("at")))
+    if pages_col:
+        out = page_of(out, docs.select(F.col(id_col).alias("doc"), pages.alias("pages")), "doc")
+    else:
+        out = out.withColumn("page_number", F.lit(None).cast("int"))
+    out = out.join(names, F.col("doc") == F.col("named"), "left")
     return out.select(
         F.col("doc").alias(id_col), "chunk_index", chunk_id(F.col("doc"), F.col("chunk_index")).alias("chunk_id"), "text",
-        F.length("text").alias("char_count"), "article_number", "section", start.alias("start_offset"),
+        F.length("text").alias("char_count"), "law_name", "article_number", "section", "page_number", F.col("offset").alias("start_offset"),
     )

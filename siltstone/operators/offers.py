@@ -103,6 +103,16 @@ def facet_filter(offers: DataFrame, brands: list[str], stores: list[str]) -> Dat
     return offers
 
 
+def sort_keys(by: str = "price", tie: str = "offer_id") -> list[Column]:
+    """The order of offers by `price` (without one last), `name` or `store`, whatever the case; ties by id."""
+    keys = {"price": [F.col("price").asc_nulls_last()], "name": [F.lower(F.coalesce("name", F.lit("")))], "store": [F.lower(F.coalesce("store", F.lit("")))]}
+    return [*keys[by], F.col(tie)]
+
+
+def sort_offers(offers: DataFrame, by: str = "price", tie: str = "offer_id") -> DataFrame:
+    return offers.orderBy(*sort_keys(by, tie))
+
+
 def replace_cached(cache: DataFrame, rows: DataFrame, key: str = "query") -> DataFrame:
     """The cache with the rows of each query in `rows` replaced."""
     return cache.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
@@ -203,13 +213,17 @@ def display_flights(flights: DataFrame) -> DataFrame:
     )
 
 
-def convert(rows: DataFrame, rates: DataFrame, target: str) -> DataFrame:
-    """Priced rows in `target` through `rates` (currency, rate to target); null where a rate lacks.
+def convert(rows: DataFrame, rates: DataFrame, target: str, strict: bool = True) -> DataFrame:
+    """Priced rows in `target` through `rates` (currency, rate to target).
 
-    missing_rates() lists what lacks: a caller that must not convert in part checks it first.
+    A priced row whose currency has no rate fails the batch; if not `strict`, it is null.
+    missing_rates() lists what lacks.
     """
     joined = rows.join(rates, "currency", "left")
     rate = F.when(F.col("currency") == target, 1.0).otherwise(F.col("rate"))
+    if strict:
+        lacks = F.col("price").isNotNull() & rate.isNull()
+        rate = F.when(lacks, F.raise_error(F.concat(F.lit("no rate from "), F.coalesce("currency", F.lit("null")), F.lit(f" to {target}"))).cast("double")).otherwise(rate)
     return joined.withColumn("converted", F.round(F.col("price") * rate, 2)).drop("rate")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,35 @@ def lacking_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors.select(F.col("chunk_id").alias("id")), "id", "left_anti")
 
 
+def heal_vectors(chunks: DataFrame, vectors: DataFrame, encode: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """`vectors` (chunk_id, embedding) and those of the chunks that lack one, embedded from their stored text.
+
+    `encode` turns (rows, id column, text column) into (id, embedding).
+    """
+    made = encode(lacking_vectors(chunks, vectors).select(F.col("id").alias("chunk_id"), "text"), "chunk_id", "text")
+    return vectors.select("chunk_id", "embedding").unionByName(made.select("chunk_id", "embedding"))
+
+
+def find_documents(documents: DataFrame, id: str | None = None, file_hash: str | None = None, file_path: str | None = None) -> DataFrame:
+    """The documents with the given id, content hash or path; all given values count."""
+    for column, value in (("id", id), ("file_hash", file_hash), ("file_path", file_path)):
+        if value is not None:
+            documents = documents.where(F.col(column) == value)
+    return documents
+
+
+def list_documents(documents: DataFrame, status: str | None = None) -> DataFrame:
+    """Documents, or those of one status, the newest first; ties by id."""
+    chosen = documents if status is None else documents.where(F.col("status") == status)
+    return chosen.orderBy(F.col("created_at").desc(), "id")
+
+
+def chunks_of(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks of the documents in `ids` (id), in the documents' order."""
+    wanted = ids.select(F.col("id").alias("document_id")).distinct()
+    return chunks.join(wanted, "document_id", "left_semi").orderBy("document_id", "chunk_index")
+
+
 def sync_summary(outcomes: DataFrame) -> DataFrame:
     """One row: files in all and by outcome."""
     kinds = ("new", "updated", "skipped_unchanged", "skipped_duplicate", "failed")

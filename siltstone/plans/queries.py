@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions import values as V
 from siltstone.operators import audit, chunking, instructions, offers, retrieval, structure, sync, tabular
 from siltstone.plans.bindings import FILES, FLIGHTS, KNOWN, OFFERS, SEARCHES, TRANSACTIONS, bound, duck
-from siltstone.session import read_table
+from siltstone.session import read_table, scratch
 from siltstone.sources import files, payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,6 +287,33 @@ def _(spark, d):
     return chunking.chunk_documents(docs(spark, d))
 
 
+@query("c_chunk_checks", f"SELECT doc_id, true AS sizes, true AS placed, true AS whole FROM documents WHERE regexp_matches(text, '[^{SP}]')")
+def _(spark, d):
+    """Chunks are within the size, start as the text does where they say, go forward, and hold every word of the text."""
+    clean = docs(spark, d).select("doc_id", structure.strip_noise(F.col("text")).alias("clean"))
+    chunks = chunking.chunk_documents(docs(spark, d)).join(clean, "doc_id")
+    before = F.lag("start_offset").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    checked = chunks.select(
+        "doc_id", "clean", X.tokens(F.col("text")).alias("words"), (F.col("char_count") <= chunking.SIZE).alias("sizes"),
+        ((F.substring(F.col("clean"), (F.col("start_offset") + 1).cast("int"), F.least("char_count", F.lit(50))) == F.substring("text", 1, 50)) & F.coalesce(before < F.col("start_offset"), F.lit(True))).alias("placed"),
+    )
+    each = checked.groupBy("doc_id").agg(F.bool_and("sizes").alias("sizes"), F.bool_and("placed").alias("placed"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("held"), F.first("clean").alias("clean"))
+    return each.select("doc_id", "sizes", "placed", (F.size(F.array_except(X.tokens(F.col("clean")), "held")) == 0).alias("whole"))
+
+
+@query(
+    "c_chunk_names",
+    f"""WITH p AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN [text, 'second page of ' || doc_id] ELSE [text] END AS pages FROM documents WHERE length(text) < 700 AND regexp_matches(text, '[^{SP}]')),
+    f AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: {s_strip('x')}), lambda x: x <> '')[1] AS first FROM p)
+    SELECT doc_id, CASE WHEN length(first) <= 150 THEN first ELSE source END AS law_name, CASE WHEN doc_id % 2 = 0 THEN 1 END AS page_number FROM f""",
+)
+def _(spark, d):
+    rows = docs(spark, d).where((F.length("text") < 700) & F.col("text").rlike(f"[^{X.SPACE}]"))
+    paged = rows.withColumn("pages", F.when(F.col("doc_id") % 2 == 0, F.array("text", F.concat(F.lit("second page of "), F.col("doc_id").cast("string")))).otherwise(F.array("text")))
+    chunks = chunking.chunk_documents(paged.withColumn("file", F.concat("source", F.lit(".txt"))), pages_col="pages", name_col="file")
+    return chunks.where("chunk_index = 0").select("doc_id", "law_name", "page_number")
+
+
 @query("c_article_chunks")
 def _(spark, d):
     return chunking.chunk_documents(_legal(spark, d), by_tokens=True, size=200, overlap=30)
@@ -366,6 +394,44 @@ def _(spark, d):
     return chunks.join(failed, "document_id").orderBy("document_id", "chunk_index").select("id", "chunk_index", F.md5("text").alias("body"))
 
 
+@query("d_find", "SELECT 'd' || doc_id AS id FROM documents WHERE sha256(text) = (SELECT sha256(text) FROM documents ORDER BY doc_id LIMIT 1) UNION ALL SELECT 'd' || doc_id FROM documents WHERE doc_id = 7")
+def _(spark, d):
+    rows = docs(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "doc_id", F.sha2("text", 256).alias("file_hash"), F.col("source").alias("file_path"))
+    first = rows.agg(F.min_by("file_hash", "doc_id")).first()[0]
+    return sync.find_documents(rows, file_hash=first).select("id").union(sync.find_documents(rows, id="d7").select("id"))
+
+
+@query("d_list", "SELECT doc_id AS id, (row_number() OVER (ORDER BY n_chars DESC, doc_id))::INT AS nth FROM documents WHERE doc_id % 10 <> 0")
+def _(spark, d):
+    rows = docs(spark, d).select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, "failed").otherwise("indexed").alias("status"), F.timestamp_seconds("n_chars").alias("created_at"))
+    listed = sync.list_documents(rows, "indexed")
+    # the order of the list, by the columns it goes by
+    return listed.select("id", F.row_number().over(Window.orderBy(F.col("created_at").desc(), "id")).alias("nth"))
+
+
+@query("d_chunks_of", f"SELECT printf('%d::%05d', doc_id, i) AS id FROM {_CHUNKS_SQL} WHERE doc_id % 7 = 0")
+def _(spark, d):
+    documents, chunks, _ = _tables(spark, d)
+    return sync.chunks_of(chunks, documents.where("id % 7 = 0").select("id")).select("id")
+
+
+@query("d_heal", f"SELECT doc_id, count(*) AS vectors, count(*) FILTER (i % 2 = 1 AND regexp_matches(text, '[\\p{{L}}\\p{{N}}_]')) AS made FROM {_CHUNKS_SQL} GROUP BY doc_id")
+def _(spark, d):
+    _, chunks, vectors = _tables(spark, d)
+    healed = sync.heal_vectors(chunks, vectors, retrieval.hashed_vectors)
+    made = (F.size("embedding") == 64) & F.exists("embedding", lambda x: x != 0)
+    return healed.groupBy(F.split("chunk_id", "::")[0].cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("vectors"), F.count_if(made).alias("made"))
+
+
+@query("d_wipe", "SELECT 0::BIGINT AS rows, (SELECT count(*) FROM documents) AS fresh")
+def _(spark, d):
+    """A rebuild is a sync against a wiped table: every file of new content is new."""
+    gone = sync.wipe(bound(spark, d, KNOWN))
+    files_now = bound(spark, d, FILES).select("path", F.concat("file_hash", "path").alias("file_hash"))
+    out = sync.classify_changes(files_now, gone)
+    return gone.agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(out.agg(F.count_if(F.col("outcome") == "new").alias("fresh"))), how="cross")
+
+
 @query("d_replace_vectors", "SELECT vec_id, md5(array_to_string([round(x, 4) FOR x IN CASE WHEN vec_id % 5 = 0 AND vec_id % 10 <> 0 THEN [-y FOR y IN embedding] ELSE embedding END][1:4], ',')) IS NOT NULL AS present, (CASE WHEN vec_id % 5 = 0 AND vec_id % 10 <> 0 THEN -1 ELSE 1 END * embedding[1])::DOUBLE AS first FROM embeddings")
 def _(spark, d):
     table = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
@@ -734,6 +800,30 @@ def _(spark, d):
     return offers.missing_rates(bound(spark, d, OFFERS), rates, "UZS")
 
 
+@query("o_sorted", f"SELECT offer_id, rank() OVER (PARTITION BY product ORDER BY price NULLS LAST, offer_id)::INT AS by_price, rank() OVER (PARTITION BY product ORDER BY lower(coalesce(name, '')), offer_id)::INT AS by_name, rank() OVER (PARTITION BY product ORDER BY lower(store), offer_id)::INT AS by_store FROM {_O}")
+def _(spark, d):
+    place = lambda by: F.rank().over(Window.partitionBy("product").orderBy(*offers.sort_keys(by))).alias(f"by_{by}")
+    return bound(spark, d, OFFERS).select("offer_id", place("price"), place("name"), place("store"))
+
+
+@query("o_sort", f"SELECT offer_id FROM {_O} WHERE price < 850")
+def _(spark, d):
+    return offers.sort_offers(bound(spark, d, OFFERS).where("price < 850"), "price").select("offer_id")
+
+
+@query("o_status", f"SELECT flight_number, route FROM {_F} WHERE flight_number = (SELECT min(flight_number) FROM {_F})")
+def _(spark, d):
+    legs = bound(spark, d, FLIGHTS).withColumn("seq", F.col("route"))
+    number = legs.agg(F.min("flight_number")).first()[0]
+    return offers.flight_status(legs, number.lower()).select("flight_number", "route")
+
+
+@query("o_convert_lenient", f"SELECT offer_id, round(price * CASE currency WHEN 'UZS' THEN 1.0::DOUBLE WHEN 'USD' THEN 12650.5::DOUBLE END, 2) AS converted FROM {_O}")
+def _(spark, d):
+    rates = spark.createDataFrame([("USD", 12650.5)], "currency string, rate double")
+    return offers.convert(bound(spark, d, OFFERS), rates, "UZS", strict=False).select("offer_id", "converted")
+
+
 _PLACE = "SELECT c_custkey AS id, (c_custkey * 7) % 180 - 90 + 0.25 AS lat, (c_custkey * 13) % 360 - 180 + 0.25 AS lon FROM customer"
 
 
@@ -801,10 +891,15 @@ def _(spark, d):
     return tabular.scale(t, tabular.ranges(t.drop("id"))).withColumn("amount", F.round("amount", 8))
 
 
-@query("m_knn_impute")
+@query(
+    "m_knn_impute",
+    f"""WITH t AS (SELECT id, amount, avg_amount_user AS v, account_age_days::DOUBLE AS age FROM {_T}),
+    n AS (SELECT h.id, d.v, row_number() OVER (PARTITION BY h.id ORDER BY sqrt(((h.amount - d.amount) * (h.amount - d.amount) + (h.age - d.age) * (h.age - d.age)) * 3 / 2), d.id) AS nth FROM t h, t d WHERE h.v IS NULL AND d.v IS NOT NULL QUALIFY nth <= 5),
+    m AS (SELECT id, avg(v) AS v FROM n GROUP BY id) SELECT t.id, amount, round(coalesce(t.v, m.v), 6) AS avg_amount_user, age FROM t LEFT JOIN m USING (id)""",
+)
 def _(spark, d):
     t = bound(spark, d, TRANSACTIONS).select("id", "amount", "avg_amount_user", F.col("account_age_days").cast("double").alias("age"))
-    return tabular.knn_impute(t, "id", ["amount", "avg_amount_user", "age"])
+    return tabular.knn_impute(t, "id", ["amount", "avg_amount_user", "age"]).withColumn("avg_amount_user", F.round("avg_amount_user", 6))
 
 
 @query("m_features", f"SELECT id, round(amount / nullif(avg_amount_user, 0), 8) AS amount_ratio, round(total_transactions_user / (account_age_days + 1), 8) AS tx_per_day, (shipping_distance_km > 100)::INT AS far_shipping, round(avg_amount_user / (total_transactions_user + 1), 8) AS avg_per_tx FROM {_T}")
@@ -867,6 +962,45 @@ def _(spark, d):
     return tabular.local_attribution(rows, "id", rows.agg(F.min("id")).first()[0])
 
 
+#: A linear model as stated, for which contributions can be checked.
+_STATED = {"amount": 0.002, "account_age_days": -0.01, "total_transactions_user": 0.25}
+
+
+def _stated(spark: SparkSession, d: str) -> DataFrame:
+    t = bound(spark, d, TRANSACTIONS).select("id", *_STATED)
+    means = t.agg(*[F.avg(c).alias(c) for c in _STATED]).first().asDict()
+    return tabular.attributions(t, _STATED, means, "id")
+
+
+_STATED_SQL = " UNION ALL ".join(f"SELECT id, '{c}' AS feature, {w}::DOUBLE * ({c} - (SELECT avg({c}) FROM {_T})) AS contribution FROM {_T}" for c, w in _STATED.items())
+
+
+@query("m_attributions", f"SELECT id, feature, round(contribution, 6) AS contribution FROM ({_STATED_SQL})")
+def _(spark, d):
+    return _stated(spark, d).withColumn("contribution", F.round("contribution", 6))
+
+
+@query("m_stated_global", f"SELECT feature, round(avg(abs(contribution)), 6) AS importance FROM ({_STATED_SQL}) GROUP BY feature ORDER BY avg(abs(contribution)) DESC LIMIT 2")
+def _(spark, d):
+    return tabular.global_attribution(_stated(spark, d), 2).withColumn("importance", F.round("importance", 6))
+
+
+@query("m_stated_local", f"SELECT id, feature, round(contribution, 6) AS contribution FROM ({_STATED_SQL}) WHERE id = (SELECT min(id) FROM {_T}) ORDER BY abs(contribution) DESC LIMIT 2")
+def _(spark, d):
+    rows = _stated(spark, d)
+    return tabular.local_attribution(rows, "id", rows.agg(F.min("id")).first()[0], 2).withColumn("contribution", F.round("contribution", 6))
+
+
+@query("m_saved_model", f"SELECT id, true AS same FROM {_T}")
+def _(spark, d):
+    """A model read back from where it was saved says of every row what it said before."""
+    rows = tabular.assemble(bound(spark, d, TRANSACTIONS), _FEATURES, "is_fraud").select("id", "features", "label")
+    model, path = tabular.fit_model("tree", rows), scratch(spark, "model")
+    tabular.save_model(model, path)
+    again = tabular.predictions(PipelineModel.load(path).stages[0], rows, "id").select(F.col("id").alias("of"), F.col("score").alias("other"))
+    return tabular.predictions(model, rows, "id").join(again, F.col("id") == F.col("of")).select("id", (F.col("score") == F.col("other")).alias("same"))
+
+
 # ---- instruction data
 
 
@@ -948,10 +1082,16 @@ def _(spark, d):
 def _(spark, d):
     return instructions.render(instructions.conversation_pairs(_talk(spark, d))).select(F.md5("text").alias("text"))
 
+def _language_sql() -> str:
+    shares = ", ".join(f"{{{{'s': -(len(list_filter(t, lambda x: list_contains([{', '.join(_sql_text(w) for w in words)}], x)))::DOUBLE / greatest(len(t), 1)), 'l': '{k}'}}}}".replace("{{", "{").replace("}}", "}") for k, words in instructions.COMMON_WORDS.items())
+    return f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
+    s AS (SELECT doc_id, list_sort([{shares}])[1] AS best, coalesce(regexp_matches(text, 'Ã[\\x{{80}}-\\x{{BF}}]|â€|\\x{{FFFD}}'), false) AS mojibake FROM d)
+    SELECT doc_id, CASE WHEN best.s < 0 THEN best.l END AS guess, round(0.0 - best.s, 8) AS share, mojibake FROM s"""
 
-@query("i_language")
+
+@query("i_language", _language_sql())
 def _(spark, d):
-    return instructions.language_guess(docs(spark, d))
+    return instructions.language_guess(docs(spark, d)).withColumn("share", F.round("share", 8))
 
 
 @query("i_personal", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS emails, len(regexp_extract_all(text, '\\b[0-9]{13,19}\\b')) AS ids, md5(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g'), '\\b[0-9]{13,19}\\b', '<id>', 'g'), '\\+?[0-9][0-9 ()-]{7,}[0-9]', '<phone>', 'g')) AS scrubbed FROM documents")
@@ -1057,11 +1197,16 @@ def _(spark, d):
     return audit.product_rows(_results(spark, d)).select("product", "name", "price", "store")
 
 
-@query("g_grounded")
+@query(
+    "g_grounded",
+    f"""WITH o AS (SELECT product, name, price, store, row_number() OVER (PARTITION BY product ORDER BY offer_id) AS nth FROM {_O}),
+    r AS (SELECT product, string_agg(nth || '. ' || name || ' — ' || CASE WHEN price IS NULL THEN 'narxi noma''lum' ELSE replace(format('{{:,.0f}}', price), ',', ' ') END || ' UZS, ' || store, chr(10) ORDER BY nth) AS listed FROM o WHERE nth <= 10 GROUP BY product)
+    SELECT p_partkey AS round_id, md5(CASE WHEN product IS NULL THEN 'free text' WHEN product % 4 <= 1 THEN 'nothing found' ELSE 'Topilgan mahsulotlar:' || chr(10) || listed END) AS answer FROM part LEFT JOIN r ON product = p_partkey""",
+)
 def _(spark, d):
     r = _results(spark, d).select(F.col("product").alias("round_id"), F.lit(1).alias("seq"), F.lit("search_products_tool").alias("tool"), "result")
     answers = read_table(spark, d, "part").select(F.col("p_partkey").alias("round_id"), F.lit("free text").alias("answer"))
-    return audit.grounded_answers(r, answers, "nothing found")
+    return audit.grounded_answers(r, answers, "nothing found").withColumn("answer", F.md5("answer"))
 
 
 @query("g_call_log", "SELECT conv_id, turn, 0 AS nth, role AS call FROM conversations UNION ALL SELECT conv_id, turn, 1, 'x' FROM conversations")

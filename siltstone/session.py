@@ -43,19 +43,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return with_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder (spark.checkpoint.dir), read back.
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder (spark.checkpoint.dir).
 
-    What is used several times is computed once, and a lost executor repeats only what comes
-    after the table. In local mode a folder of its own stands in where the setting is unset.
+    In local mode a folder of its own stands in where the setting is unset; on a cluster that
+    would be a folder of one machine, so there it is an error.
     """
-    spark = with_workers(df.sparkSession)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/siltstone-{label}-{uuid.uuid4().hex}"
+    return f"{folder}/siltstone-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, read back.
+
+    What is used several times is computed once, and a lost executor repeats only what comes
+    after the table.
+    """
+    spark = with_workers(df.sparkSession)
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

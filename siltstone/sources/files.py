@@ -40,10 +40,13 @@ def align(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """(path, suffix, content, n_bytes) of all files of known kinds below `root`, in path order."""
+    """(path, suffix, content, n_bytes) of all files of known kinds below `root`.
+
+    Contents are not sorted: what goes by the order of paths sorts the paths.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     suffix = F.lower(F.regexp_extract("path", "(\\.[^./]*)$", 1))
-    return files.withColumn("suffix", suffix).where(F.col("suffix").isin(*KNOWN)).select("path", "suffix", "content", F.col("length").alias("n_bytes")).orderBy("path")
+    return files.withColumn("suffix", suffix).where(F.col("suffix").isin(*KNOWN)).select("path", "suffix", "content", F.col("length").alias("n_bytes"))
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
@@ -135,17 +138,25 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def validate_upload(spark: SparkSession, path: str) -> DataFrame:
-    """(raw, instruction, input, output, valid) of a JSON array or JSON lines."""
-    whole = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
-    array = F.trim("value").startswith("[")
-    items = F.when(array, F.from_json("value", "array<string>")).otherwise(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != ""))
-    each = whole.select(F.explode(items).alias("raw"))
+    """(raw, instruction, input, output, valid) of uploads: `.json` files hold an array, all others JSON lines.
+
+    Rows are valid if they are objects with an instruction and an output. Lines are read as lines,
+    so a large file of them is split over tasks; an array is one value and goes whole.
+    """
+    array = F.col("_metadata.file_name").endswith(".json")
+    listed = spark.read.text(path, wholetext=True).where(array).select(F.explode(F.from_json("value", "array<string>")).alias("raw"))
+    each = spark.read.text(path).where(~array & (F.trim("value") != "")).select(F.col("value").alias("raw")).unionByName(listed)
     keys = F.json_object_keys("raw")
     has = F.coalesce(F.array_contains(keys, "instruction") & F.array_contains(keys, "output"), F.lit(False))
     get = lambda k: F.get_json_object("raw", f"$.{k}")
     return each.select("raw", get("instruction").alias("instruction"), F.coalesce(get("input"), F.lit("")).alias("input"), get("output").alias("output"), has.alias("valid"))
 
 
+def upload_report(rows: DataFrame) -> DataFrame:
+    """One row: rows of validate_upload() in all, valid and invalid."""
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
+
+
 def pages_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of stored pages: visible, cleaned text."""
     return pages.select("page_id", "url", clean_text(html_text(F.col("html")), apostrophes=False).alias("text"))

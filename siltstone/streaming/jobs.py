@@ -57,12 +57,26 @@ def latest_offers(offers: DataFrame, ttl_seconds: int = 900) -> DataFrame:
 
 
 def offers_stream(offers: DataFrame, table_path: str, checkpoint: str, ttl_seconds: int = 900) -> StreamingQuery:
-    """Keeps a table of the latest fresh offer of each (store, url), one folder per batch."""
+    """Adds the latest offers of each batch as a folder of the table, and deletes folders that have aged.
+
+    A batch writes what it brought and nothing else; a repeated batch replaces what it wrote.
+    Folders whose newest offer is older than the TTL hold none that read_offers() would give.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = f"{table_path}/v{batch_id - 1}"
-        rows = batch.unionByName(spark.read.parquet(before)) if _exists(spark, before) else batch
-        latest_offers(rows, ttl_seconds).write.mode("overwrite").parquet(f"{table_path}/v{batch_id}")
+        latest_offers(batch, ttl_seconds).write.mode("overwrite").parquet(f"{table_path}/part={batch_id}")
+        # a row for each folder, of one column
+        newest = {r["part"]: r["at"] for r in spark.read.parquet(table_path).groupBy("part").agg(F.max(F.unix_timestamp("fetched_at")).alias("at")).collect()}
+        last = max(newest.values(), default=0)
+        for part, at in newest.items():
+            if at < last - ttl_seconds:
+                target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/part={part}")
+                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
     return offers.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_offers(spark: SparkSession, table_path: str, ttl_seconds: int = 900) -> DataFrame:
+    """The latest fresh offer of each (store, url) of the table that offers_stream() keeps."""
+    return latest_offers(spark.read.parquet(table_path).drop("part"), ttl_seconds)

@@ -337,4 +337,9 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([("s", "u", 1.0, at(1)), ("s", "u", 2.0, at(9))], "store string, url string, price double, fetched_at timestamp").write.parquet(f"{tmp_path}/o")
     rows = spark.readStream.schema("store string, url string, price double, fetched_at timestamp").parquet(f"{tmp_path}/o")
     jobs.offers_stream(rows, f"{tmp_path}/offers", f"{tmp_path}/cp2").awaitTermination()
-    assert [r.price for r in spark.read.parquet(f"{tmp_path}/offers/v0").collect()] == [2.0]
+    assert [r.price for r in jobs.read_offers(spark, f"{tmp_path}/offers").collect()] == [2.0]
+    later = datetime.datetime(2026, 1, 1, 1, 0, 0)
+    spark.createDataFrame([("s", "v", 3.0, later)], "store string, url string, price double, fetched_at timestamp").write.mode("append").parquet(f"{tmp_path}/o")
+    jobs.offers_stream(rows, f"{tmp_path}/offers", f"{tmp_path}/cp2").awaitTermination()
+    assert [r.price for r in jobs.read_offers(spark, f"{tmp_path}/offers").collect()] == [3.0]
+    assert not (tmp_path / "offers" / "part=0").exists()
