@@ -343,3 +343,146 @@ def test_streams(spark, tmp_path):
     jobs.offers_stream(rows, f"{tmp_path}/offers", f"{tmp_path}/cp2").awaitTermination()
     assert [r.price for r in jobs.read_offers(spark, f"{tmp_path}/offers").collect()] == [3.0]
     assert not (tmp_path / "offers" / "part=0").exists()
+
+
+def test_lexical_search_deals_hot_terms(spark):
+    """A term of most chunks is dealt over parts; the result is that of the plain formula."""
+    texts = {i: "common " + " ".join(f"w{(i * k) % 7}" for k in range(1, 4)) + (" rare" if i == 5 else "") for i in range(40)}
+    texts[40] = "other words here"
+    index = retrieval.build_lexical(spark.createDataFrame(list(texts.items()), "chunk_id int, text string"))
+    asked = spark.createDataFrame([(1, "common w3 rare"), (2, "w1 w1 w5")], "query_id int, query string")
+    got = {(r.query_id, r.chunk_id): r.score for r in retrieval.search_lexical(index, asked, 50, negative_idf="raw").collect()}
+    docs = {i: t.split() for i, t in texts.items()}
+    mean = sum(map(len, docs.values())) / len(docs)
+    want = {}
+    for query, words in ((1, "common w3 rare"), (2, "w1 w1 w5")):
+        for i, d in docs.items():
+            score = 0.0
+            for w in words.split():
+                df, tf = sum(w in x for x in docs.values()), d.count(w)
+                score += (math.log(len(docs) - df + 0.5) - math.log(df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d) / mean))
+            if round(score, 9) > 0:
+                want[query, i] = score
+    assert got == pytest.approx(want, abs=1e-8)
+
+
+def test_dense_search_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    v = spark.createDataFrame([(i, [float(i % 30), float(i % 7)]) for i in range(100)], "chunk_id int, embedding array<float>")
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(8)], "query_id int, embedding array<float>")
+    got = {}
+    for r in retrieval.search_dense(v, q, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    for i in range(8):
+        assert got[i] == sorted(range(100), key=lambda c: (-(c % 30 + i * (c % 7)), c))[:5]
+    assert retrieval.search_dense(v, q.where("false")).count() == 0 and retrieval.search_dense(v.where("false"), q).count() == 0
+
+
+def test_hashed_vectors_and_prompts(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, "...")], "chunk_id int, text string")
+    got = {r.chunk_id: r.embedding for r in retrieval.hashed_vectors(rows, dimension=8).collect()}
+    assert sum(x * x for x in got[1]) == pytest.approx(1.0, abs=1e-6) and got[2] == got[3] == [0.0] * 8
+    asked = spark.createDataFrame([(1, "why"), (2, "how")], "query_id int, query string")
+    hits = spark.createDataFrame([(1, 1, "x", "kept"), (1, 2, "y", "duplicate"), (1, 3, "z", "kept"), (2, 1, "y", "budget")], "query_id int, rank int, text string, status string")
+    made = {r.query_id: r for r in retrieval.prompts(asked, hits, F.concat(F.col("number").cast("string"), F.lit(":"), "text"), "{context}|{question}", "be brief", "nothing").collect()}
+    assert [tuple(m) for m in made[1].messages] == [("system", "be brief"), ("user", "1:x\n\n2:z|why")] and made[1].answer is None
+    assert made[2].messages is None and made[2].answer == "nothing" and made[2].answer_found is False
+
+
+def test_chunks_carry_name_and_page(spark):
+    pages = ["Law on rest\n1-modda. First\nbody", "2-modda. Second\nmore"]
+    docs = spark.createDataFrame([(1, pages, "a/law.txt"), (2, ["plain text"], "two.v2.html"), (3, ["x" * 200, "tail"], "long.txt")], "doc_id int, pages array<string>, file string")
+    got = {(r.doc_id, r.chunk_index): r for r in chunking.chunk_documents(docs, pages_col="pages", name_col="file").collect()}
+    assert [(got[1, i].law_name, got[1, i].article_number, got[1, i].page_number) for i in (0, 1)] == [("Law on rest", "1", 1), ("Law on rest", "2", 2)]
+    assert got[2, 0].law_name == "plain text" and got[2, 0].page_number is None
+    assert got[3, 0].law_name == "long" and got[3, 0].page_number == 1
+
+
+def test_lookups_and_healing(spark):
+    at = lambda d: datetime.datetime(2026, 1, d)
+    docs = spark.createDataFrame([("1", "h1", "p1", "indexed", at(1)), ("2", "h2", "p2", "failed", at(2)), ("3", "h1", "p3", "indexed", at(3))], "id string, file_hash string, file_path string, status string, created_at timestamp")
+    assert {r.id for r in sync.find_documents(docs, file_hash="h1").collect()} == {"1", "3"} and sync.find_documents(docs, file_hash="h1", file_path="p3").first().id == "3"
+    assert [r.id for r in sync.list_documents(docs).collect()] == ["3", "2", "1"] and [r.id for r in sync.list_documents(docs, "indexed").collect()] == ["3", "1"]
+    chunks = spark.createDataFrame([("b", "1", 1, "two"), ("a", "1", 0, "one"), ("c", "2", 0, "x")], "id string, document_id string, chunk_index int, text string")
+    assert [r.id for r in sync.chunks_of(chunks, docs.where("id = '1'")).collect()] == ["a", "b"]
+    vectors = spark.createDataFrame([("a", [1.0, 0.0])], "chunk_id string, embedding array<float>")
+    healed = sync.heal_vectors(chunks, vectors, lambda rows, i, t: retrieval.hashed_vectors(rows, i, t, 2))
+    assert {r.chunk_id for r in healed.collect()} == {"a", "b", "c"} and sync.lacking_vectors(chunks, healed).count() == 0
+
+
+def test_sort_orders_and_strict_rates(spark):
+    o = spark.createDataFrame([(1, "b", "Z", None, "USD"), (2, "A", "y", 2.0, "USD"), (3, None, "x", 1.0, "XXX")], "offer_id int, name string, store string, price double, currency string")
+    order = lambda by: [r.offer_id for r in offers.sort_offers(o, by).collect()]
+    assert (order("price"), order("name"), order("store")) == ([3, 2, 1], [3, 2, 1], [3, 2, 1])
+    rates = spark.createDataFrame([("USD", 2.0)], "currency string, rate double")
+    with pytest.raises(Exception, match="no rate from XXX"):
+        offers.convert(o, rates, "UZS").collect()
+    assert {r.offer_id: r.converted for r in offers.convert(o, rates, "UZS", strict=False).collect()} == {1: None, 2: 4.0, 3: None}
+    assert {r.offer_id: r.converted for r in offers.convert(o.where("offer_id < 3"), rates, "UZS").collect()} == {1: None, 2: 4.0}
+
+
+def test_upload_report(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"instruction": "x", "output": "y"}\n\n[1]\n{broken\n')
+    (tmp_path / "b.json").write_text('[{"instruction": "x", "output": "y"},\n {"output": "z"}]')
+    assert tuple(files.upload_report(files.validate_upload(spark, str(tmp_path))).first()) == (5, 2, 3)
+
+
+def test_splits_by_hash(spark):
+    rows = spark.range(1000).withColumn("s", F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise((F.col("id") % 2).cast("string")))
+    train, val = (({r.id for r in part.collect()}) for part in instructions.split_train(rows, "id", 0.1))
+    assert len(val) == 100 and not train & val and len(train | val) == 1000
+    picked = [{r.id for r in instructions.first_by_hash(rows.repartition(n), "id", 300).collect()} for n in (1, 7)]
+    assert picked[0] == picked[1] and len(picked[0]) == 300 and val <= picked[0]
+    assert instructions.first_by_hash(rows, "id", 0).count() == 0 and instructions.first_by_hash(rows, "id", 5000).count() == 1000
+    parts = instructions.stratified_split(rows, "s", "id").groupBy("s").agg(F.count_if(F.col("part") == "val").alias("val"), F.count(F.lit(1)).alias("n"))
+    assert {r.s: (r.val, r.n) for r in parts.collect()} == {None: (10, 100), "0": (40, 400), "1": (50, 500)}
+    mixed = instructions.mix_slices({"a": (rows.where("id < 500"), 0.7), "b": (rows.where("id >= 500"), 0.3)}, 100, "id").groupBy("slice").count()
+    assert {r["slice"]: r["count"] for r in mixed.collect()} == {"a": 70, "b": 30}
+    first, second = tabular.split_rows(rows, "id")
+    assert first.count() + second.count() == 1000 and first.join(second, "id").count() == 0 and 750 < first.count() < 850
+
+
+def test_near_copies(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((60, 16))
+    v = np.concatenate([base, base[:20] + 0.02 * rng.standard_normal((20, 16)), base[:1].repeat(30, 0), np.zeros((1, 16))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(500, None)], "k int, embedding array<double>")
+    n = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    near = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if n[i] @ n[j] >= 0.95}
+    for block in (1024, 8):
+        got = {(r.key, r.other) for r in instructions.near_copies(df, "k", block=block).collect()}
+        linked, parent = got, {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in linked:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        assert got <= near and all(root(a) == root(b) for a, b in near)
+    kept = {r.k for r in instructions.drop_near_copies(df.select("k"), df, "k").collect()}
+    assert kept == set(range(60)) | {110, 500}
+    assert instructions.near_copies(df.where("false"), "k").count() == 0
+
+
+def test_leaks_of_long_texts(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    train = spark.createDataFrame([(1, " ".join(words)), (2, "short"), (3, None)], "k int, text string")
+    held = spark.createDataFrame([(9, " ".join(words[20_000:20_010])), (8, " ".join(words[:7])), (7, "w1 w3 " * 9)], "e int, text string")
+    assert [tuple(r) for r in instructions.leaked(train, held, "k", "e").collect()] == [(1, 9, 3)]
+
+
+def test_auc_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(tabular, "SCORE_RANGES", 4)
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 1), rng.randint(0, 1), round(rng.random(), 2)) for _ in range(400)]
+    r = tabular.classification_metrics(spark.createDataFrame(rows, "label int, prediction int, score double")).first()
+    pos, neg = [s for y, _, s in rows if y], [s for y, _, s in rows if not y]
+    assert r.auc == pytest.approx(sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg)))
+    assert r.accuracy == pytest.approx(sum(y == p for y, p, _ in rows) / 400)
+    one_kind = spark.createDataFrame([(1, 1, 0.5)], "label int, prediction int, score double")
+    assert tabular.classification_metrics(one_kind).first().auc is None
