@@ -19,10 +19,10 @@ from siltstone.functions.values import shuffled, shuffled_place
 ASKING, ANSWERING = ("human", "user"), ("gpt", "assistant")
 # Frequent words by language, for the share test.
 COMMON_WORDS = {
-    "en": "the of and to in is that for it with as was on are by this be from or at".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo".split(),
+    "en": "the of and to in is that for it with as was on are by this be from or at have not you his her they which we but an had were their one all there would what so up out if".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont ou avec son aux deux mais nous sa elle cette ont ses été comme tout leur".split(),
+    "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay".split(),
 }
 _EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 _PHONE = "\\+?[0-9][0-9 ()-]{7,}[0-9]"
