@@ -2,9 +2,10 @@
 
 A vector is represented by the order of its nearest pivots and posted, with their ranks, in
 the inverted files of those pivots. A query gathers the postings of its own pivots, ranks the
-vectors by (induced) footrule distance between the orders, and reranks the best share of them
-by exact distance. Rows lie in blocks by a hash of their id; every block of queries meets every
-block of rows, so each group a task holds is bounded and every row is indexed.
+vectors by (induced) footrule distance between the orders, and reranks the best ones by exact
+distance, as many whatever the number of rows. Rows lie in blocks by a hash of the vector, each
+with inverted files of its own; every block of queries meets every block of rows, so each group
+a task holds is bounded and every row is indexed.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from siltstone.llm._cluster import keep
 
 #: Pivots (the bounded sample the index is fitted on) and how many of them represent a vector.
-PIVOTS, PREFIX = 256, 64
-#: Share of a block that is reranked exactly, and at least so many.
-RERANK_SHARE, RERANK_LEAST = 0.10, 500
+PIVOTS, PREFIX = 1024, 256
+#: Rows that a query reranks exactly, over all blocks. Each block gives its part of them and four
+#: standard deviations more, as the best rows are dealt over blocks by chance.
+CANDIDATES = 384
 ROW_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
@@ -36,7 +38,13 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The `prefix` nearest pivots of each vector, nearest first, ties to the lower number."""
     distance = (pivots**2).sum(1)[None] - 2 * vectors @ pivots.T
-    return np.argsort(distance, axis=1, kind="stable")[:, :prefix]
+    return np.argsort(distance, axis=1, kind="stable")[:, :prefix].astype(np.int32)
+
+
+def of_block(candidates: int, rows: int, all_rows: int) -> int:
+    """How many of a block's `rows` a query reranks: all `candidates` where it is the only block."""
+    share = rows / max(all_rows, 1)
+    return min(rows, math.ceil(candidates * share + 4 * math.sqrt(candidates * share * (1 - share))))
 
 
 class InvertedFiles:
@@ -45,7 +53,7 @@ class InvertedFiles:
     def __init__(self, order: np.ndarray, n_pivots: int):
         self.rows, self.prefix = order.shape
         by_pivot = np.argsort(order.ravel(), kind="stable")
-        self.row, self.rank = by_pivot // self.prefix, by_pivot % self.prefix
+        self.row, self.rank = by_pivot // self.prefix, (by_pivot % self.prefix).astype(np.int32)
         self.start = np.searchsorted(order.ravel()[by_pivot], np.arange(n_pivots + 1))
 
     def nearness(self, order: np.ndarray) -> np.ndarray:
@@ -53,11 +61,12 @@ class InvertedFiles:
 
         A pivot outside a vector's prefix counts as if its rank were the prefix length.
         """
-        total = np.zeros(self.rows, np.int64)
+        total = np.zeros(self.rows, np.int32)
         for rank, pivot in enumerate(order):
             at = slice(self.start[pivot], self.start[pivot + 1])
-            # shared pivots: their difference, less what both sides are charged for a missing one
-            total[self.row[at]] += (self.prefix - rank) + (self.prefix - self.rank[at]) - np.abs(self.rank[at] - rank)
+            # what both sides are charged for a missing pivot, less the difference of their ranks:
+            # (prefix - rank) + (prefix - other) - |rank - other|
+            total[self.row[at]] += 2 * (self.prefix - np.maximum(self.rank[at], rank))
         return total
 
 
@@ -69,7 +78,7 @@ def nearest(
     vector_col: str = "embedding",
     pivots: int = PIVOTS,
     prefix: int = PREFIX,
-    rerank_share: float = RERANK_SHARE,
+    candidates: int = CANDIDATES,
 ) -> DataFrame:
     """The `k` nearest found rows of `vectors` for each row of `queries`: query_id, rank, vec_id, score.
 
@@ -108,7 +117,7 @@ def nearest(
             x, q = _matrix(left["v"]), _matrix(right["v"])
             ids, own = left["ids"].to_pylist(), right["id"].to_pylist()
             files, asked_order = InvertedFiles(orders(x, centre, width), len(centre)), orders(q, centre, width)
-            most = min(len(x), max(RERANK_LEAST, math.ceil(rerank_share * len(x))))
+            most = min(len(x), max(k + 1, of_block(candidates, len(x), n_rows)))
             for i, me in enumerate(own):
                 near = files.nearness(asked_order[i])
                 best = np.argpartition(-near, most - 1)[:most] if most < len(x) else np.arange(len(x))
