@@ -11,7 +11,7 @@ to each other. Only those runs leave their texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -219,25 +219,56 @@ def _differs(*columns: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
+def _each_after_another(batches: Iterator[pa.RecordBatch], same: Sequence[str], *keys: Sequence[str]) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """Batches of a sorted partition without rows that equal the row before in the columns `same`,
+    and where each row begins a new value of each of `keys`; the last row is carried on."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        joined = table if before is None else pa.concat_tables([before, table])
+        skip = int(before is not None)
+        new = [_differs(*(joined[c] for c in columns))[skip:] for columns in (same, *keys)]
+        before = table.slice(table.num_rows - 1)
+        keep_rows = np.flatnonzero(new[0])
+        if len(keep_rows):
+            yield table.take(pa.array(keep_rows)), [k[keep_rows] for k in new[1:]]
+
+
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a sorted range partition: repeats (equal runs after the first) and runs to compare.
 
     To compare: first runs of an anchor that has several, and all first runs of the anchors
-    at the partition's borders, which may go on in the next partition.
+    at the partition's borders, which may go on in the next partition. A task holds a batch and
+    the one first run of which it is not known yet whether its anchor has others.
     """
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    table = table.filter(pa.array(_differs(*(table[c] for c in ("gram", "whole", "id", "th", "run")))))
-    gram = np.asarray(table["gram"])
-    head = _differs(table["gram"], table["whole"])
-    group = np.cumsum(_differs(table["gram"])) - 1
-    several = np.bincount(group, weights=head)[group] > 1
-    compare = head & (several | (gram == gram[0]) | (gram == gram[-1]))
-    chosen = compare | ~head
-    out = table.select(["gram", "id", "th", "run"]).append_column("again", pa.array(~head)).filter(pa.array(chosen))
-    yield from out.combine_chunks().to_batches()
+    waiting = first = None
+
+    def out(table: pa.Table, again: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from table.select(["gram", "id", "th", "run"]).append_column("again", pa.array(again)).combine_chunks().to_batches()
+
+    for table, (head, fresh) in _each_after_another(batches, ("gram", "whole", "id", "th", "run"), ("gram", "whole"), ("gram",)):
+        gram = np.asarray(table["gram"])
+        first = gram[0] if first is None else first
+        group = np.cumsum(fresh)  # 0: rows of the anchor that the batch before ended with
+        heads = np.bincount(group, weights=head, minlength=group[-1] + 1)
+        known = heads > 1
+        known[0] |= heads[0] > 0  # that anchor had one at least
+        if waiting is not None:
+            if heads[0]:
+                yield from out(waiting, np.array([False]))
+                waiting = None
+            elif group[-1]:
+                waiting = None  # its anchor is over, and it was alone
+        open_head = head & (group == group[-1]) & ~known[group] & (gram != first)
+        if open_head.any():
+            waiting = table.slice(int(np.flatnonzero(open_head)[0]), 1)
+        chosen = ~head | known[group] | (gram == first)
+        if chosen.any():
+            yield from out(table.filter(pa.array(chosen)), ~head[chosen])
+    if waiting is not None:
+        yield from out(waiting, np.array([False]))
 
 
 def _order_of(table: pa.Table) -> np.ndarray:
@@ -339,15 +370,28 @@ def _hashed(pieces: DataFrame, kind: str, length: int, partitions: int) -> DataF
             )
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            table = pa.Table.from_batches(held)
-            table = table.filter(pa.array(_differs(*(table[c] for c in ("h1", "h2", "id", "th", "at")))))
-            head = _differs(table["h1"], table["h2"])
+        last = None  # the partition's last row so far, if it is not out as its first one
+
+        def out(table: pa.Table, again: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from table.append_column("again", pa.array(again)).append_column("edge", pa.array(edge)).combine_chunks().to_batches()
+
+        some = False
+        for table, (head,) in _each_after_another(batches, ("h1", "h2", "id", "th", "at"), ("h1", "h2")):
+            if last is not None:
+                again = last[1]
+                if again:
+                    yield from out(last[0], np.array([True]), np.array([False]))
             edge = np.zeros(table.num_rows, bool)
-            edge[0] = edge[-1] = True
-            out = table.append_column("again", pa.array(~head)).append_column("edge", pa.array(edge)).filter(pa.array(edge | ~head))
-            yield from out.combine_chunks().to_batches()
+            edge[0] = not some
+            some = True
+            end = table.num_rows - 1
+            last = None if edge[end] else (table.slice(end), not head[end])
+            chosen = edge | ~head
+            chosen[end] &= last is None
+            if chosen.any():
+                yield from out(table.filter(pa.array(chosen)), ~head[chosen], edge[chosen])
+        if last is not None:
+            yield from out(last[0], np.array([last[1]]), np.array([True]))
 
     order = [F.col("h1"), F.col("h2"), F.col("id").asc_nulls_last(), F.col("th"), F.col("at")]
     each = pieces.mapInArrow(windows, f"h1 long, h2 long, id {kind}, th long, at long")
