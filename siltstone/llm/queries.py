@@ -27,4 +27,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_regression": lambda spark, sf_dir: classifier.op10(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_license_dice": licenses.oracle_op8()}
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+#: Links by counting the shingles that two documents share, and components by all that can be reached.
+_OP5 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w),
+s AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM l),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT l.doc_id, len(sh) AS n_shingles, c.component_id FROM l JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
+#: Every window of 100 bytes, as hexadecimal text (cut from parts of 500 bytes and the 99 after
+#: them); all but the first of equal ones flag their start.
+_OP9 = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, 500 * i AS p0, substr(h, 1000 * i + 1, 1198) AS h FROM (SELECT doc_id, h, unnest(range((length(h) + 999) // 1000)) AS i FROM t)),
+b AS (SELECT doc_id, p0, h, unnest(range(least(500, length(h) // 2))) AS o FROM k),
+f AS (SELECT doc_id, p0 + o AS p, substr(h, 2 * o + 1, 2) AS x, 2 * o + 200 <= length(h) AND row_number() OVER (PARTITION BY 2 * o + 200 <= length(h), md5_number(substr(h, 2 * o + 1, 200)) ORDER BY doc_id, p0 + o) > 1 AS again FROM b),
+c AS (SELECT doc_id, p, x, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f),
+d AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM c),
+g AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM d GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+#: The base counts of the quality rules: symbols, repeated lines, and words in repeated windows of eight.
+_QUALITY = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+g AS (SELECT doc_id, i, string_agg(x, ' ') OVER v AS gram, count(*) OVER v AS n FROM e WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+a AS (SELECT doc_id, i, n = 8 AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS again FROM g),
+r AS (SELECT doc_id, count(*) FILTER (hit) AS n FROM (SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS hit FROM a) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+"""
+
+#: The base spans of the secret scan, counted; DuckDB gives matches without their places.
+_SECRETS = """
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex FROM documents
+"""
+
+_BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+QUERIES |= {
+    # what of two operators' results SQL can state
+    "quality_base_counts": lambda spark, sf_dir: QUERIES["op3_fertility_rules"](spark, sf_dir).select("doc_id", *_BASE),
+    "secret_base_counts": lambda spark, sf_dir: QUERIES["op1_secret_ownership"](spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex"),
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_parity_sketch_join": _OP5,
+    "op8_license_dice": licenses.oracle_op8(),
+    "op9_suffix_dedup": _OP9,
+    "quality_base_counts": _QUALITY,
+    "secret_base_counts": _SECRETS,
+}
