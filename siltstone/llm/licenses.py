@@ -1,34 +1,70 @@
 """License scan: Dice coefficient over word bigrams between normalised text and templates.
 
-Each line, and each paragraph of several lines, is compared with the templates whose size
-allows the threshold. Only bigrams that a template has leave the scan; they meet the
-templates' bigrams (a fixed small table) in a broadcast join. DataFrame operations only.
+Each line, sentence, paragraph and whole document is compared with the templates whose size
+allows the threshold. Parts without any of the words that a match must have go first. Only
+bigrams that a template has leave the scan; they meet the templates' bigrams (a fixed small
+table) in a broadcast join. DataFrame operations only.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
+# Paragraphs of public licences.
+_MIT = [
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+]
+_BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+]
+_ISC = [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+]
+_APACHE = [
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+]
+_UNLICENSE = [
+    "This is free and unencumbered software released into the public domain.",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+]
+
 # Public license notices, by SPDX name.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", " ".join(_APACHE)),
+    *[("Apache-2.0", x) for x in _APACHE],
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", " ".join(_MIT)),
+    *[("MIT", x) for x in _MIT],
+    ("ISC", " ".join(_ISC)),
+    *[("ISC", x) for x in _ISC],
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", " ".join(_BSD[:3] + _BSD[4:])),
+    ("BSD-3-Clause", " ".join(_BSD)),
+    ("BSD-2-Clause", " ".join(_BSD[:3])),
+    ("BSD-3-Clause", " ".join(_BSD[:4])),
+    ("BSD-3-Clause", _BSD[3]),
+    *[("BSD-2-Clause OR BSD-3-Clause", x) for x in (_BSD[0], _BSD[1], _BSD[2], _BSD[4])],
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -37,7 +73,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", " ".join(_UNLICENSE)),
+    *[("Unlicense", x) for x in _UNLICENSE],
 ]
 
 
@@ -51,50 +88,83 @@ def template_bigrams(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple
     return [(no, name, gram, n, sum(grams.values())) for no, (name, text) in enumerate(templates) for grams in [_bigrams(text)] for gram, n in grams.items()]
 
 
+def required_words(templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every part that reaches the threshold with some template holds one at least.
+
+    A match shares t / (2 - t) of the template's bigrams or more, so a template needs words that
+    all but fewer of its bigrams hold. The longest words are taken, as the rarest in other texts.
+    """
+    chosen: set[str] = set()
+    for _, text in templates:
+        grams = _bigrams(text)
+        whole = sum(grams.values())
+        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in chosen, -len(w), w)):
+            without = sum(n for g, n in grams.items() if not chosen.intersection(g.split()))
+            if without < math.ceil(whole * threshold / (2 - threshold) - 1e-9):
+                break
+            chosen.add(word)
+    return sorted(chosen)
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Matches (id_col, unit, license, template, dice): the best template of each matching unit.
+    """Matches (row, id_col, unit, license, template, dice, shared): the best template of each matching unit.
 
-    unit is `line N` or `paragraph N` (from 0; paragraphs of two or more lines, parted by blank
-    lines). Text is lower-cased and everything but letters and digits parts words. Dice is
+    unit is `line N`, `paragraph N` (from 0, parted by blank lines; of two or more lines),
+    `sentence N.M` (of paragraph N) or `document` (of several paragraphs).
+    Text is lower-cased and everything but letters and digits parts words. Dice is
     2 * shared / (bigrams here + bigrams there), with repeats; a unit is compared only with
     templates of between t / (2 - t) and (2 - t) / t times its bigrams. Ties go to the first
-    template. Null and empty texts match nothing; rows that share an id share units of the
-    same number and are told apart by their text; a null id stays null.
+    template. `row` numbers the rows of `docs`, so each is judged by itself, repeated rows and
+    repeated or null ids too. Null and empty texts match nothing.
     """
     spark: SparkSession = docs.sparkSession
     known = spark.createDataFrame(template_bigrams(templates), "template int, license string, gram string, times int, whole int")
     ratio = (2 - threshold) / threshold
     sizes = [sum(_bigrams(t).values()) for _, t in templates]
     low, high = min(sizes) / ratio, max(sizes) * ratio
-    text = F.col(text_col)
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.concat(F.lit("line "), i.cast("string")).alias("unit"), x.alias("part")))
-    paragraphs = F.transform(F.split(text, "\n[ \t\r]*\n"), lambda x, i: F.struct(F.concat(F.lit("paragraph "), i.cast("string")).alias("unit"), x.alias("part")))
-    units = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("of"), F.inline(F.concat(lines, F.filter(paragraphs, lambda p: F.contains(p["part"], F.lit("\n"))))))
-    words = F.filter(F.split(F.regexp_replace(F.lower("part"), "[^\\p{L}\\p{N}]+", " "), " "), lambda w: w != "")
-    sized = units.select("id", "of", "unit", words.alias("words")).withColumn("n", F.size("words") - 1).where((F.col("n") >= low) & (F.col("n") <= high))
+    needed = f"(?:{'|'.join(map(re.escape, required_words(templates, threshold)))})(?![\\p{{L}}\\p{{N}}])"
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.lower(text_col).alias("text")).where(F.col("text").rlike(needed))
+
+    def named(parts: Column, kind: str) -> Column:
+        return F.transform(parts, lambda x, i: F.struct(F.concat(F.lit(kind), i.cast("string")).alias("unit"), x.alias("part")))
+
+    paragraphs = named(F.split("text", "\n[ \t\r]*\n"), "paragraph ")
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.transform(
+        F.split(p["part"], "[.!?][ \t\r\n]+"),
+        lambda x, i: F.struct(F.concat(F.replace(p["unit"], F.lit("paragraph"), F.lit("sentence")), F.lit("."), i.cast("string")).alias("unit"), x.alias("part")),
+    )))
+    several = F.filter(paragraphs, lambda p: F.contains(p["part"], F.lit("\n")))
+    parted = F.filter(sentences, lambda p: F.length(p["part"]) > 0)
+    whole = F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("document").alias("unit"), F.col("text").alias("part")))).otherwise(F.array().cast("array<struct<unit:string,part:string>>"))
+    units = rows.select("row", "id", F.inline(F.concat(named(F.split("text", "\n"), "line "), several, parted, whole))).where(F.col("part").rlike(needed))
+    words = F.filter(F.split(F.regexp_replace("part", "[^\\p{L}\\p{N}]+", " "), " "), lambda w: w != "")
+    sized = units.select("row", "id", "unit", words.alias("words")).withColumn("n", F.size("words") - 1).where((F.col("n") >= low) & (F.col("n") <= high))
     grams = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
-    each = sized.select("id", "of", "unit", "n", F.explode(grams).alias("gram"))
-    # the templates are a fixed list of a few hundred bigrams
+    each = sized.select("row", "id", "unit", "n", F.explode(grams).alias("gram"))
+    # the templates are a fixed list of some thousand bigrams
     close = (F.col("n") * ratio >= F.col("whole")) & (F.col("n") <= F.col("whole") * ratio)
     met = each.join(F.broadcast(known), "gram").where(close)
-    counted = met.groupBy("id", "of", "unit", "n", "template", "license", "gram", "times", "whole").agg(F.count(F.lit(1)).alias("here"))
-    shared = counted.groupBy("id", "of", "unit", "n", "template", "license", "whole").agg(F.sum(F.least("here", "times")).alias("shared"))
+    counted = met.groupBy("row", "id", "unit", "n", "template", "license", "gram", "times", "whole").agg(F.count(F.lit(1)).alias("here"))
+    shared = counted.groupBy("row", "id", "unit", "n", "template", "license", "whole").agg(F.sum(F.least("here", "times")).alias("shared"))
     dice = 2.0 * F.col("shared") / (F.col("n") + F.col("whole"))
     passed = shared.withColumn("dice", dice).where(F.col("dice") >= threshold)
-    best = passed.groupBy("id", "of", "unit").agg(F.max_by(F.struct("license", "template", "dice"), F.struct("dice", -F.col("template"))).alias("best"))
-    return best.select(F.col("id").alias(id_col), "unit", "best.*")
+    best = passed.groupBy("row", "id", "unit").agg(F.max_by(F.struct("license", "template", "dice", "shared"), F.struct("dice", -F.col("template"))).alias("best"))
+    return best.select("row", F.col("id").alias(id_col), "unit", "best.*")
 
 
 def op8(docs: DataFrame) -> DataFrame:
     """One row per document: its best license, that match's dice, and how many units matched.
 
-    A document without a match has null, 0 and 0. Rows that share an id share the result.
+    The best match is the one that shares most bigrams, then of greatest dice, then of the first
+    template: a whole licence tells more than one of its lines. A document without a match has
+    null, 0 and 0. Repeated rows are counted each by itself; rows that share an id share the
+    result of the best of them.
     """
-    found = scan_licenses(docs).groupBy(F.col("doc_id").alias("of")).agg(
-        F.max_by("license", F.struct("dice", -F.col("template"))).alias("license"),
-        F.max("dice").alias("dice"),
-        F.count(F.lit(1)).alias("n_units"),
-    )
+    best = F.struct("shared", "dice", -F.col("template"))
+    by_row = scan_licenses(docs).groupBy("row", "doc_id").agg(F.max(best).alias("best"), F.max_by("license", best).alias("license"), F.count(F.lit(1)).alias("units"))
+    found = by_row.groupBy(F.col("doc_id").alias("of")).agg(
+        F.max_by("license", "best").alias("license"), F.max("best").getField("dice").alias("dice"), F.max("units").alias("n_units"),
+    )
     rows = docs.select("doc_id")
     return rows.join(found, rows["doc_id"].eqNullSafe(found["of"]), "left").select(
         "doc_id", "license", F.round(F.coalesce("dice", F.lit(0.0)), 6).alias("dice"), F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"),
@@ -111,19 +181,27 @@ def oracle_op8() -> str:
     ratio = (2 - THRESHOLD) / THRESHOLD
     return f"""
 WITH known(template, license, gram, times, whole) AS (VALUES {values}),
-lined AS (SELECT doc_id, string_split(text, chr(10)) AS parts, 'line ' AS kind FROM documents
-  UNION ALL SELECT doc_id, string_split_regex(text, '\\n[ \\t\\r]*\\n'), 'paragraph ' FROM documents),
-units AS (SELECT doc_id, kind || i AS unit, parts[i + 1] AS part, kind FROM (SELECT *, unnest(range(len(parts))) AS i FROM lined)),
-worded AS (SELECT doc_id, unit, list_filter(string_split(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS words
-  FROM units WHERE kind = 'line ' OR contains(part, chr(10))),
+rows AS (SELECT row_number() OVER () AS row, doc_id, lower(text) AS text FROM documents),
+paragraphs AS (SELECT row, doc_id, parts[i + 1] AS part, 'paragraph ' || i AS unit, len(parts) AS several
+  FROM (SELECT *, unnest(range(len(parts))) AS i FROM (SELECT *, string_split_regex(text, '\\n[ \\t\\r]*\\n') AS parts FROM rows))),
+sentences AS (SELECT row, doc_id, parts[i + 1] AS part, replace(unit, 'paragraph', 'sentence') || '.' || i AS unit
+  FROM (SELECT *, unnest(range(len(parts))) AS i FROM (SELECT *, string_split_regex(part, '[.!?][ \\t\\r\\n]+') AS parts FROM paragraphs))),
+lines AS (SELECT row, doc_id, parts[i + 1] AS part, 'line ' || i AS unit
+  FROM (SELECT *, unnest(range(len(parts))) AS i FROM (SELECT *, string_split(text, chr(10)) AS parts FROM rows))),
+units AS (SELECT row, doc_id, part, unit FROM lines
+  UNION ALL SELECT row, doc_id, part, unit FROM paragraphs WHERE contains(part, chr(10))
+  UNION ALL SELECT row, doc_id, part, unit FROM sentences
+  UNION ALL SELECT row, doc_id, text, 'document' FROM rows WHERE len(string_split_regex(text, '\\n[ \\t\\r]*\\n')) > 1),
+worded AS (SELECT row, doc_id, unit, list_filter(string_split(regexp_replace(part, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS words FROM units),
 sized AS (SELECT *, len(words) - 1 AS n FROM worded WHERE len(words) > 1),
-grams AS (SELECT doc_id, unit, n, words[i] || ' ' || words[i + 1] AS gram FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM sized)),
-counted AS (SELECT doc_id, unit, n, gram, count(*) AS here FROM grams GROUP BY ALL),
-shared AS (SELECT doc_id, unit, n, template, license, whole, sum(least(here, times)) AS shared
+grams AS (SELECT row, doc_id, unit, n, words[i] || ' ' || words[i + 1] AS gram FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM sized)),
+counted AS (SELECT row, doc_id, unit, n, gram, count(*) AS here FROM grams GROUP BY ALL),
+shared AS (SELECT row, doc_id, unit, n, template, license, whole, sum(least(here, times)) AS shared
   FROM counted JOIN known USING (gram) WHERE n * {ratio}::DOUBLE >= whole AND n <= whole * {ratio}::DOUBLE GROUP BY ALL),
 passed AS (SELECT *, 2.0::DOUBLE * shared / (n + whole) AS dice FROM shared WHERE 2.0::DOUBLE * shared / (n + whole) >= {THRESHOLD}),
-best AS (SELECT * FROM passed QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, template) = 1),
-docs AS (SELECT doc_id, arg_max(license, (dice, -template)) AS license, max(dice) AS dice, count(*) AS n_units FROM best GROUP BY doc_id)
+best AS (SELECT * FROM passed QUALIFY row_number() OVER (PARTITION BY row, unit ORDER BY dice DESC, template) = 1),
+by_row AS (SELECT *, count(*) OVER (PARTITION BY row) AS units FROM best QUALIFY row_number() OVER (PARTITION BY row ORDER BY shared DESC, dice DESC, template) = 1),
+docs AS (SELECT *, max(units) OVER (PARTITION BY doc_id) AS n_units FROM by_row QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, dice DESC, template) = 1)
 SELECT d.doc_id, license, round(coalesce(dice, 0.0::DOUBLE), 6) AS dice, coalesce(n_units, 0)::BIGINT AS n_units
 FROM documents d LEFT JOIN docs ON d.doc_id IS NOT DISTINCT FROM docs.doc_id
 """
