@@ -15,9 +15,14 @@ from siltstone.session import with_workers
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); in local mode one of our own where that is unset.
+
+    A folder of this machine would lose tables on a cluster, whose executors each write to their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -78,6 +83,33 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bu
     return joined.select(*df.columns, (F.col("__start") + F.col("__local")).cast("long").alias(name))
 
 
+def with_counts(rows: DataFrame, counts: DataFrame, key: str, uses: str, parts: int) -> DataFrame:
+    """`rows` joined with `counts` (one row per `key`, of which `uses` says how many rows have it).
+
+    Keys with more than one of `parts` shares of all rows number fewer than `parts`; those are
+    broadcast, so that their rows stay where they are. The others are joined by a shuffle. Both
+    frames are read twice, so they should be kept tables.
+    """
+    total = counts.agg(F.sum(uses)).first()[0] or 0
+    least = max(1, total // parts)
+    hot = F.broadcast(counts.where(F.col(uses) > least))
+    rest = rows.join(hot.select(key), key, "left_anti").join(counts.where(F.col(uses) <= least), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def fresh_names(columns: Sequence[str], *stems: str) -> list[str]:
+    """The stems as column names that `columns` do not have."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are found in every whole text, their values hashed, and the hashes counted over
-the corpus by distinct repositories and distinct owners. A value that many owners hold is a
-widely copied example; one that a single owner holds, and that looks random, is live-looking.
+the corpus by distinct repositories and distinct owners. A value that many owners hold, or
+that is in very many repositories, is a widely copied example; one that a single owner holds in
+a few places, and that looks random, is live-looking.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm._cluster import keep
+from siltstone.llm._cluster import keep, n_buckets, with_counts
 from siltstone.llm._words import plain, slices
 
 #: Kinds of the base patterns, in their order; fixed values.
@@ -37,8 +38,8 @@ _OWNED = {
 }
 #: Bits a character below which a value is taken for a placeholder.
 MIN_ENTROPY = 2.5
-#: Owners from which on a value counts as widely copied.
-WIDESPREAD_OWNERS = 3
+#: Owners, and repositories whoever owns them, from which on a value counts as widely copied.
+WIDESPREAD_OWNERS, WIDESPREAD_REPOS = 3, 50
 
 _SPAN = "struct<start:int,end:int,kind_no:int,kind:string,hash:long,entropy:double>"
 
@@ -99,13 +100,14 @@ def scan_secrets(
     owner_col: str = "source",
     repo_col: str | None = None,
     widespread_owners: int = WIDESPREAD_OWNERS,
+    widespread_repos: int = WIDESPREAD_REPOS,
     min_entropy: float = MIN_ENTROPY,
 ) -> DataFrame:
     """One row per input row: `id_col` and `spans`, each span with its counts and verdict.
 
     Span: start, kind_no, end (code points, end exclusive), kind, hash, entropy, n_repos,
-    n_owners, verdict. Verdicts: `example` (held by `widespread_owners` owners or more),
-    `placeholder` (entropy under `min_entropy`), `live` (a single owner), else `shared`.
+    n_owners, verdict. Verdicts: `example` (held by `widespread_owners` owners or more, or in
+    `widespread_repos` repositories or more), `placeholder` (entropy under `min_entropy`), `live` (a single owner), else `shared`.
     Base kinds are always reported, other kinds only as `live` or `shared`.
 
     `owner_col` names owners, `repo_col` repositories of an owner (default: each row is one).
@@ -124,14 +126,14 @@ def scan_secrets(
     found = keep(found.withColumn("uid", F.monotonically_increasing_id()), "secrets")
     each = found.where(F.size("spans") > 0).select("uid", "id", "owner", "repo", F.explode("spans").alias("span"))
     each = each.select("uid", "id", "owner", "repo", "span.*")
-    counts = ownership(each)
+    counts = keep(ownership(each), "owners")
     verdict = (
-        F.when(F.col("n_owners") >= widespread_owners, "example")
+        F.when((F.col("n_owners") >= widespread_owners) | (F.col("n_repos") >= widespread_repos), "example")
         .when(F.col("entropy") < min_entropy, "placeholder")
         .when(F.col("n_owners") == 1, "live")
         .otherwise("shared")
     )
-    judged = each.join(counts, "hash").withColumn("verdict", verdict)
+    judged = with_counts(each, counts, "hash", "n_uses", n_buckets(docs.sparkSession)).withColumn("verdict", verdict)
     judged = judged.where((F.col("kind_no") < len(BASE_KINDS)) | F.col("verdict").isin("live", "shared"))
     # by start, then kind
     span = F.struct("start", "kind_no", "end", "kind", "hash", "entropy", "n_repos", "n_owners", "verdict")
@@ -145,18 +147,22 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     """The rows of `docs` with every reported span that is no widely copied example masked.
 
     Needs unique non-null ids to carry spans to texts; a row whose id is null or repeated is
-    joined with the spans of its own text by id and text hash. All other columns pass through.
+    joined with the spans of its own text by id and text hash. All other columns pass through,
+    whatever their names. A null text stays null; repeated rows are all masked alike.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    tagged = docs.withColumn("__key", key)
-    spans = scan_secrets(
-        tagged.select(F.col("__key").alias("k"), F.col(text_col).alias("t"), F.col(owner_col).alias("o"), F.col(id_col).cast("string").alias("r")),
-        "k", "t", "o", "r",
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"),
+        F.col(text_col).alias("t"),
+        F.col(owner_col).alias("o"),
+        F.col(id_col).cast("string").alias("r"),
     )
-    hit = spans.select("k", F.filter("spans", lambda s: s["verdict"] != "example").alias("__spans")).where(F.size("__spans") > 0)
-    hit = hit.groupBy("k").agg(F.first("__spans").alias("__spans"))
-    joined = tagged.join(hit, F.col("__key") == F.col("k"), "left")
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("__spans"), mask))).select(*docs.columns)
+    spans = scan_secrets(rows.select("k", "t", "o", "r"), "k", "t", "o", "r")
+    hit = spans.select("k", F.filter("spans", lambda s: s["verdict"] != "example").alias("hit")).where(F.size("hit") > 0)
+    hit = hit.groupBy("k").agg(F.first("hit").alias("hit"))
+    joined = rows.select("row", "k", "t").join(hit, "k", "left")
+    text = F.when(F.col("hit").isNull(), F.col("t")).otherwise(masked(F.col("t"), F.col("hit"), mask))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def masked(text: Column, spans: Column, mask: str) -> Column:
@@ -191,5 +197,5 @@ def op1(docs: DataFrame) -> DataFrame:
         spans_text(F.col("spans")).alias("spans"),
         n("verdict", "live").alias("n_live"),
         n("verdict", "example").alias("n_example"),
-        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_owners"])), F.lit(0)).cast("long").alias("most_owners"),
+        *[F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0)).cast("long").alias(f"most_{c[2:]}") for c in ("n_owners", "n_repos")],  # noqa: B023
     )
