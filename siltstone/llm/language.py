@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._cluster import crc_mod
+from siltstone.llm._cluster import crc_mod, n_buckets
 from siltstone.llm._words import slices
 from siltstone.llm.repeats import utf8
 
@@ -210,14 +210,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A network fitted on at most `per_language` documents of each language of `docs`.
 
     Rows with a null id, text or language, and texts without a letter, are left out. Which
-    rows may be learned from is the caller's choice.
+    rows may be learned from is the caller's choice. Repeated rows count once; an id with several
+    texts counts with each of them.
     """
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     usable = usable.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = usable.select("id", "lang").distinct().withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= per_language).select("id", "lang")
-    # an id and a language for each of the sample's documents: bounded by per_language
-    sample = usable.join(F.broadcast(ids), ["id", "lang"]).dropDuplicates(["id", "lang"]).select("id", "lang", "text").toArrow()
+    # a sample of each of some parts of a language, then of what is left: no task numbers a whole language
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_buckets(docs.sparkSession))).cast("int")
+    order = [F.xxhash64("id"), F.col("id"), F.col("th")]
+    ids = usable.select("id", "lang", F.xxhash64("text").alias("th")).distinct().withColumn("part", part)
+    for keys in (["lang", "part"], ["lang"]):
+        ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("nth") <= per_language)
+    # a row for each of the sample's documents: bounded by per_language
+    ids = ids.select("id", "lang", "th")
+    sample = usable.withColumn("th", F.xxhash64("text")).join(F.broadcast(ids), ["id", "lang", "th"]).dropDuplicates(["id", "lang", "th"]).select("id", "lang", "text").toArrow()
     rows = sorted(zip(sample.column("lang").to_pylist(), map(str, sample.column("id").to_pylist()), sample.column("text").to_pylist(), strict=True))
     return train([r[2] for r in rows], [r[0] for r in rows])
 
