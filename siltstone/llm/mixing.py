@@ -184,11 +184,13 @@ def mix(
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of `docs`, each as often as mix() has copies of it; those with none go.
 
-    All columns pass through. Rows that share an id get the copies of the one with most.
+    All columns pass through, whatever their names. Rows that share an id get the copies of the
+    one with most; an empty table gives an empty one.
     """
-    copies = mix(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("__of")).agg(F.max("copies").alias("__copies")).where(F.col("__copies") > 0)
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("__of")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    copies = mix(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("of")).agg(F.max("copies").alias("copies")).where(F.col("copies") > 0)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"))
+    joined = rows.join(copies, F.col("i").eqNullSafe(F.col("of")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op4(docs: DataFrame) -> DataFrame:
