@@ -17,6 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     graph = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     mapping = None
+    if graph.isEmpty():
+        return edges.sparkSession.createDataFrame([], "node long, component long")
     while True:
         ends = graph.select("a", "b").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("to"))

@@ -43,7 +43,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle values of each text; A-Z lower-cased, short texts as one."""
     codes, words, offsets = split_words(pc.ascii_lower(plain(texts)))
-    values = pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+    values = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.zeros(0, np.uint64)
     h = mix64(values)[codes] if len(codes) else np.zeros(0, np.uint64)
     full = h.copy()
     for j in range(1, width):
@@ -280,7 +280,10 @@ def close_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).where(F.col("c0") != F.col("c1"))
     mixed = keep(rows.join(mixed.select("key", "members"), "key"), "mixed")
-    spread = max(1, -(-mixed.count() // BLOCK))
+    total = mixed.count()
+    if not total:
+        return rows.sparkSession.createDataFrame([], "hub long, other long")
+    spread = -(-total // BLOCK)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = mixed.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = dealt.join(classes.select("node", "dense"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -316,13 +319,16 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
     pairs = keep(pairs, "pairs")
     load = pairs.groupBy("hub").agg(F.sum("n").alias("load"))
     total = load.agg(F.sum("load")).first()[0] or 0
-    spread = max(1, -(-total // GROUP_SHINGLES))
+    if not total:
+        return pairs.sparkSession.createDataFrame([], "a long, b long")
+    spread = -(-total // GROUP_SHINGLES)
     chunks = F.ceil(F.col("load") / GROUP_SHINGLES).cast("int")
     dealt = pairs.join(load, "hub").withColumn("chunk", F.pmod(F.xxhash64("other"), chunks))
     group = F.pmod(F.xxhash64("hub", "chunk"), F.lit(spread))
     dealt = keep(dealt.select(group.alias("group"), "hub", "chunk", "other"), "dealt")
     members = dealt.select("group", "hub", F.col("other").alias("node")).union(dealt.select("group", "hub", F.col("hub").alias("node")).distinct())
     wanted = members.select("node").distinct().join(classes, "node").select("node", F.xxhash64("first.id").alias("i"), F.col("first.th").alias("t"))
+    wanted = keep(wanted, "wanted")  # a table's size is known, so where it is small texts need no shuffle
     found = rows.select(F.xxhash64("id").alias("i"), F.col("th").alias("t"), "text").join(wanted, ["i", "t"])
     # repeated rows meet in the join's partitions; one of them is enough
     nth = F.row_number().over(Window.partitionBy("i", "t").orderBy(F.lit(0)))
@@ -341,7 +347,7 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     links = keep(members.join(texts, "node").groupBy("group").applyInArrow(check, "a long, b long"), "links")
-    for done in (pairs, dealt, texts):
+    for done in (pairs, dealt, wanted, texts):
         drop_kept(done)
     return links
 
