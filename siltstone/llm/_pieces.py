@@ -10,10 +10,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from siltstone.llm._words import spread
+from siltstone.llm._words import spread, word_list
 
 #: Words remembered at most per worker and encoder.
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 #: Words encoded in one call.
 TOGETHER = 4000
 
@@ -51,9 +51,9 @@ class WordMemo:
         self.encode, self.most = encode, most
         self.new, self.old = _Generation(), _Generation()
 
-    def runs(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, vocabulary: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word of the vocabulary its first place and size in the third array."""
-        words = vocabulary.to_pylist()
+        words = vocabulary if isinstance(vocabulary, list) else word_list(vocabulary)
         if len(self.new.at) + len(words) > self.most // 2:
             self.new, self.old = _Generation(), self.new
         new, old = self.new, self.old

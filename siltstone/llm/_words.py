@@ -50,6 +50,11 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes[held].astype(np.int64), flat.dictionary, upto[bounds]
 
 
+def word_list(vocabulary: pa.Array) -> list[str]:
+    """The words as Python strings; by way of NumPy, which is several times faster than one by one."""
+    return vocabulary.to_numpy(zero_copy_only=False).tolist()
+
+
 def spread(codes: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each code's run flat[first:first + size], one after the other; and the running end of each."""
     n = size[codes]

@@ -12,13 +12,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm._pieces import byte_fallback, public_path, word_bpe
-from siltstone.llm._words import SPACES, per_text, plain, slices, split_words, spread
+from siltstone.llm._words import SPACES, per_text, plain, slices, split_words, spread, word_list
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -30,28 +29,30 @@ WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 class Band(NamedTuple):
-    """Limits a text must keep: characters per token, share of byte tokens, bits per token."""
+    """Limits a text must keep: characters per token and per piece, share of byte tokens, entropy."""
 
     min_chars: float
     max_chars: float
     max_bytes: float
     #: Entropy in bits over the bits that as many different tokens would have, in blocks of BLOCK tokens.
     min_evenness: float
+    #: Characters per token of the second vocabulary, whose tokens fall back to bytes.
+    min_piece_chars: float
 
 
 # Bands by language where one is known, else by script. Logographic and unlisted scripts
 # cost several byte tokens a character in these vocabularies, which is no fault of the text.
 BANDS = {
-    "en": Band(2.12, 7.0, 0.05, 0.40),
-    "de": Band(1.98, 7.0, 0.05, 0.40),
-    "fr": Band(1.80, 7.0, 0.05, 0.40),
-    "es": Band(1.77, 7.0, 0.05, 0.40),
-    "Latin": Band(1.60, 7.0, 0.10, 0.40),
-    "Cyrillic": Band(0.80, 7.0, 0.20, 0.40),
-    "Greek": Band(0.60, 6.0, 0.30, 0.40),
-    "other": Band(0.20, 6.0, 1.00, 0.40),
+    "en": Band(2.12, 7.0, 0.05, 0.40, 1.75),
+    "de": Band(1.98, 7.0, 0.05, 0.40, 1.80),
+    "fr": Band(1.80, 7.0, 0.05, 0.40, 1.60),
+    "es": Band(1.77, 7.0, 0.05, 0.40, 1.60),
+    "Latin": Band(1.60, 7.0, 0.10, 0.40, 1.40),
+    "Cyrillic": Band(0.80, 7.0, 0.20, 0.40, 0.60),
+    "Greek": Band(0.60, 6.0, 0.30, 0.40, 0.40),
+    "other": Band(0.20, 6.0, 1.00, 0.40, 0.15),
 }
-_SCRIPTS = {"Latin": "A-Za-zªºÀ-ɏḀ-ỿ", "Cyrillic": "Ѐ-ԯ", "Greek": "Ͱ-Ͽἀ-῿"}
+_SCRIPTS = {"Latin": "AZ az ªª ºº Àɏ Ḁỿ", "Cyrillic": "Ѐԯ", "Greek": "ͰϿ ἀ῿"}
 
 _FIELDS = {
     "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(),
@@ -60,6 +61,29 @@ _FIELDS = {
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, chars_per_piece double, byte_share double, evenness double, script string"
 
 
+def _kinds_of_characters() -> np.ndarray:
+    """The kind of each character below 2**16: a number of _SCRIPTS, then other letters and signs, other ASCII, SYMBOLS."""
+    kinds = np.full(1 << 16, len(_SCRIPTS), np.uint8)
+    kinds[:128] = len(_SCRIPTS) + 1
+    for k, ranges in enumerate(_SCRIPTS.values()):
+        for first, last in ranges.split():
+            kinds[ord(first) : ord(last) + 1] = k
+    kinds[[ord(x) for x in SYMBOLS]] = len(_SCRIPTS) + 2
+    return kinds
+
+
+_KINDS = _kinds_of_characters()
+
+
+def character_kinds(words: list[str]) -> np.ndarray:
+    """How many characters of each kind each word has, a row a word."""
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = np.where(flat < len(_KINDS), _KINDS[np.minimum(flat, len(_KINDS) - 1)], len(_SCRIPTS)).astype(np.int64)
+    n = int(_KINDS.max()) + 1
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    return np.bincount(owner * n + kinds, minlength=len(words) * n).reshape(-1, n)
+
+
 def repeated_words(codes: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Words of each text inside a window of `window` words (a power of two) that it holds twice or more."""
     n_texts, n = len(offsets) - 1, len(codes)
@@ -116,34 +140,30 @@ def measure(texts: pa.Array, word_path: str, byte_path: str) -> dict[str, pa.Arr
     x = plain(texts)
     codes, words, offsets = split_words(x)
     n_words = np.diff(offsets)
-    lengths = np.asarray(pc.utf8_length(words), dtype=np.int64)
     text = np.repeat(np.arange(len(n_words)), n_words)
-    total = lambda values: np.bincount(text, weights=values, minlength=len(n_words)).astype(np.int64)
-    word_chars = total(lengths[codes])
-    symbols = sum((np.asarray(pc.count_substring(x, s), dtype=np.int64) for s in SYMBOLS), np.zeros(len(n_words), np.int64))
+    total = lambda values: np.bincount(text, weights=values[codes], minlength=len(n_words)).astype(np.int64)
+    listed = word_list(words)
+    kinds = character_kinds(listed)
+    word_chars = total(kinds.sum(1))
 
     memo, is_byte = byte_fallback(byte_path)
-    first, size, flat = memo.runs(words)
-    pieces = total(size[codes])
+    first, size, flat = memo.runs(listed)
+    pieces = total(size)
     ids, ends = spread(np.arange(len(words)), first, size, flat)
     byte_of_word = np.diff(np.concatenate([[0], np.cumsum(is_byte[ids])])[np.concatenate([[0], ends]).astype(np.int64)])
-    byte_tokens = total(byte_of_word[codes])
+    byte_tokens = total(byte_of_word)
 
-    ids, ends = spread(codes, *word_bpe(word_path).runs(words))
+    ids, ends = spread(codes, *word_bpe(word_path).runs(listed))
     bounds = per_text(ends, offsets)
     tokens = np.diff(bounds)
     ratio = lambda a, b, none: np.where(b > 0, a / np.maximum(b, 1), none)
 
-    letters = {k: np.asarray(pc.count_substring_regex(words, f"[{v}]"), dtype=np.int64) for k, v in _SCRIPTS.items()}
-    per_script = np.stack([total(v[codes]) for v in letters.values()])
-    ascii_other = np.asarray(pc.count_substring_regex(words, r"[\x00-\x40\x5b-\x60\x7b-\x7f]"), dtype=np.int64)
-    rest = word_chars - per_script.sum(0) - total(ascii_other[codes])
-    names = np.array([*_SCRIPTS, "other"])
-    script = names[np.argmax(np.vstack([per_script, rest[None]]), axis=0)]
+    per_script = np.stack([total(kinds[:, k]) for k in range(len(_SCRIPTS) + 1)])
+    script = np.array([*_SCRIPTS, "other"])[np.argmax(per_script, axis=0)]
     return {
         "n_words": pa.array(n_words, pa.int64()),
         "word_chars": pa.array(word_chars),
-        "n_symbols": pa.array(symbols),
+        "n_symbols": pa.array(total(kinds[:, -1])),
         "n_dup_lines": pa.array([duplicate_lines(t) for t in x.to_pylist()], pa.int64()),
         "n_repeat_words": pa.array(repeated_words(codes, offsets)),
         "n_tokens": pa.array(tokens, pa.int64()),
@@ -198,6 +218,7 @@ def judge(
         .when(q["chars_per_token"] > limit(1), "many characters a token")
         .when(q["byte_share"] > limit(2), "byte tokens")
         .when(q["evenness"] < limit(3), "uniform tokens")
+        .when(q["chars_per_piece"] < limit(4), "few characters a piece")
     )
     return (
         out.withColumn(name, q.withField("base_failed", failed).withField("band", band).withField("rejected_by", outside))
