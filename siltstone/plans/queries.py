@@ -12,7 +12,7 @@ from siltstone.functions import text as X
 from siltstone.functions import values as V
 from siltstone.operators import audit, chunking, instructions, offers, retrieval, structure, sync, tabular
 from siltstone.plans.bindings import FILES, FLIGHTS, KNOWN, OFFERS, SEARCHES, TRANSACTIONS, bound, duck
-from siltstone.session import read_table, scratch
+from siltstone.session import dealt, read_table, scratch
 from siltstone.sources import files, payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +55,7 @@ DIRTY = "replace(replace(replace(text, '. ', concat('.  ', chr(13), chr(10), chr
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return dealt(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query("t_clean_text", f"SELECT doc_id, md5({s_clean(DIRTY)}) AS cleaned, md5({s_clean(DIRTY, False)}) AS kept_quotes FROM documents")

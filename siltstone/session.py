@@ -43,6 +43,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return with_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """`df`, dealt over the cores by `key` if Spark would read it in one task.
+
+    That is a file of one row group, which can not be split; tables of more are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if cores > 1 and df.rdd.getNumPartitions() == 1 else df
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder (spark.checkpoint.dir).
 
