@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import classifier, language, licenses, mixing, neighbours, packing, quality, repeats, secrets, shingles
-from siltstone.session import read_table
+from siltstone.session import dealt, read_table
 
 
 def _docs(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(read_table(spark, sf_dir, "documents"))
+    return lambda spark, sf_dir: operator(_table(spark, sf_dir))
+
+
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,7 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_network": _docs(language.op7),
     "op8_license_dice": _docs(licenses.op8),
     "op9_suffix_dedup": _docs(repeats.op9),
-    "op10_ngram_regression": lambda spark, sf_dir: classifier.op10(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
+    "op10_ngram_regression": lambda spark, sf_dir: classifier.op10(_table(spark, sf_dir), read_table(spark, sf_dir, "labels")),
 }
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
