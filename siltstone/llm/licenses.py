@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,22 +89,44 @@ def template_bigrams(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple
     return [(no, name, gram, n, sum(grams.values())) for no, (name, text) in enumerate(templates) for grams in [_bigrams(text)] for gram, n in grams.items()]
 
 
+#: Letters from which on a word is looked for as it stands; shorter ones are too frequent inside others.
+LONG_WORD = 5
+
+
 def required_words(templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> list[str]:
     """Words of which every part that reaches the threshold with some template holds one at least.
 
     A match shares t / (2 - t) of the template's bigrams or more, so a template needs words that
-    all but fewer of its bigrams hold. The longest words are taken, as the rarest in other texts.
+    all but fewer of its bigrams hold. Words are taken that serve most templates, short ones only
+    where long ones do not suffice.
     """
-    chosen: set[str] = set()
-    for _, text in templates:
-        grams = _bigrams(text)
-        whole = sum(grams.values())
-        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in chosen, -len(w), w)):
-            without = sum(n for g, n in grams.items() if not chosen.intersection(g.split()))
-            if without < math.ceil(whole * threshold / (2 - threshold) - 1e-9):
+    grams = [dict(_bigrams(text)) for _, text in templates]
+    lack = [sum(g.values()) - math.ceil(sum(g.values()) * threshold / (2 - threshold) - 1e-9) + 1 for g in grams]
+    chosen: list[str] = []
+    for least in (LONG_WORD, 1):
+        while True:
+            gain: Counter = Counter()
+            for g, open_ in zip(grams, lack, strict=True):
+                held: Counter = Counter()
+                for gram, n in g.items():
+                    held.update({w: n for w in set(gram.split()) if len(w) >= least})
+                gain.update({w: min(n, open_) / open_ for w, n in held.items()} if open_ > 0 else {})
+            if not gain:
                 break
-            chosen.add(word)
-    return sorted(chosen)
+            best = max(gain, key=lambda w: (gain[w], len(w), w))
+            chosen.append(best)
+            for i, g in enumerate(grams):
+                lack[i] -= sum(g.pop(gram) for gram in [x for x in g if best in x.split()])
+    return chosen
+
+
+def _holds_any(text: Column, words: list[str]) -> Column:
+    """Whether lower-cased text holds one of the words: long ones anywhere, short ones as words."""
+    tests = [F.contains(text, F.lit(w)) for w in words if len(w) >= LONG_WORD]
+    short = [re.escape(w) for w in words if len(w) < LONG_WORD]
+    if short:
+        tests.append(text.rlike(f"(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(short)})(?![\\p{{L}}\\p{{N}}])"))
+    return reduce(Column.__or__, tests)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -122,8 +145,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ratio = (2 - threshold) / threshold
     sizes = [sum(_bigrams(t).values()) for _, t in templates]
     low, high = min(sizes) / ratio, max(sizes) * ratio
-    needed = f"(?:{'|'.join(map(re.escape, required_words(templates, threshold)))})(?![\\p{{L}}\\p{{N}}])"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.lower(text_col).alias("text")).where(F.col("text").rlike(needed))
+    needed = required_words(templates, threshold)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.lower(text_col).alias("text")).where(_holds_any(F.col("text"), needed))
 
     def named(parts: Column, kind: str) -> Column:
         return F.transform(parts, lambda x, i: F.struct(F.concat(F.lit(kind), i.cast("string")).alias("unit"), x.alias("part")))
@@ -136,7 +159,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = F.filter(paragraphs, lambda p: F.contains(p["part"], F.lit("\n")))
     parted = F.filter(sentences, lambda p: F.length(p["part"]) > 0)
     whole = F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("document").alias("unit"), F.col("text").alias("part")))).otherwise(F.array().cast("array<struct<unit:string,part:string>>"))
-    units = rows.select("row", "id", F.inline(F.concat(named(F.split("text", "\n"), "line "), several, parted, whole))).where(F.col("part").rlike(needed))
+    units = rows.select("row", "id", F.inline(F.concat(named(F.split("text", "\n"), "line "), several, parted, whole))).where(_holds_any(F.col("part"), needed))
     words = F.filter(F.split(F.regexp_replace("part", "[^\\p{L}\\p{N}]+", " "), " "), lambda w: w != "")
     sized = units.select("row", "id", "unit", words.alias("words")).withColumn("n", F.size("words") - 1).where((F.col("n") >= low) & (F.col("n") <= high))
     grams = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
