@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Callable
@@ -13,7 +14,7 @@ import pyarrow as pa
 from siltstone.llm._words import spread, word_list
 
 #: Words remembered at most per worker and encoder.
-MOST_WORDS = 200_000
+MOST_WORDS = 150_000
 #: Words encoded in one call.
 TOGETHER = 4000
 
@@ -169,6 +170,15 @@ def byte_fallback(path: str) -> tuple[WordMemo, np.ndarray]:
     return memo, memo.is_byte
 
 
+def forget_words() -> None:
+    """Let go of this worker's memos. Spark reuses workers, so a stage after one that encodes
+    words would hold them beside its own arrays; who encodes again starts a new memo."""
+    if _memos:
+        _memos.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def public_path(name: str) -> str:
     """Where a public vocabulary file lies on this machine."""
     import public_tokenizers

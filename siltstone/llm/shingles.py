@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm._cluster import drop_kept, keep, let_go, mix64
 from siltstone.llm._components import components
+from siltstone.llm._pieces import forget_words
 from siltstone.llm._words import plain, slices, split_words
 
 #: Segments beyond the pigeonhole's need, so that linked documents share several.
@@ -144,6 +145,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     nothing = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         bands, seen = _bands(percent), set()
         for whole in batches:
             for batch in slices(whole, "text"):
