@@ -67,3 +67,43 @@ def spread(codes: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndar
 def per_text(ends: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Text boundaries (n + 1) in what spread() returned, from boundaries in words."""
     return np.concatenate([[0], ends])[offsets].astype(np.int64)
+
+
+def cut_words(texts: pa.Array, spaces: str = SPACES, breaks: str = "", lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Codes of all words, their vocabulary, where each text starts (n + 1), and the piece of each word.
+
+    Words are what the ASCII characters of `spaces` and `breaks` part; pieces are numbered
+    through all texts, and a break or a text's end parts them. `lower` folds A-Z. Works on the
+    texts' bytes, on which ASCII characters stand for themselves alone.
+    """
+    x = plain(texts).cast(pa.large_string())
+    ends = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+    data = np.frombuffer(x.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(x) else np.zeros(0, np.uint8)
+    edges = ends - ends[0] if len(x) else np.zeros(1, np.int64)
+    kinds = np.zeros(256, np.uint8)
+    kinds[list(spaces.encode())], kinds[list(breaks.encode())] = 1, 2
+    kind = kinds[data]
+    held = kind == 0
+    begins, closes = held.copy(), held.copy()
+    begins[1:] &= ~held[:-1]
+    closes[:-1] &= ~held[1:]
+    inner = edges[(edges > 0) & (edges < len(data))]
+    begins[inner] = held[inner]
+    closes[inner - 1] = held[inner - 1]
+    starts = np.flatnonzero(begins)
+    lengths = np.flatnonzero(closes) + 1 - starts
+    kept = data[held]
+    if lower:
+        fold = np.arange(256, dtype=np.uint8)
+        fold[65:91] += 32
+        kept = fold[kept]
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
+    coded = words.dictionary_encode()
+    bounds = np.searchsorted(starts, edges)
+    parted = np.zeros(len(starts) + 1, np.int64)
+    parted[bounds[1:-1]] = 1  # a text begins here, or several where some have no word
+    if breaks:
+        passed = np.cumsum(kind == 2)[starts]
+        parted[1:-1] |= np.diff(passed) > 0
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary.cast(pa.string()), bounds.astype(np.int64), np.cumsum(parted[:-1])

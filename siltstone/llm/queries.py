@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import classifier, language, licenses, mixing, neighbours, packing, quality, repeats, secrets, shingles
+from siltstone.llm import classifier, language, licenses, mixing, neighbours, packing, periodic, phrases, quality, repeats, secrets, shingles, topk
 from siltstone.session import dealt, read_table
 
 
@@ -29,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_dice": _docs(licenses.op8),
     "op9_suffix_dedup": _docs(repeats.op9),
     "op10_ngram_regression": lambda spark, sf_dir: classifier.op10(_table(spark, sf_dir), read_table(spark, sf_dir, "labels")),
+    "op11_periodic_runs": _docs(periodic.op11),
+    "op12_histogram_topk": lambda spark, sf_dir: topk.op12(read_table(spark, sf_dir, "embeddings")),
+    "op13_phrase_graph": _docs(phrases.op13),
 }
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -76,6 +79,48 @@ SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(pass
   len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex FROM documents
 """
 
+#: crc32 of a text, by its 256 remainders; fixed polynomial.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda s, b: xor(s >> 8, list_reduce(list_prepend((xor(s, b) & 255)::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda t, z: xor(t >> 1, (t & 1) * 3988292384)))))"""
+
+#: Equal words a lag apart, in islands without a gap; of one stretch the least period.
+_OP11 = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w, {_CRC.format(x="doc_id::VARCHAR")}::BIGINT AS h FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g FROM w), b AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM a), c AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM b),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM c),
+e AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM t),
+q AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM e l JOIN e r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM q) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+d AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM u),
+k AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.i) AS kept FROM e LEFT JOIN d ON d.doc_id = e.doc_id AND d.i = e.i WHERE d.i IS NULL GROUP BY e.doc_id),
+r AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines, first(struct_pack(s := start, l := length, p := period) ORDER BY length DESC, start, period) AS best FROM u GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+_OP12 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v)::BIGINT AS score FROM v q JOIN v r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+#: All grams of one to three words counted by themselves.
+_OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS x, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+i AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN (SELECT lang, a, unnest([array_to_string(x[1:2], ' '), array_to_string(x[2:3], ' ')]) AS part FROM c WHERE k = 3) b ON b.lang = c.lang AND b.part = c.phrase AND 100 * b.a >= 50 * c.a WHERE c.k = 2),
+z AS (SELECT c.lang, c.k, c.phrase, c.x, c.a, unnest(range(1, c.k)) AS cut FROM c ANTI JOIN i USING (lang, phrase)),
+s AS (SELECT z.*, l.a AS l, r.a AS r, (1000000 * z.a * z.a) // (l.a * r.a) AS score FROM z JOIN f l ON l.lang = z.lang AND l.phrase = array_to_string(z.x[1:z.cut], ' ') JOIN f r ON r.lang = z.lang AND r.phrase = array_to_string(z.x[z.cut + 1:z.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM b JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 QUERIES |= {
     # what of two operators' results SQL can state
@@ -87,6 +132,9 @@ ORACLE_SQL: dict[str, str] = {
     "op5_parity_sketch_join": _OP5,
     "op8_license_dice": licenses.oracle_op8(),
     "op9_suffix_dedup": _OP9,
+    "op11_periodic_runs": _OP11,
+    "op12_histogram_topk": _OP12,
+    "op13_phrase_graph": _OP13,
     "quality_base_counts": _QUALITY,
     "secret_base_counts": _SECRETS,
 }
