@@ -39,27 +39,26 @@ def build_lexical(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "
     return LexicalIndex(postings, terms, totals)
 
 
-def _met(wanted: DataFrame, index: LexicalIndex) -> DataFrame:
-    """Postings joined with the (query_id, term, times, idf, avgdl) that ask for their term.
+def deal_hot(wanted: DataFrame, postings: DataFrame, terms: DataFrame, by: str) -> DataFrame:
+    """`postings` (term, `by`, ..) joined with the rows of `wanted` that ask for their term.
 
     Terms that hold more than one of `parts` shares of all postings are fewer than `parts`; their
-    postings are dealt by chunk, and the queries that ask for them go to every part.
+    postings are dealt by `by`, and the queries that ask for them go to every part.
     """
     parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = index.terms.agg(F.sum("df")).first()[0] or 0
-    hot = F.broadcast(index.terms.where(F.col("df") > max(1, total // parts)).select("term"))
-    cold = index.postings.join(hot, "term", "left_anti").join(wanted, "term")
-    dealt = index.postings.join(hot, "term", "left_semi").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)))
+    total = terms.agg(F.sum("df")).first()[0] or 0
+    hot = F.broadcast(terms.where(F.col("df") > max(1, total // parts)).select("term"))
+    cold = postings.join(hot, "term", "left_anti").join(wanted, "term")
+    dealt = postings.join(hot, "term", "left_semi").withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)))
     every = wanted.join(hot, "term", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return cold.unionByName(dealt.join(every.withColumn("part", F.col("part").cast("long")), ["term", "part"]).drop("part"))
 
 
-def search_lexical(index: LexicalIndex, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, negative_idf: str = "floor") -> DataFrame:
-    """(query_id, chunk_id, score, rank): BM25 Okapi, best first, scores over 0 among the top k.
+def weighted_terms(index: LexicalIndex, queries: DataFrame, negative_idf: str = "floor") -> DataFrame:
+    """(query_id, term, weight_of_term, avgdl): how often a query asks for a term, times its idf.
 
-    Repeated query tokens count repeatedly. Terms in more than half of the chunks have a
-    negative idf: `floor` puts a quarter of the mean idf in its place, `raw` keeps it. Scores are
-    rounded to nine digits, so that equal texts tie. Only postings of query terms are joined.
+    Terms in more than half of the chunks have a negative idf: `floor` puts a quarter of the mean
+    idf in its place, `raw` keeps it.
     """
     # one row of totals, joined on a constant
     weighted = index.terms.withColumn("one", F.lit(1)).join(F.broadcast(index.totals.withColumn("one", F.lit(1))), "one")
@@ -69,9 +68,18 @@ def search_lexical(index: LexicalIndex, queries: DataFrame, k: int = 20, k1: flo
         mean = weighted.agg(F.avg("idf").alias("mean_idf")).withColumn("one", F.lit(1))
         weighted = weighted.join(F.broadcast(mean), "one").withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("idf")))
     wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    scored = _met(wanted.join(weighted.select("term", "idf", "avgdl"), "term"), index)
+    return wanted.join(weighted.select("term", "idf", "avgdl"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight_of_term"), "avgdl")
+
+
+def search_lexical(index: LexicalIndex, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, negative_idf: str = "floor") -> DataFrame:
+    """(query_id, chunk_id, score, rank): BM25 Okapi, best first, scores over 0 among the top k.
+
+    Repeated query tokens count repeatedly; for `negative_idf` see weighted_terms(). Scores are
+    rounded to nine digits, so that equal texts tie. Only postings of query terms are joined.
+    """
+    scored = deal_hot(weighted_terms(index, queries, negative_idf), index.postings, index.terms, "chunk_id")
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scores = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("idf") * tf), 9).alias("score"))
+    scores = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight_of_term") * tf), 9).alias("score"))
     return top_k(scores, k).where(F.col("score") > 0)
 
 
@@ -81,6 +89,37 @@ def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of vectors of one length as the rows of a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
+
+
+def best_of_block(k: int, digits: int | None = None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a block of (chunk_id, embedding) the k best inner products with each (query_id, embedding)."""
+
+    def best(v: pa.Table, q: pa.Table) -> pa.Table:
+        found = [pa.table({"query_id": q["query_id"][:0], "chunk_id": v["chunk_id"][:0], "score": pa.array([], pa.float64())})]
+        if v.num_rows and q.num_rows:
+            v = v.sort_by("chunk_id")
+            rows, asked = matrix(v["embedding"]), matrix(q["embedding"])
+            for i in range(0, len(asked), 128):
+                scores = asked[i : i + 128] @ rows.T
+                if digits is not None:
+                    scores = np.round(scores, digits)
+                # all that tie with the k-th best, then the first k by score and id
+                least = np.partition(scores, -min(k, len(rows)), axis=1)[:, -min(k, len(rows))]
+                of, at = np.nonzero(scores >= least[:, None])
+                order = np.lexsort((at, -scores[of, at], of))
+                of, at = of[order], at[order]
+                top = np.arange(len(of)) - np.searchsorted(of, of) < k
+                of, at = of[top], at[top]
+                found.append(pa.table({"query_id": q["query_id"].take(pa.array(of + i)), "chunk_id": v["chunk_id"].take(pa.array(at)), "score": pa.array(scores[of, at])}))
+        return pa.concat_tables(found)
+
+    return best
+
+
 #: Vectors and query vectors of a block: what one task of a dense search holds.
 ROW_BLOCK, QUERY_BLOCK = 8192, 1024
 
@@ -105,30 +144,7 @@ def search_dense(vectors: DataFrame, queries: DataFrame, k: int = 20, digits: in
     right = queries.select(every(row_blocks).alias("rb"), block("query_id", query_blocks).alias("qb"), "query_id", "embedding")
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("chunk_id", vectors), ("query_id", queries))}
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        flat = column.combine_chunks()
-        return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
-
-    def best(v: pa.Table, q: pa.Table) -> pa.Table:
-        found = [pa.table({"query_id": q["query_id"][:0], "chunk_id": v["chunk_id"][:0], "score": pa.array([], pa.float64())})]
-        if v.num_rows and q.num_rows:
-            v = v.sort_by("chunk_id")
-            rows, asked = matrix(v["embedding"]), matrix(q["embedding"])
-            for i in range(0, len(asked), 128):
-                scores = asked[i : i + 128] @ rows.T
-                if digits is not None:
-                    scores = np.round(scores, digits)
-                # all that tie with the k-th best, then the first k by score and id
-                least = np.partition(scores, -min(k, len(rows)), axis=1)[:, -min(k, len(rows))]
-                of, at = np.nonzero(scores >= least[:, None])
-                order = np.lexsort((at, -scores[of, at], of))
-                of, at = of[order], at[order]
-                top = np.arange(len(of)) - np.searchsorted(of, of) < k
-                of, at = of[top], at[top]
-                found.append(pa.table({"query_id": q["query_id"].take(pa.array(of + i)), "chunk_id": v["chunk_id"].take(pa.array(at)), "score": pa.array(scores[of, at])}))
-        return pa.concat_tables(found)
-
-    met = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(best, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    met = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(best_of_block(k, digits), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
     return top_k(met, k)
 
 
@@ -151,12 +167,15 @@ def hashed_vectors(rows: DataFrame, id_col: str = "chunk_id", text_col: str = "t
     """(id, embedding): the bundled encoder. Signed hashed counts of words, log-damped, of length 1.
 
     Words are counted by component with column expressions alone; a text without words, or null,
-    has zeros. Ids should be unique.
+    has zeros. Where the signs cancel in all components, counts without signs stand in, so that
+    every text with a word has a direction. Ids should be unique.
     """
     words = rows.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("word"))
     digits = lambda at, n: F.conv(F.substring(F.md5("word"), at, n), 16, 10).cast("long")
     signed = F.when(digits(9, 1) % 2 == 0, 1).otherwise(-1)
-    sums = words.groupBy("id", (digits(1, 8) % dimension).cast("int").alias("at")).agg(F.sum(signed).alias("s"))
+    sums = words.groupBy("id", (digits(1, 8) % dimension).cast("int").alias("at")).agg(F.sum(signed).alias("s"), F.count(F.lit(1)).alias("n"))
+    cancelled = F.max(F.abs("s")).over(Window.partitionBy("id")) == 0
+    sums = sums.withColumn("s", F.when(cancelled, F.col("n")).otherwise(F.col("s")))
     damped = (F.signum("s") * F.log1p(F.abs("s"))).alias("w")
     listed = sums.select("id", "at", damped).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("held"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("held", i) / F.nullif(F.col("length"), F.lit(0.0)), F.lit(0.0)).cast("float"))

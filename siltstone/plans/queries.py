@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions import values as V
-from siltstone.operators import audit, chunking, instructions, offers, retrieval, structure, sync, tabular
+from siltstone.operators import audit, chunking, instructions, offers, pruned, retrieval, structure, sync, tabular
 from siltstone.plans.bindings import FILES, FLIGHTS, KNOWN, OFFERS, SEARCHES, TRANSACTIONS, bound, duck
 from siltstone.session import dealt, read_table, scratch
 from siltstone.sources import files, payloads
@@ -497,6 +497,12 @@ def bm25_top5(spark, d):
     return retrieval.search_lexical(_index(spark, d), _asked(spark, d), 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("r_bm25_pruned", _BM25 + "SELECT item_id AS query_id, doc_id AS chunk_id, rank::INT AS rank, round(score, 6) AS score FROM b WHERE rank <= 5 AND score > 0")
+def _(spark, d):
+    hits, _ = pruned.search_lexical_pruned(pruned.build_blocks(_index(spark, d)), _asked(spark, d), 5)
+    return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 _DENSE = """
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
@@ -513,6 +519,13 @@ def dense_top20(spark, d):
     return retrieval.search_dense(*_vectors(spark, d), 20).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("r_dense_pruned", _DENSE + "SELECT query_id, chunk_id, rank::INT AS rank, round(score, 6) AS score FROM b WHERE rank <= 20")
+def _(spark, d):
+    vectors, asked = _vectors(spark, d)
+    hits, _ = pruned.search_dense_pruned(pruned.cluster_vectors(vectors), asked, 20)
+    return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 # Sparse hits stand in for lexical ones: inner products over the second half of the components.
 _FUSION = """
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS ds, list_inner_product(q.embedding[33:64]::DOUBLE[], v.embedding[33:64]::DOUBLE[]) AS ss FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),

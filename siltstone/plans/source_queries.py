@@ -177,13 +177,14 @@ def _(spark, d):
     return spark.read.option("recursiveFileLookup", True).parquet(table).select("file_path", "file_hash").distinct()
 
 
-@query("w_trending", f"SELECT query, count(*) AS searches FROM ({duck(SEARCHES)}) WHERE result_count > 0 GROUP BY query")
+@query("w_trending", f"SELECT strftime(time_bucket(INTERVAL 1 HOUR, searched_at), '%Y-%m-%d %H:%M:%S') AS start, query, count(*) AS searches FROM ({duck(SEARCHES)}) WHERE result_count > 0 GROUP BY ALL")
 def _(spark, d):
-    events = _stream(spark, bound(spark, d, SEARCHES), scratch(spark, "searches"))
+    rows = bound(spark, d, SEARCHES)
+    # files come in any order of times, so nothing counts as late within the table's span
+    span = rows.agg(F.unix_timestamp(F.max("searched_at")) - F.unix_timestamp(F.min("searched_at"))).first()[0] or 0
     table = scratch(spark, "trending")
-    counts = jobs.trending_stream(events).writeStream.outputMode("complete").option("checkpointLocation", scratch(spark, "marks")).trigger(availableNow=True)
-    counts.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(table)).start().awaitTermination()
-    return spark.read.parquet(table).select("query", "searches")
+    jobs.trending_table(_stream(spark, rows, scratch(spark, "searches")), table, scratch(spark, "marks"), "1 hour", f"{span + 1} seconds").awaitTermination()
+    return jobs.read_trending(spark, table).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "query", "searches")
 
 
 @query(

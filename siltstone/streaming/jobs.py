@@ -1,54 +1,211 @@
-"""Streaming forms of batch operators: corpus sync, trending searches, fresh offers."""
+"""Streaming forms of batch operators, on keyed state: corpus sync, trending searches, fresh offers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+from collections.abc import Iterator
+from typing import Any
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
+
+#: Keyed state with timers needs this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _start(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts with the state store that keyed state needs; the session's setting stays as it was."""
+    key, provider = STATE_STORE
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
 
-from siltstone.operators.sync import classify_changes
+# ---- corpus sync
+
+_JUDGED = "path string, file_hash string, version long, taken boolean"
+_OUTCOME = "path string, file_hash string, document_id string, outcome string, freed array<struct<path:string,file_hash:string,version:long>>"
+
+
+class ContentOwners(StatefulProcessor):
+    """By content hash: the path that owns it, and which of its claims made it so.
+
+    What is set free goes first; of several paths that claim a content nobody owns, the first in
+    order gets it. A content is set free by the claim's number, so that an old notice can not
+    take it from a path that has claimed it again since. State grows with the contents ever seen.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.owner = handle.getValueState("owner", "path string, version long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803  names of the interface
+        before = tuple(self.owner.get()) if self.owner.exists() else None
+        held = before if before is not None and before[0] is not None else None
+        claims = set()
+        for row in rows:
+            if not row.freed:
+                claims.add(row.path)
+            elif held is not None and (held[0], held[1]) == (row.path, row.version):
+                held = None
+        last = before[1] if before is not None else 0
+        for path in sorted(claims):
+            if held is None or held[0] == path:
+                held = (path, last + 1)
+            yield Row(path=path, file_hash=key[0], version=held[1], taken=held[0] != path)
+        # the number of the last claim outlives its owner
+        now = held if held is not None else (None, last)
+        if now != before:
+            self.owner.update(now)
+
+    def close(self) -> None:
+        pass
+
+
+class KnownPaths(StatefulProcessor):
+    """By path: its document, the content it has, and under which claim it owns that."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "document_id string, file_hash string, version long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        path = key[0]
+        known = self.known.get() if self.known.exists() else None
+        found = sorted(((r.taken, r.file_hash, r.version) for r in rows), key=lambda r: (r[0], r[1]))
+        free = [r for r in found if not r[0]]
+        # of several versions of a path in one batch one counts: the greatest hash, free ones first
+        taken, content, version = free[-1] if free else found[-1]
+        lost = [(path, h, v) for t, h, v in found if not t and h != content]
+        if known is not None and known[1] == content:
+            outcome, document = "skipped_unchanged", known[0]
+            version = known[2] if taken else version
+        elif taken:
+            outcome, document = "skipped_duplicate", known[0] if known is not None else None
+        else:
+            outcome, document = ("updated", known[0]) if known is not None else ("new", hashlib.sha256(path.encode()).hexdigest())
+            if known is not None and known[1] not in {h for _, h, _ in lost}:
+                lost.append((path, known[1], known[2]))
+        if outcome != "skipped_duplicate":
+            self.known.update((document, content, version))
+        yield Row(path=path, file_hash=content, document_id=document, outcome=outcome, freed=[Row(path=p, file_hash=h, version=v) for p, h, v in lost])
+
+    def close(self) -> None:
+        pass
 
 
 def sync_stream(files: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Arriving (path, file_hash) rows classified against the table so far, which they then extend.
+    """Arriving (path, file_hash) rows classified against all that arrived before.
+
+    Two keyed states decide: by content hash who owns it, by path which document and content it
+    has. A batch reads and writes the state of the keys it brings, whatever the size of the
+    corpus. New and updated documents (id, file_path, file_hash, batch_id) go to `table_path`, a
+    folder a batch, all outcomes beside it (outcomes_path()); a repeated batch replaces its folders.
 
-    A batch writes its own folder of the table, so a repeated batch replaces what it wrote.
+    Outcomes are those of classify_changes(). A content that a document gives up can be taken by
+    another path from the next batch on: what was set free is written to a folder that the query
+    reads as a second stream. Null paths and hashes take no part.
     """
-    columns = "id string, file_path string, file_hash string"
+    spark = files.sparkSession
+    freed_path = f"{table_path}-freed"
+    _folder(spark, freed_path)
+    freed = spark.readStream.schema("path string, file_hash string, version long").option("recursiveFileLookup", True).parquet(freed_path)
+    arrived = files.select("path", "file_hash", F.lit(None).cast("long").alias("version"), F.lit(False).alias("freed")).where(F.col("path").isNotNull() & F.col("file_hash").isNotNull())
+    claims = arrived.unionByName(freed.withColumn("freed", F.lit(True)))
+    judged = claims.groupBy("file_hash").transformWithState(ContentOwners(), _JUDGED, "Append", "None")
+    outcomes = judged.groupBy("path").transformWithState(KnownPaths(), _OUTCOME, "Append", "None")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        seen = spark.read.schema(f"{columns}, batch_id long").option("recursiveFileLookup", True).parquet(table_path) if _exists(spark, table_path) else spark.createDataFrame([], f"{columns}, batch_id long")
-        earlier = seen.where(F.col("batch_id") < batch_id)
-        last = Window.partitionBy("id").orderBy(F.col("batch_id").desc())
-        known = earlier.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth", "batch_id")
-        # of several versions of a path in one batch any one counts, the greatest hash
-        files_now = batch.groupBy("path").agg(F.max("file_hash").alias("file_hash"))
-        found = classify_changes(files_now, known).where(F.col("outcome").isin("new", "updated"))
-        rows = found.select(F.coalesce("document_id", F.sha2("path", 256)).alias("id"), F.col("path").alias("file_path"), "file_hash", F.lit(batch_id).cast("long").alias("batch_id"))
-        rows.write.mode("overwrite").parquet(f"{table_path}/part={batch_id}")
+        part = f"part={batch_id}"
+        batch.write.mode("overwrite").parquet(f"{outcomes_path(table_path)}/{part}")
+        # the state has moved on in the run above; the folders are made from what it gave
+        done = batch.sparkSession.read.schema(_OUTCOME).parquet(f"{outcomes_path(table_path)}/{part}")
+        rows = done.where(F.col("outcome").isin("new", "updated"))
+        rows.select(F.col("document_id").alias("id"), F.col("path").alias("file_path"), "file_hash", F.lit(batch_id).cast("long").alias("batch_id")).write.mode("overwrite").parquet(f"{table_path}/{part}")
+        done.select(F.inline("freed")).write.mode("overwrite").parquet(f"{freed_path}/{part}")
+
+    return _start(outcomes.writeStream.foreachBatch(apply).outputMode("append").option("checkpointLocation", checkpoint), spark)
+
 
-    return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def outcomes_path(table_path: str) -> str:
+    """Where sync_stream() keeps the outcomes of all files, a folder a batch."""
+    return f"{table_path}-outcomes"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _folder(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(target) and len(fs.listStatus(target)) > 0
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
+# ---- trending searches
+
+
+def trending_stream(searches: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Counts of searches with results by window and query: start, query, searches, last_searched.
 
+    State is kept for windows that the watermark has not passed; later rows of others are dropped.
+    """
+    marked = searches.where(F.col("result_count") > 0).withWatermark("searched_at", delay)
+    counts = marked.groupBy(F.window("searched_at", window).alias("window"), "query").agg(F.count(F.lit(1)).alias("searches"), F.max("searched_at").alias("last_searched"))
+    return counts.select(F.col("window.start").alias("start"), "query", "searches", "last_searched")
+
+
+def trending_table(searches: DataFrame, table_path: str, checkpoint: str, window: str = "1 hour", delay: str = "10 minutes") -> StreamingQuery:
+    """trending_stream() kept as a table: a batch adds a folder of the counts it changed."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table_path}/part={batch_id}")
+
+    counts = trending_stream(searches, window, delay)
+    return _start(counts.writeStream.foreachBatch(apply).outputMode("update").option("checkpointLocation", checkpoint), searches.sparkSession)
+
+
+def read_trending(spark: SparkSession, table_path: str) -> DataFrame:
+    """The last count of each window and query in the table that trending_table() keeps; counts only grow."""
+    return spark.read.parquet(table_path).groupBy("start", "query").agg(F.max("searches").alias("searches"), F.max("last_searched").alias("last_searched"))
+
+
+# ---- fresh offers
 
-def trending_stream(searches: DataFrame, window: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Running counts of searches with results by query; with `window`, bounded by a watermark."""
-    hits = searches.where(F.col("result_count") > 0)
-    if window is None:
-        return hits.groupBy("query").agg(F.count(F.lit(1)).alias("searches"), F.max("searched_at").alias("last_searched"))
-    marked = hits.withWatermark("searched_at", delay)
-    return marked.groupBy(F.window("searched_at", window), "query").agg(F.count(F.lit(1)).alias("searches"))
+class LatestOffers(StatefulProcessor):
+    """By store and url: the latest offer, with a timer for the moment it ages out."""
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl = 1000 * ttl_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "price double, micros long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        held = tuple(self.latest.get()) if self.latest.exists() else None
+        # of equal times the lower price, a price before none
+        best = min(((-r.micros, r.price is None, r.price or 0.0) for r in rows), default=None)
+        new = (None if best[1] else best[2], -best[0])
+        if held is not None and (-held[1], held[0] is None, held[0] or 0.0) <= best:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.latest.update(new)
+        # the watermark's millisecond is over only after it
+        self.handle.registerTimer(new[1] // 1000 + self.ttl + 1)
+        yield Row(store=key[0], url=key[1], price=new[0], micros=new[1], fresh=True)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        price, micros = self.latest.get()
+        self.latest.clear()
+        yield Row(store=key[0], url=key[1], price=price, micros=micros, fresh=False)
+
+    def close(self) -> None:
+        pass
 
 
 def latest_offers(offers: DataFrame, ttl_seconds: int = 900) -> DataFrame:
     """The latest offer of each (store, url) not older than the newest one by more than the TTL."""
-    w = Window.partitionBy("store", "url").orderBy(F.col("fetched_at").desc())
+    w = Window.partitionBy("store", "url").orderBy(F.col("fetched_at").desc(), F.col("price").asc_nulls_last())
     newest = offers.agg(F.max("fetched_at").alias("now")).withColumn("one", F.lit(1))
     latest = offers.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
     # one row of the newest time
@@ -56,27 +213,42 @@ def latest_offers(offers: DataFrame, ttl_seconds: int = 900) -> DataFrame:
     return joined.where(F.unix_timestamp("fetched_at") >= F.unix_timestamp("now") - ttl_seconds).drop("one", "now")
 
 
+def offer_changes(offers: DataFrame, ttl_seconds: int = 900, delay: str = "900 seconds") -> DataFrame:
+    """A stream of changes (store, url, price, fetched_at, fresh) of the latest offers (store, url, price, fetched_at).
+
+    An offer newer than the one held is passed on as fresh. When the watermark has passed an
+    offer by the TTL, it is passed on once more as not fresh and its state is gone. Rows behind the watermark are dropped: with
+    a delay of the TTL or more they would not be fresh anyway. Rows without a store, url or
+    time take no part.
+    """
+    marked = offers.where(F.col("store").isNotNull() & F.col("url").isNotNull() & F.col("fetched_at").isNotNull()).withWatermark("fetched_at", delay)
+    rows = marked.select("store", "url", F.col("price").cast("double").alias("price"), "fetched_at", F.unix_micros("fetched_at").alias("micros"))
+    changes = rows.groupBy("store", "url").transformWithState(LatestOffers(ttl_seconds), "store string, url string, price double, micros long, fresh boolean", "Update", "EventTime")
+    return changes.select("store", "url", "price", F.timestamp_micros("micros").alias("fetched_at"), "fresh")
+
+
 def offers_stream(offers: DataFrame, table_path: str, checkpoint: str, ttl_seconds: int = 900) -> StreamingQuery:
-    """Adds the latest offers of each batch as a folder of the table, and deletes folders that have aged.
+    """Keeps the changes of the latest offers as a table: a batch adds a folder, a repeated batch replaces its own.
 
-    A batch writes what it brought and nothing else; a repeated batch replaces what it wrote.
-    Folders whose newest offer is older than the TTL hold none that read_offers() would give.
+    State is held for offers that have not aged. Folders whose newest offer has aged out hold
+    none that read_offers() would give, and are deleted.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        latest_offers(batch, ttl_seconds).write.mode("overwrite").parquet(f"{table_path}/part={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{table_path}/part={batch_id}")
         # a row for each folder, of one column
         newest = {r["part"]: r["at"] for r in spark.read.parquet(table_path).groupBy("part").agg(F.max(F.unix_timestamp("fetched_at")).alias("at")).collect()}
-        last = max(newest.values(), default=0)
+        last = max((at for at in newest.values() if at is not None), default=0)
         for part, at in newest.items():
-            if at < last - ttl_seconds:
+            if at is not None and at < last - ttl_seconds:
                 target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/part={part}")
                 target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-    return offers.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    changes = offer_changes(offers, ttl_seconds, f"{ttl_seconds} seconds")
+    return _start(changes.writeStream.foreachBatch(apply).outputMode("update").option("checkpointLocation", checkpoint), offers.sparkSession)
 
 
 def read_offers(spark: SparkSession, table_path: str, ttl_seconds: int = 900) -> DataFrame:
     """The latest fresh offer of each (store, url) of the table that offers_stream() keeps."""
-    return latest_offers(spark.read.parquet(table_path).drop("part"), ttl_seconds)
+    return latest_offers(spark.read.parquet(table_path).drop("part", "fresh"), ttl_seconds)
