@@ -108,7 +108,7 @@ def hot_nodes(texts: DataFrame, parts: int) -> DataFrame:
     return counts.where(F.col("node").isNotNull() & (F.col("n") * 8 * parts >= total)).select("node", "lang")
 
 
-def _sums(least: int):
+def _sums(least: int, at_once: int = AT_ONCE):
     """Sums a partition sorted by node, language and next word: edges and nodes that are frequent, and words.
 
     Nodes that were dealt over several partitions, or whose rows were summed in parts here, are
@@ -163,7 +163,7 @@ def _sums(least: int):
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows < AT_ONCE:
+            if rows < at_once:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             # the last node may go on in the next batch; one that fills all of these goes by edges
@@ -178,7 +178,7 @@ def _sums(least: int):
                     going_on = parted
                     break
             held, rows = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
-            rows = 0 if rows >= AT_ONCE else rows
+            rows = 0 if rows >= at_once else rows
         if held:
             yield flush(pa.Table.from_batches(held).combine_chunks(), going_on, False)
 

@@ -12,8 +12,9 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,18 +55,24 @@ def find_spans(text: str) -> list[tuple[int, int, int, str, str]]:
     """(start, end, number of the kind, kind, value) of all candidates, by start then kind.
 
     Base kinds: leftmost non-overlapping matches of each. Other kinds are candidates only
-    where they overlap no base span and no earlier one of theirs.
+    where they overlap no base span and no earlier one of theirs. Linear in the text: which
+    characters are taken is marked in a byte for each.
     """
     found = [(m.start(), m.end(), 0, "assign", m[2]) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     found += [(m.start(), m.end(), 1, "access", m[0]) for m in _ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2, "hex", m[0]) for m in _HEX.finditer(text)]
+    taken = bytearray(len(text))
+    for a, b, *_ in found:
+        taken[a:b] = b"\1" * (b - a)
     for no, (kind, pattern) in enumerate(_OWNED.items(), len(BASE_KINDS)):
         for m in pattern.finditer(text):
             v = m[0]
             if kind == "random" and not (re.search("[0-9]", v) and re.search("[a-z]", v) and re.search("[A-Z]", v) and entropy(v) >= 3.5):
                 continue
-            if all(m.end() <= a or m.start() >= b for a, b, *_ in found):
-                found.append((m.start(), m.end(), no, kind, v))
+            a, b = m.span()
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = b"\1" * (b - a)
+                found.append((a, b, no, kind, v))
     return sorted(found)
 
 
@@ -161,20 +168,29 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     hit = spans.select("k", F.filter("spans", lambda s: s["verdict"] != "example").alias("hit")).where(F.size("hit") > 0)
     hit = hit.groupBy("k").agg(F.first("hit").alias("hit"))
     joined = rows.select("row", "k", "t").join(hit, "k", "left")
-    text = F.when(F.col("hit").isNull(), F.col("t")).otherwise(masked(F.col("t"), F.col("hit"), mask))
+    # only texts with spans go to Python, and come back
+    text = F.coalesce(masked(F.when(F.col("hit").isNotNull(), F.col("t")), F.col("hit"), mask), F.col("t"))
     return joined.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def masked(text: Column, spans: Column, mask: str) -> Column:
+def mask_spans(text: str, spans: Iterable[tuple[int, int]], mask: str) -> str:
     """`text` with the sorted `spans` replaced; overlapping spans get one mask."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    parts, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            parts += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """mask_spans() of a text and an array of structs; null for a null text."""
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        kept_text = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.when(fresh, kept_text).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else mask_spans(t, zip(a, b, strict=True), mask) for t, a, b in zip(texts, starts, ends, strict=True)], dtype=object)
 
-    return F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return run(text, F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]))
 
 
 def spans_text(spans: Column, base_only: bool = False) -> Column:
