@@ -28,7 +28,7 @@ BREAKS, BLANKS = ".,;:!?\x0a\x0b\x0c\x0d", "\x20\x09"
 SLICE = 8 << 20
 #: Rows of a sorted partition that are summed at a time, about.
 AT_ONCE = 200_000
-_ROWS = "node string, lang string, next string, n long"
+_ROWS = "key string, lang string, n long"
 _SUMS = "kind int, lang string, node string, next string, n long"
 #: Kinds of sums: a word, a pair (its node), a triple (an edge).
 WORD, PAIR, TRIPLE = 1, 2, 3
@@ -71,12 +71,14 @@ def _names(vocabulary: pa.Array, first: np.ndarray, second: np.ndarray) -> pa.Ar
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges as (key, lang, n): the key is the node, a tab and the next word, or nothing after the tab."""
     for batch in batches:
         for langs, vocabulary, lang, first, second, third, n in _cut(batch):
             for at in range(0, len(n), 100_000):
                 a = slice(at, at + 100_000)
                 following = pc.fill_null(vocabulary.take(pa.array(third[a], mask=third[a] < 0)), "")
-                yield pa.RecordBatch.from_arrays([_names(vocabulary, first[a], second[a]), langs.take(pa.array(lang[a])), following, pa.array(n[a].astype(np.int64))], ["node", "lang", "next", "n"])
+                key = pc.binary_join_element_wise(_names(vocabulary, first[a], second[a]), following, "\t")
+                yield pa.RecordBatch.from_arrays([key, langs.take(pa.array(lang[a])), pa.array(n[a].astype(np.int64))], ["key", "lang", "n"])
 
 
 def _heavy(parts: int):
@@ -108,49 +110,50 @@ def hot_nodes(texts: DataFrame, parts: int) -> DataFrame:
     return counts.where(F.col("node").isNotNull() & (F.col("n") * 8 * parts >= total)).select("node", "lang")
 
 
-def _sums(least: int, at_once: int = AT_ONCE):
-    """Sums a partition sorted by node, language and next word: edges and nodes that are frequent, and words.
+def _sums(least: int, dealt: pa.Array, at_once: int = AT_ONCE):
+    """Sums a partition sorted by key and language: edges and nodes that are frequent, and words.
 
-    Nodes that were dealt over several partitions, or whose rows were summed in parts here, are
-    returned whatever the part; the parts are added up later.
+    Nodes whose edges were `dealt` over several partitions, or whose rows were summed in parts
+    here, are returned whatever the part; the parts are added up later.
     """
 
     def flush(table: pa.Table, parted_first: bool, parted_last: bool) -> pa.RecordBatch:
-        node, lang, following = (table[c].combine_chunks() for c in ("node", "lang", "next"))
-        n = table["n"].to_numpy()
-        space = pc.find_substring(node, " ").to_numpy()
-
-        def turns(*columns: pa.Array) -> np.ndarray:
-            new = np.zeros(len(n), bool)
-            new[0] = True
-            for c in columns:
-                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
-            return np.flatnonzero(new)
-
-        at = turns(node, lang, following)
-        weight = np.add.reduceat(n, at)
-        triple = (space[at] >= 0) & (pc.binary_length(following).to_numpy()[at] > 0) & (weight >= least)
-        triples, weight = at[triple], weight[triple]
-        at = turns(node, lang)
-        flow, parted = np.add.reduceat(n, at), table["hot"].to_numpy()[at]
-        parted[0] |= parted_first
+        key, lang = (table[c].combine_chunks() for c in ("key", "lang"))
+        new = np.ones(len(key), bool)
+        new[1:] = pc.or_(pc.not_equal(key[1:], key[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero(new)
+        weight = np.add.reduceat(table["n"].to_numpy(), edge)
+        lang = lang.take(pa.array(edge)).dictionary_encode()
+        parts = pc.split_pattern(key.take(pa.array(edge)), "\t").flatten()
+        following = parts.take(pa.array(np.arange(1, len(parts), 2)))
+        # from here on nodes and words are numbers in what they were coded by, each with a language
+        node = parts.take(pa.array(np.arange(0, len(parts), 2))).dictionary_encode()
+        nodes, langs = node.dictionary, lang.dictionary
+        of_node, of_lang = (np.asarray(x.indices).astype(np.int64) for x in (node, lang))
+        is_pair = pc.find_substring(nodes, " ").to_numpy() >= 0
+        triples = np.flatnonzero(is_pair[of_node] & (pc.binary_length(following).to_numpy() > 0) & (weight >= least))
+
+        def added(names: np.ndarray, by: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            both, which = np.unique(names * len(langs) + by, return_inverse=True)
+            total = np.zeros(len(both), np.int64)
+            np.add.at(total, which, n)
+            return both // len(langs), both % len(langs), total
+
+        at, by, flow = added(of_node, of_lang, weight)
+        parted = pc.is_in(nodes, dealt).to_numpy(zero_copy_only=False)
+        parted[0] |= parted_first  # the first node was met first, the last one last
         parted[-1] |= parted_last
-        pair = (space[at] >= 0) & ((flow >= least) | parted)
-        # words: their nodes stand apart where languages alternate
-        word = pc.list_element(pc.split_pattern(node.take(pa.array(at)), " ", max_splits=1), 0).dictionary_encode()
-        of = lang.take(pa.array(at)).dictionary_encode()
-        both, which = np.unique(np.asarray(word.indices).astype(np.int64) * len(of.dictionary) + np.asarray(of.indices), return_inverse=True)
-        total = np.zeros(len(both), np.int64)
-        np.add.at(total, which, flow)
-        pairs, flow, blank = at[pair], flow[pair], pa.nulls(int(pair.sum()) + len(both), pa.string())
-        kinds = np.repeat(np.array([TRIPLE, PAIR, WORD], np.int32), [len(triples), len(pairs), len(both)])
+        chosen = is_pair[at] & ((flow >= least) | parted[at])
+        word = pc.list_element(pc.split_pattern(nodes, " ", max_splits=1), 0).dictionary_encode()
+        w_at, w_by, w_flow = added(np.asarray(word.indices).astype(np.int64)[at], by, flow)
+        kinds = np.repeat(np.array([TRIPLE, PAIR, WORD], np.int32), [len(triples), int(chosen.sum()), len(w_at)])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(kinds),
-                pa.concat_arrays([lang.take(pa.array(triples)), lang.take(pa.array(pairs)), of.dictionary.take(pa.array(both % len(of.dictionary)))]),
-                pa.concat_arrays([node.take(pa.array(triples)), node.take(pa.array(pairs)), word.dictionary.take(pa.array(both // len(of.dictionary)))]),
-                pa.concat_arrays([following.take(pa.array(triples)), blank]),
-                pa.array(np.concatenate([weight, flow, total])),
+                langs.take(pa.array(np.concatenate([of_lang[triples], by[chosen], w_by]))),
+                pa.concat_arrays([nodes.take(pa.array(np.concatenate([of_node[triples], at[chosen]]))), word.dictionary.take(pa.array(w_at))]),
+                pa.concat_arrays([following.take(pa.array(triples)), pa.nulls(len(kinds) - len(triples), pa.string())]),
+                pa.array(np.concatenate([weight[triples], flow[chosen], w_flow])),
             ],
             ["kind", "lang", "node", "next", "n"],
         )
@@ -166,14 +169,12 @@ def _sums(least: int, at_once: int = AT_ONCE):
             if rows < at_once:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
+            last = table["key"][table.num_rows - 1]
             # the last node may go on in the next batch; one that fills all of these goes by edges
-            for columns in (("node", "lang"), ("node", "lang", "next")):
-                like_last = np.ones(table.num_rows, bool)
-                for c in columns:
-                    like_last &= pc.equal(table[c], table[c][table.num_rows - 1]).to_numpy()
-                cut = int(np.argmax(like_last))
+            node = last.as_py().split("\t")[0]
+            for parted, like_last in ((False, pc.starts_with(table["key"], node + "\t")), (True, pc.equal(table["key"], last))):
+                cut = int(np.argmax(like_last.to_numpy()))
                 if cut:
-                    parted = len(columns) == 3
                     yield flush(table.slice(0, cut).combine_chunks(), going_on, parted)
                     going_on = parted
                     break
@@ -194,10 +195,15 @@ def graph(docs: DataFrame, least: int, lang_col: str = "lang", text_col: str = "
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hot = hot_nodes(texts, parts).withColumn("hot", F.lit(True))
-    edges = texts.mapInArrow(_edges, _ROWS).join(F.broadcast(hot), ["node", "lang"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    dealt = edges.repartition(parts, "node", "lang", F.when(F.col("hot"), F.col("next"))).sortWithinPartitions("node", "lang", "next")
-    found = keep(dealt.mapInArrow(_sums(least), _SUMS), "sums")
+    hot = [(r["node"], r["lang"]) for r in hot_nodes(texts, parts).collect()]  # fewer than 8 * parts
+    edges, node = texts.mapInArrow(_edges, _ROWS), F.substring_index("key", "\t", 1)
+    dealt = edges.repartition(parts, node, "lang")
+    if hot:
+        known = spark.createDataFrame(hot, "hot_node string, hot_lang string")
+        flagged = edges.withColumn("node", node).join(F.broadcast(known), (F.col("node") == F.col("hot_node")) & (F.col("lang") == F.col("hot_lang")), "left")
+        dealt = flagged.repartition(parts, "node", "lang", F.when(F.col("hot_node").isNotNull(), F.col("key"))).select("key", "lang", "n")
+    ordered = dealt.sortWithinPartitions("key", "lang")
+    found = keep(ordered.mapInArrow(_sums(least, pa.array([n for n, _ in hot], pa.string())), _SUMS), "sums")
     sums = keep(found.groupBy("kind", "lang", "node", "next").agg(F.sum("n").alias("n")).where((F.col("kind") == WORD) | (F.col("n") >= least)), "graph")
     drop_kept(found)
     let_go(spark)

@@ -221,10 +221,12 @@ def test_phrases_at_small_limits(spark, monkeypatch):
     rows = phrase_rows(3, 120)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     texts = df.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    edges = texts.mapInArrow(phrases._edges, phrases._ROWS).withColumn("hot", F.col("node") < "w2")
-    dealt = edges.repartition(3, "node", "lang", F.when(F.col("hot"), F.col("next"))).sortWithinPartitions("node", "lang", "next")
+    node = F.substring_index("key", "\t", 1)
+    edges = texts.mapInArrow(phrases._edges, phrases._ROWS)
+    hot = [r[0] for r in edges.select(node).where(node < "w2").distinct().collect()]
+    dealt = edges.repartition(3, node, "lang", F.when(node < "w2", F.col("key"))).sortWithinPartitions("key", "lang")
     for size in (1, 7, 200_000):
-        sums = phrases._sums(4, size)
+        sums = phrases._sums(4, pa.array(hot), size)
         got = dealt.mapInArrow(sums, phrases._SUMS).groupBy("kind", "lang", "node", "next").agg(F.sum("n").alias("n")).where((F.col("kind") == 1) | (F.col("n") >= 4))
         found = {(r.kind, r.lang, r.node if r.next is None else f"{r.node} {r.next}"): r.n for r in got.collect()}
         counts = Counter()
