@@ -42,7 +42,42 @@ _APACHE = [
 _UNLICENSE = [
     "This is free and unencumbered software released into the public domain.",
     "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "For more information, please refer to <http://unlicense.org/>",
 ]
+# The notices of the GNU licences, of which each version has its own number.
+_GNU_LATER = "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{sep} either version {version} of the License, or (at your option) any later version."
+_GNU_ONLY = "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License version {version} as published by the Free Software Foundation."
+_GNU = [
+    ("GPL-2.0", "program", "", "2"), ("GPL-3.0", "program", "", "3"), ("LGPL-2.1", "library", "Lesser ", "2.1"),
+    ("LGPL-3.0", "library", "Lesser ", "3"), ("AGPL-3.0", "program", "Affero ", "3"),
+]
+# How whole licence texts begin.
+_OPENINGS = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Apache License, Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC0-1.0", 'The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work").'),
+]
+# SPDX identifiers of tags, by the name they are reported as.
+_TAGS = {
+    "Apache-2.0": ["Apache-2.0"], "MIT": ["MIT"], "ISC": ["ISC"], "GPL-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "GPL-3.0": ["GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"], "LGPL-2.1": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"],
+    "LGPL-3.0": ["LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"], "AGPL-3.0": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "BSD-2-Clause": ["BSD-2-Clause"], "BSD-3-Clause": ["BSD-3-Clause"], "MPL-2.0": ["MPL-2.0"], "CC-BY-4.0": ["CC-BY-4.0"],
+    "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"], "CC0-1.0": ["CC0-1.0"], "Unlicense": ["Unlicense"],
+}
 
 # Public license notices, by SPDX name.
 TEMPLATES: list[tuple[str, str]] = [
@@ -56,7 +91,6 @@ TEMPLATES: list[tuple[str, str]] = [
     ("ISC", " ".join(_ISC)),
     *[("ISC", x) for x in _ISC],
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -75,8 +109,14 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", " ".join(_UNLICENSE)),
-    *[("Unlicense", x) for x in _UNLICENSE],
+    *[("Unlicense", x) for x in (*_UNLICENSE[:3], _UNLICENSE[4])],
+    *[(name, _GNU_LATER.format(what=what, kind=kind, version=version, mark=":" if version == "3" else ";", sep="," if version == "3" else ";")) for name, what, kind, version in _GNU],
+    *[(name, _GNU_ONLY.format(what=what, kind=kind, version=version)) for name, what, kind, version in _GNU],
+    *_OPENINGS,
+    *[(name, f"SPDX-License-Identifier: {tag}") for name, tags in _TAGS.items() for tag in tags],
 ]
+#: Bigrams that tell a version: a template that has such is matched only by what has one of its own.
+VERSION = re.compile(r"(?:version|v) [0-9]+")
 
 
 def _bigrams(text: str) -> Counter:
@@ -84,9 +124,17 @@ def _bigrams(text: str) -> Counter:
     return Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
 
 
-def template_bigrams(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[int, str, str, int, int]]:
-    """(number, license, bigram, times, bigrams in all) of every template."""
-    return [(no, name, gram, n, sum(grams.values())) for no, (name, text) in enumerate(templates) for grams in [_bigrams(text)] for gram, n in grams.items()]
+def template_bigrams(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[int, str, str, int, int, int]]:
+    """(number, license, bigram, times, bigrams in all, mark) of every template.
+
+    mark is 1 for a bigram that tells the version and for all of a template without such, else 0.
+    """
+    out = []
+    for no, (name, text) in enumerate(templates):
+        grams = _bigrams(text)
+        marks = {gram for gram in grams if VERSION.fullmatch(gram)} or grams
+        out += [(no, name, gram, n, sum(grams.values()), int(gram in marks)) for gram, n in grams.items()]
+    return out
 
 
 #: Letters from which on a word is looked for as it stands; shorter ones are too frequent inside others.
@@ -136,12 +184,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     `sentence N.M` (of paragraph N) or `document` (of several paragraphs).
     Text is lower-cased and everything but letters and digits parts words. Dice is
     2 * shared / (bigrams here + bigrams there), with repeats; a unit is compared only with
-    templates of between t / (2 - t) and (2 - t) / t times its bigrams. Ties go to the first
-    template. `row` numbers the rows of `docs`, so each is judged by itself, repeated rows and
+    templates of between t / (2 - t) and (2 - t) / t times its bigrams. Of a template that names
+    a version ("version 2") that version must be shared, as versions often differ in nothing else.
+    Ties go to the first template. `row` numbers the rows of `docs`, so each is judged by itself, repeated rows and
     repeated or null ids too. Null and empty texts match nothing.
     """
     spark: SparkSession = docs.sparkSession
-    known = spark.createDataFrame(template_bigrams(templates), "template int, license string, gram string, times int, whole int")
+    known = spark.createDataFrame(template_bigrams(templates), "template int, license string, gram string, times int, whole int, mark int")
     ratio = (2 - threshold) / threshold
     sizes = [sum(_bigrams(t).values()) for _, t in templates]
     low, high = min(sizes) / ratio, max(sizes) * ratio
@@ -167,10 +216,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the templates are a fixed list of some thousand bigrams
     close = (F.col("n") * ratio >= F.col("whole")) & (F.col("n") <= F.col("whole") * ratio)
     met = each.join(F.broadcast(known), "gram").where(close)
-    counted = met.groupBy("row", "id", "unit", "n", "template", "license", "gram", "times", "whole").agg(F.count(F.lit(1)).alias("here"))
-    shared = counted.groupBy("row", "id", "unit", "n", "template", "license", "whole").agg(F.sum(F.least("here", "times")).alias("shared"))
+    counted = met.groupBy("row", "id", "unit", "n", "template", "license", "gram", "times", "whole", "mark").agg(F.count(F.lit(1)).alias("here"))
+    shared = counted.groupBy("row", "id", "unit", "n", "template", "license", "whole").agg(F.sum(F.least("here", "times")).alias("shared"), F.max("mark").alias("mark"))
     dice = 2.0 * F.col("shared") / (F.col("n") + F.col("whole"))
-    passed = shared.withColumn("dice", dice).where(F.col("dice") >= threshold)
+    passed = shared.withColumn("dice", dice).where((F.col("dice") >= threshold) & (F.col("mark") == 1))
     best = passed.groupBy("row", "id", "unit").agg(F.max_by(F.struct("license", "template", "dice", "shared"), F.struct("dice", -F.col("template"))).alias("best"))
     return best.select("row", F.col("id").alias(id_col), "unit", "best.*")
 
@@ -200,10 +249,10 @@ def _quote(value: str) -> str:
 
 def oracle_op8() -> str:
     """DuckDB SQL for op8."""
-    values = ", ".join(f"({no}, {_quote(name)}, {_quote(gram)}, {n}, {whole})" for no, name, gram, n, whole in template_bigrams())
+    values = ", ".join(f"({no}, {_quote(name)}, {_quote(gram)}, {n}, {whole}, {mark})" for no, name, gram, n, whole, mark in template_bigrams())
     ratio = (2 - THRESHOLD) / THRESHOLD
     return f"""
-WITH known(template, license, gram, times, whole) AS (VALUES {values}),
+WITH known(template, license, gram, times, whole, mark) AS (VALUES {values}),
 rows AS (SELECT row_number() OVER () AS row, doc_id, lower(text) AS text FROM documents),
 paragraphs AS (SELECT row, doc_id, parts[i + 1] AS part, 'paragraph ' || i AS unit, len(parts) AS several
   FROM (SELECT *, unnest(range(len(parts))) AS i FROM (SELECT *, string_split_regex(text, '\\n[ \\t\\r]*\\n') AS parts FROM rows))),
@@ -219,9 +268,9 @@ worded AS (SELECT row, doc_id, unit, list_filter(string_split(regexp_replace(par
 sized AS (SELECT *, len(words) - 1 AS n FROM worded WHERE len(words) > 1),
 grams AS (SELECT row, doc_id, unit, n, words[i] || ' ' || words[i + 1] AS gram FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM sized)),
 counted AS (SELECT row, doc_id, unit, n, gram, count(*) AS here FROM grams GROUP BY ALL),
-shared AS (SELECT row, doc_id, unit, n, template, license, whole, sum(least(here, times)) AS shared
+shared AS (SELECT row, doc_id, unit, n, template, license, whole, sum(least(here, times)) AS shared, max(mark) AS mark
   FROM counted JOIN known USING (gram) WHERE n * {ratio}::DOUBLE >= whole AND n <= whole * {ratio}::DOUBLE GROUP BY ALL),
-passed AS (SELECT *, 2.0::DOUBLE * shared / (n + whole) AS dice FROM shared WHERE 2.0::DOUBLE * shared / (n + whole) >= {THRESHOLD}),
+passed AS (SELECT *, 2.0::DOUBLE * shared / (n + whole) AS dice FROM shared WHERE 2.0::DOUBLE * shared / (n + whole) >= {THRESHOLD} AND mark = 1),
 best AS (SELECT * FROM passed QUALIFY row_number() OVER (PARTITION BY row, unit ORDER BY dice DESC, template) = 1),
 by_row AS (SELECT *, count(*) OVER (PARTITION BY row) AS units FROM best QUALIFY row_number() OVER (PARTITION BY row ORDER BY shared DESC, dice DESC, template) = 1),
 docs AS (SELECT *, max(units) OVER (PARTITION BY doc_id) AS n_units FROM by_row QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, dice DESC, template) = 1)
