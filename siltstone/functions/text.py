@@ -77,7 +77,8 @@ def nfc(c: Column, first: Callable[[Column], Column] = _same) -> Column:
     Texts without a character that composition looks at skip Python. The test is of `c` itself, so
     that `first` is evaluated once.
     """
-    may = c.rlike(_MAY_COMPOSE)
+    # characters of ASCII alone never compose
+    may = (F.octet_length(c) != F.length(c)) & c.rlike(_MAY_COMPOSE)
     return F.when(may, _compose(F.when(may, first(c)))).otherwise(first(c))
 
 

@@ -14,16 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions.text import pair_hash, sanitize, strip, tokens, training_prompt, word_count
 from siltstone.functions.values import shuffled, shuffled_place
+from siltstone.operators.retrieval import deal_hot
+from siltstone.session import written
 
 # Role names of both spellings.
 ASKING, ANSWERING = ("human", "user"), ("gpt", "assistant")
-# Frequent words by language, for the share test.
-COMMON_WORDS = {
-    "en": "the of and to in is that for it with as was on are by this be from or at have not you his her they which we but an had were their one all there would what so up out if".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont ou avec son aux deux mais nous sa elle cette ont ses été comme tout leur".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay".split(),
-}
 _EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 _PHONE = "\\+?[0-9][0-9 ()-]{7,}[0-9]"
 _LONG_ID = "\\b[0-9]{13,19}\\b"
@@ -126,21 +121,6 @@ def render(rows: DataFrame, end: str = "</s>") -> DataFrame:
     return rows.select(training_prompt(F.col("instruction"), F.col("input"), F.col("output"), end).alias("text"))
 
 
-def language_share(text: Column, words: list[str]) -> Column:
-    """Share of a text's tokens that are frequent words of a language."""
-    found = tokens(text)
-    common = F.array(*[F.lit(w) for w in words])
-    return F.size(F.filter(found, lambda t: F.array_contains(common, t))) / F.greatest(F.size(found), F.lit(1))
-
-
-def language_guess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, guess, share, mojibake): the language of most frequent words, null if none; broken encodings."""
-    scored = F.array_sort(F.array(*[F.struct((-language_share(F.col(text_col), w)).alias("share"), F.lit(k).alias("lang")) for k, w in COMMON_WORDS.items()]))
-    best = docs.select(id_col, scored.alias("s"), F.coalesce(F.col(text_col).rlike("Ã[\\x80-\\xBF]|â€|�"), F.lit(False)).alias("mojibake"))
-    share = -F.get("s", F.lit(0))["share"]
-    return best.select(id_col, F.when(share > 0, F.get("s", F.lit(0))["lang"]).alias("guess"), share.alias("share"), "mojibake")
-
-
 def scrub(c: Column) -> Column:
     """E-mail addresses, long ids and phone numbers as placeholders."""
     c = F.regexp_replace(c, _EMAIL, "<email>")
@@ -165,14 +145,46 @@ def gram_hashes(c: Column, n: int) -> Column:
     return F.array_distinct(F.get(grams, F.lit(0)))
 
 
+#: Words of 64 bits of a Bloom filter: 12 bits for each hash it holds, within these limits.
+LEAST_WORDS, MOST_WORDS, BITS_EACH, MARKS = 1 << 10, 1 << 21, 12, 4
+
+
+def _mark(c: Column) -> Column:
+    """The bits that a hash sets in its word: MARKS of 64, by six bits of the hash each."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(c, 40 + 6 * i).bitwiseAND(63).cast("int")) for i in range(MARKS)]
+    return reduce(Column.bitwiseOR, bits)
+
+
+def bloom_words(hashes: DataFrame, column: str, n: int) -> tuple[DataFrame, int]:
+    """(word, bits) of a Bloom filter of n 64-bit hashes, and how many words it has.
+
+    The filter is an aggregation: at most MOST_WORDS rows of two numbers, whatever n. Beyond
+    that it holds back less, and never anything that it was given.
+    """
+    words = min(MOST_WORDS, max(LEAST_WORDS, 1 << (max(n, 1) * BITS_EACH // 64).bit_length()))
+    return hashes.groupBy(F.col(column).bitwiseAND(words - 1).alias("word")).agg(F.bit_or(_mark(F.col(column))).alias("bits")), words
+
+
+def maybe_among(rows: DataFrame, column: str, words: DataFrame, n_words: int) -> DataFrame:
+    """The rows whose hash may be among those of the filter; the filter goes to every task, its size is bounded."""
+    mark = _mark(F.col(column))
+    met = rows.join(F.broadcast(words), F.col(column).bitwiseAND(n_words - 1) == F.col("word"))
+    return met.where(F.col("bits").bitwiseAND(mark) == mark).drop("word", "bits")
+
+
 def leaked(train: DataFrame, evaluation: DataFrame, key: str, eval_key: str, n: int = 8) -> DataFrame:
     """(key, eval_key, shared): training texts that share an n-gram with an evaluation text.
 
-    Only hashes meet, and of the training texts only those that some evaluation text has.
+    Hashes of the evaluation grams go to all tasks as a Bloom filter; of the training grams
+    only those that it lets pass are shuffled. A gram that very many evaluation texts have is
+    dealt over parts. Only 64-bit hashes meet; keys should be unique.
     """
-    left = train.select(key, F.explode(gram_hashes(F.col("text"), n)).alias("gram"))
-    right = evaluation.select(eval_key, F.explode(gram_hashes(F.col("text"), n)).alias("gram"))
-    return left.join(right, "gram").groupBy(key, eval_key).agg(F.count(F.lit(1)).alias("shared"))
+    grams = written(evaluation.select(F.col(eval_key).alias("of"), F.explode(gram_hashes(F.col("text"), n)).alias("term")), "grams")
+    terms = written(grams.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "gram-counts")
+    words, n_words = bloom_words(terms, "term", terms.count())
+    left = train.select(F.col(key).alias("query_id"), F.explode(gram_hashes(F.col("text"), n)).alias("term"))
+    met = deal_hot(maybe_among(left, "term", words, n_words), grams, terms, "of")
+    return met.groupBy(F.col("query_id").alias(key), F.col("of").alias(eval_key)).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, seed: int = 42, large: int = 2000) -> DataFrame:
@@ -207,12 +219,12 @@ def near_copies(embedded: DataFrame, key: str, cosine: float = 0.95, bands: int
     200 000. Equal vectors are compared once, by their least key; each other copy comes as a pair
     with that key. A band that many rows share is dealt into blocks of which each pair is a group
     of its own, so a task is bounded and only near pairs leave it. Null and zero vectors are near
-    to nothing, and vectors of another length than the first one's are left out.
+    to nothing, and vectors of another length than the most common one (of those, the longer) are left out.
     """
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     rows = embedded.select(F.col(key).alias("key"), "embedding", F.xxhash64("embedding").alias("h")).where(norm > 0)
-    first = rows.select(F.size("embedding")).first()
-    dimension = first[0] if first else 1
+    common = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    dimension = common["dim"] if common else 1
     rows = rows.where(F.size("embedding") == dimension)
     classes = rows.groupBy("h").agg(F.min_by("embedding", "key").alias("embedding"), F.min("key").alias("key"))
     kind = rows.schema["key"].dataType.simpleString()

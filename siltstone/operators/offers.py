@@ -243,16 +243,45 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * 6371.0088 * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
 
 
+#: Kilometres of a degree of latitude on the sphere of haversine_km().
+DEGREE_KM = 6371.0088 * math.pi / 180
+
+
 def airports_near(points: DataFrame, airports: DataFrame, radius_km: float = 60.0, n: int = 20) -> DataFrame:
     """The `n` nearest airports within the radius of each point (point_id, lat, lon).
 
-    Both sides meet by cells of latitude as high as the radius, so a point sees the airports
-    of three cells only.
+    Both sides meet by cells: bands of latitude as high as the radius, each cut along longitude
+    into as many cells as are at least as wide, so that there are fewer towards the poles. A
+    point looks into the cells of three bands that its circle of longitudes touches, across 180
+    degrees too, and into whole bands where the circle holds a pole. Longitudes may be given in any turn;
+    points and airports without a place, or beyond a pole, take no part.
     """
-    height = radius_km / 111.0
-    cell = lambda c: F.floor(c / height).cast("int")
-    left = points.withColumn("cell", F.explode(F.array(*[cell(F.col("lat")) + i for i in (-1, 0, 1)])))
-    right = airports.select("iata", F.col("lat").alias("alat"), F.col("lon").alias("alon"), cell(F.col("lat")).alias("cell"))
-    near = left.join(right, "cell").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))).where(F.col("km") <= radius_km)
+    height = radius_km / DEGREE_KM * 1.000001
+    top = math.ceil(180 / height) - 1
+
+    def band(lat: Column) -> Column:
+        return F.least(F.floor((lat + 90) / height).cast("int"), F.lit(top))
+
+    def cells_of(b: Column) -> Column:
+        """How many cells a band has: by its border nearer to a pole."""
+        far = F.greatest(F.abs(b * height - 90), F.abs((b + 1) * height - 90))
+        return F.greatest(F.floor(360 * F.cos(F.radians(F.least(far, F.lit(90.0)))) / height), F.lit(1)).cast("int")
+
+    def at(lon: Column, count: Column) -> Column:
+        return F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * count).cast("int")
+
+    placed = lambda df: df.where(F.abs("lat") <= 90).where(F.col("lon").isNotNull() & ~F.isnan("lon"))
+    # how far a circle around the point reaches in longitude
+    sine = F.sin(F.radians(F.lit(height))) / F.cos(F.radians("lat"))
+    reach = F.when((F.abs("lat") + height >= 90) | (sine >= 1), 180.0).otherwise(F.degrees(F.asin(sine)) * 1.000001)
+    bands = F.filter(F.array(*[band(F.col("lat")) + i for i in (-1, 0, 1)]), lambda b: (b >= 0) & (b <= top))
+    left = placed(points).withColumns({"reach": reach, "band": F.explode(bands)}).withColumn("count", cells_of(F.col("band")))
+    span = F.floor((F.col("lon") + 180 + F.col("reach")) / 360 * F.col("count")) - F.floor((F.col("lon") + 180 - F.col("reach")) / 360 * F.col("count"))
+    first = F.floor((F.col("lon") + 180 - F.col("reach")) / 360 * F.col("count"))
+    steps = F.sequence(F.lit(0).cast("long"), F.least(span, F.col("count").cast("long") - 1))
+    left = left.withColumn("cell", F.explode(F.transform(steps, lambda i: F.pmod(first + i, F.col("count").cast("long")).cast("int"))))
+    right = placed(airports.select("iata", "lat", "lon")).select("iata", F.col("lat").alias("alat"), F.col("lon").alias("alon"), band(F.col("lat")).alias("band"))
+    right = right.withColumn("cell", at(F.col("alon"), cells_of(F.col("band"))))
+    near = left.join(right, ["band", "cell"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))).where(F.col("km") <= radius_km)
     w = Window.partitionBy("point_id").orderBy("km", "iata")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("point_id", "rank", "iata", "km")

@@ -103,7 +103,7 @@ def scale(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
 HOLE_ROWS, DONOR_ROWS = 1024, 8192
 
 
-def _nearest(columns: int, k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def nearest_donors(columns: int, k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """For a block of rows with nulls and a block of donors: each null's k nearest donors, ties by donor key."""
 
     def numbers(t: pa.Table) -> np.ndarray:
@@ -170,7 +170,7 @@ def knn_impute(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataF
     # columns of their own, as both sides come from the same rows
     donors = donors.toDF(*donors.columns)
     kind = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("no", T.IntegerType()), T.StructField("far", T.DoubleType()), T.StructField("donor", rows.schema["key"].dataType), T.StructField("value", T.DoubleType())])
-    near = holes.groupBy("hb", "db").cogroup(donors.groupBy("hb", "db")).applyInArrow(_nearest(len(columns), k, to_arrow_schema(kind)), kind)
+    near = holes.groupBy("hb", "db").cogroup(donors.groupBy("hb", "db")).applyInArrow(nearest_donors(len(columns), k, to_arrow_schema(kind)), kind)
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("key", "no").orderBy("far", F.col("donor").asc_nulls_last()))).where(F.col("rank") <= k)
     listed = best.groupBy("key", "no").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("near"))
     mean = F.aggregate("near", F.lit(0.0), lambda a, x: a + x["value"]) / F.size("near")

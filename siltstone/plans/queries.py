@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions import values as V
-from siltstone.operators import audit, chunking, instructions, offers, pruned, retrieval, structure, sync, tabular
+from siltstone.operators import audit, calibration, chunking, donors, instructions, languages, offers, pruned, retrieval, structure, sync, tabular
 from siltstone.plans.bindings import FILES, FLIGHTS, KNOWN, OFFERS, SEARCHES, TRANSACTIONS, bound, duck
 from siltstone.session import dealt, read_table, scratch
 from siltstone.sources import files, payloads
@@ -915,6 +915,39 @@ def _(spark, d):
     return tabular.knn_impute(t, "id", ["amount", "avg_amount_user", "age"]).withColumn("avg_amount_user", F.round("avg_amount_user", 6))
 
 
+@query(
+    "m_knn_apply",
+    f"""WITH t AS (SELECT id, amount, avg_amount_user AS v, account_age_days::DOUBLE AS age, {s_place('id')} % 10000 < 8000 AS train FROM {_T}),
+    n AS (SELECT h.id, d.v, row_number() OVER (PARTITION BY h.id ORDER BY sqrt(((h.amount - d.amount) * (h.amount - d.amount) + (h.age - d.age) * (h.age - d.age)) * 3 / 2), d.id) AS nth FROM t h, t d WHERE NOT h.train AND d.train AND h.v IS NULL AND d.v IS NOT NULL QUALIFY nth <= 5),
+    m AS (SELECT id, avg(v) AS v FROM n GROUP BY id) SELECT t.id, amount, round(coalesce(t.v, m.v), 6) AS avg_amount_user, age FROM t LEFT JOIN m USING (id) WHERE NOT train""",
+)
+def _(spark, d):
+    """Donors are the training rows alone; the test rows are filled."""
+    t = bound(spark, d, TRANSACTIONS).select("id", "amount", "avg_amount_user", F.col("account_age_days").cast("double").alias("age"))
+    train, test = tabular.split_rows(t, "id")
+    filled, _ = donors.impute(donors.fit_donors(train, "id", ["amount", "avg_amount_user", "age"]), test, "id")
+    return filled.withColumn("avg_amount_user", F.round("avg_amount_user", 6))
+
+
+#: Twenty-five Newton steps on stated margins, from the smoothed prior; no step needs halving there.
+_CURVE = f"""WITH RECURSIVE r AS (SELECT id, (amount / 1000 - 1.5)::DOUBLE AS m, is_fraud AS y FROM {_T} WHERE amount IS NOT NULL),
+c AS (SELECT count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM r),
+t AS (SELECT m, CASE WHEN y = 1 THEN (p + 1)::DOUBLE / (p + 2) ELSE 1::DOUBLE / (n + 2) END AS t FROM r, c),
+s(i, a, b) AS (SELECT 0, 0::DOUBLE, ln((n + 1)::DOUBLE / (p + 1)) FROM c UNION ALL
+  SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+    SELECT i, a, b, sum((t - q) * m) AS ga, sum(t - q) AS gb, sum(q * (1 - q) * m * m) AS haa, sum(q * (1 - q) * m) AS hab, sum(q * (1 - q)) AS hbb
+    FROM (SELECT i, a, b, m, t, 1 / (1 + exp(a * m + b)) AS q FROM s, t WHERE i < 25) GROUP BY i, a, b)),
+f AS (SELECT a, b FROM s WHERE i = 25)
+SELECT id, round(1 / (1 + exp(a * m + b)), 6) AS probability FROM r, f"""
+
+
+@query("m_stated_probability", _CURVE)
+def _(spark, d):
+    rows = bound(spark, d, TRANSACTIONS).where("amount IS NOT NULL").select("id", (F.col("amount") / 1000 - 1.5).alias("score"), F.col("is_fraud").alias("label"))
+    curve = calibration.fit_curve(rows)
+    return rows.select("id", F.round(curve.probability(F.col("score")), 6).alias("probability"))
+
+
 @query("m_features", f"SELECT id, round(amount / nullif(avg_amount_user, 0), 8) AS amount_ratio, round(total_transactions_user / (account_age_days + 1), 8) AS tx_per_day, (shipping_distance_km > 100)::INT AS far_shipping, round(avg_amount_user / (total_transactions_user + 1), 8) AS avg_per_tx FROM {_T}")
 def _(spark, d):
     f = tabular.derive_features(bound(spark, d, TRANSACTIONS))
@@ -950,6 +983,13 @@ def _(spark, d):
     return tabular.compare_models(["logistic", "forest", "bayes", "tree", "svm", "svm_balanced"], train, test, "id")
 
 
+@query("m_probabilities")
+def _(spark, d):
+    train, test = _assembled(spark, d)
+    model, curve = calibration.fit_calibrated("svm_balanced", train, "id")
+    return calibration.calibrated_predictions(model, curve, test, "id")
+
+
 @query("m_importances")
 def _(spark, d):
     train, _ = _assembled(spark, d)
@@ -1095,16 +1135,21 @@ def _(spark, d):
 def _(spark, d):
     return instructions.render(instructions.conversation_pairs(_talk(spark, d))).select(F.md5("text").alias("text"))
 
-def _language_sql() -> str:
-    shares = ", ".join(f"{{{{'s': -(len(list_filter(t, lambda x: list_contains([{', '.join(_sql_text(w) for w in words)}], x)))::DOUBLE / greatest(len(t), 1)), 'l': '{k}'}}}}".replace("{{", "{").replace("}}", "}") for k, words in instructions.COMMON_WORDS.items())
-    return f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
-    s AS (SELECT doc_id, list_sort([{shares}])[1] AS best, coalesce(regexp_matches(text, 'Ã[\\x{{80}}-\\x{{BF}}]|â€|\\x{{FFFD}}'), false) AS mojibake FROM d)
-    SELECT doc_id, CASE WHEN best.s < 0 THEN best.l END AS guess, round(0.0 - best.s, 8) AS share, mojibake FROM s"""
+#: Counts of hashed grams by language, logarithms of their shares, and sums of those by document.
+_LANGUAGE = f"""WITH c AS (SELECT doc_id, lang, list_transform(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), lambda x: unicode(x)) AS c FROM documents),
+g AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: (961 * c[i] + 31 * c[i + 1] + c[i + 2]) % {languages.BUCKETS})) AS b FROM c),
+n AS (SELECT lang, b, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL), t AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang),
+m AS (SELECT t.lang, k.b, ln((coalesce(n, 0) + 1)::DOUBLE / (total + {languages.BUCKETS})) AS log FROM t CROSS JOIN (SELECT unnest(range({languages.BUCKETS})) AS b) k LEFT JOIN n ON n.lang = t.lang AND n.b = k.b),
+d AS (SELECT doc_id, b, count(*) AS n FROM g GROUP BY ALL),
+s AS (SELECT doc_id, m.lang, sum(n * log) AS s, sum(n) AS n FROM d JOIN m USING (b) GROUP BY ALL),
+r AS (SELECT doc_id, arg_max(lang, s) AS guess, (max(s) - max(s, 2)[2]) / any_value(n) AS margin FROM s GROUP BY doc_id)
+SELECT doc_id, guess, round(margin, 6) AS margin, coalesce(regexp_matches(text, 'Ã[\\x{{80}}-\\x{{BF}}]|â€|\\x{{FFFD}}'), false) AS mojibake FROM documents LEFT JOIN r USING (doc_id)"""
 
 
-@query("i_language", _language_sql())
+@query("i_language", _LANGUAGE)
 def _(spark, d):
-    return instructions.language_guess(docs(spark, d)).withColumn("share", F.round("share", 8))
+    rows = docs(spark, d)
+    return languages.guess_language(rows, languages.train_languages(rows)).withColumn("margin", F.round("margin", 6))
 
 
 @query("i_personal", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS emails, len(regexp_extract_all(text, '\\b[0-9]{13,19}\\b')) AS ids, md5(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g'), '\\b[0-9]{13,19}\\b', '<id>', 'g'), '\\+?[0-9][0-9 ()-]{7,}[0-9]', '<phone>', 'g')) AS scrubbed FROM documents")
