@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by the order of its nearest pivots and posted, with their ranks, in
-the inverted files of those pivots. A query gathers the postings of its own pivots, ranks the
-vectors by (induced) footrule distance between the orders, and reranks the best ones by exact
-distance, as many whatever the number of rows. Rows lie in blocks by a hash of the vector, each
-with inverted files of its own; every block of queries meets every block of rows, so each group
-a task holds is bounded and every row is indexed.
+the inverted files of those pivots. A query gathers the postings of its own pivots and ranks the
+vectors by (induced) footrule distance between the orders. Rows lie in blocks by a hash of the
+vector, each with inverted files of its own; every block of queries meets every block of rows, so
+each group a task holds is bounded and every row is indexed. A block passes on its best rows by
+footrule, ids and ranks only; of all blocks together a query keeps as many as are asked for,
+whatever the number of rows, and only those are joined with their vectors and reranked exactly.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +23,14 @@ from siltstone.llm._cluster import keep
 
 #: Pivots (the bounded sample the index is fitted on) and how many of them represent a vector.
 PIVOTS, PREFIX = 1024, 256
-#: Rows that a query reranks exactly, over all blocks. Each block gives its part of them and four
-#: standard deviations more, as the best rows are dealt over blocks by chance.
+#: Rows that a query reranks exactly. Each block passes on its part of them and four standard
+#: deviations more, as the best rows are dealt over blocks by chance.
 CANDIDATES = 384
 ROW_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(flat, pa.ChunkedArray):
         flat = pa.concat_arrays(flat.chunks)
     values = np.asarray(flat.flatten(), dtype=np.float64)
@@ -42,7 +44,7 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 
 def of_block(candidates: int, rows: int, all_rows: int) -> int:
-    """How many of a block's `rows` a query reranks: all `candidates` where it is the only block."""
+    """How many of a block's `rows` it passes on for a query: all `candidates` where it is the only block."""
     share = rows / max(all_rows, 1)
     return min(rows, math.ceil(candidates * share + 4 * math.sqrt(candidates * share * (1 - share))))
 
@@ -104,36 +106,45 @@ def nearest(
     # Equal vectors: the k + 1 smallest ids are all that can be returned for any query.
     smallest = Window.partitionBy("v").orderBy("id")
     ranked = rows.where(F.size("v") == dim).withColumn("nth", F.dense_rank().over(smallest)).where(F.col("nth") <= k + 1)
-    classes = keep(ranked.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "vectors")
-    asked = keep(usable(queries).where(F.size("v") == dim).distinct(), "queries")
-    centre = np.array([r[0] for r in classes.orderBy(F.xxhash64("v"), "v").limit(pivots).select("v").collect()], dtype=np.float64)
+    classes = ranked.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("row", F.get("ids", F.lit(0)))
+    # a vector that repeats under an id would share its least id; (row, h) names each class
+    classes = keep(classes.withColumn("h", F.xxhash64("v")), "vectors")
+    asked = keep(usable(queries).where(F.size("v") == dim).distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    centre = np.array([r[0] for r in classes.orderBy("h", "v").limit(pivots).select("v").collect()], dtype=np.float64)
     n_rows, n_asked = classes.count(), asked.count()
     row_blocks, query_blocks = -(-n_rows // ROW_BLOCK), max(1, -(-n_asked // QUERY_BLOCK))
     width = min(prefix, len(centre))
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, float]] = []
+    def ranked_by_footrule(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64),) * 4]
         if left.num_rows and right.num_rows:
-            x, q = _matrix(left["v"]), _matrix(right["v"])
-            ids, own = left["ids"].to_pylist(), right["id"].to_pylist()
-            files, asked_order = InvertedFiles(orders(x, centre, width), len(centre)), orders(q, centre, width)
-            most = min(len(x), max(k + 1, of_block(candidates, len(x), n_rows)))
-            for i, me in enumerate(own):
-                near = files.nearness(asked_order[i])
-                best = np.argpartition(-near, most - 1)[:most] if most < len(x) else np.arange(len(x))
-                exact = np.sqrt(((x[best] - q[i]) ** 2).sum(1))
-                # k + 1 classes: one of them may be the query alone
-                top = np.lexsort((best, exact))[: k + 1] if len(best) <= k + 1 else np.flatnonzero(exact <= np.partition(exact, k)[k])
-                pairs = sorted((float(exact[t]), c) for t in top for c in ids[best[t]] if c != me)[:k]
-                found += [(me, c, d) for d, c in pairs]
-        return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
+            row, h, q = (t[c].to_numpy() for t, c in ((left, "row"), (left, "h"), (right, "q")))
+            files, order = InvertedFiles(orders(_matrix(left["v"]), centre, width), len(centre)), orders(_matrix(right["v"]), centre, width)
+            most = of_block(candidates, left.num_rows, n_rows)
+            for i, me in enumerate(q):
+                near = files.nearness(order[i])
+                best = np.argpartition(-near, most - 1)[:most] if most < len(row) else np.arange(len(row))
+                found.append((np.full(len(best), me), row[best], h[best], near[best].astype(np.int64)))
+        q, row, h, near = (np.concatenate([f[j] for f in found]) for j in range(4))
+        return pa.table({"q": q, "row": row, "h": h, "near": near})
 
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = classes.select(block("v", row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "v", "ids")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), block("id", query_blocks).alias("qb"), "v", "id")
-    met = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(search, "query_id long, vec_id long, score double")
+    left = classes.select(block("v", row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "v", "row", "h")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), block("id", query_blocks).alias("qb"), "v", "q")
+    met = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(ranked_by_footrule, "q long, row long, h long, near long")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "row", "h"))
+    chosen = keep(met.withColumn("nth", nth).where(F.col("nth") <= max(candidates, k + 1)).select("q", "row", "h"), "candidates")
+    pairs = chosen.join(classes.select("row", "h", "v", "ids"), ["row", "h"]).join(asked.select("q", F.col("id").alias("query_id"), F.col("v").alias("qv")), "q")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away = np.sqrt(((_matrix(batch.column("v")) - _matrix(batch.column("qv"))) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(away)], ["query_id", "ids", "score"])
+
+    scored = pairs.select("query_id", "ids", "v", "qv").mapInArrow(exact, "query_id long, ids array<long>, score double")
+    each = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where(F.col("vec_id") != F.col("query_id"))
+    best = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    best = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")) if query_blocks > 1 else met
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._cluster import drop_kept, keep, let_go, mix64
+from siltstone.llm._cluster import drop_kept, keep, let_go, mix64, with_counts
 from siltstone.llm._components import components
 from siltstone.llm._pieces import forget_words
 from siltstone.llm._words import plain, slices, split_words
@@ -113,11 +113,13 @@ def segment_keys(values: np.ndarray, band: int, count: int, most: int) -> tuple[
     return mix64(folded[held] ^ mix64((held + 1).astype(np.uint64) * _ODD + np.uint64(band))), shared
 
 
-def set_hash(values: np.ndarray) -> int:
-    """A 64-bit hash of the whole set."""
+def set_hash(values: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two hashes of the whole set: one of `bits` bits that names it, and one of 64 more that tells sets of one name apart."""
     mixed = mix64(values)
-    both = np.array([np.bitwise_xor.reduce(mixed), mix64(mixed ^ _ODD).sum(dtype=np.uint64)], np.uint64) * np.array([1, _ODD], np.uint64)
-    return int(mix64(both[:1] ^ both[1:] ^ np.uint64(len(values))).view(np.int64)[0])
+    first, second = np.bitwise_xor.reduce(mixed), mix64(mixed ^ _ODD).sum(dtype=np.uint64)
+    both = mix64(np.array([first ^ second * _ODD ^ np.uint64(len(values)), mix64(mixed + _ODD).sum(dtype=np.uint64) ^ first], np.uint64))
+    both[0] >>= np.uint64(64 - bits)
+    return int(both[:1].view(np.int64)[0]), int(both[1:].view(np.int64)[0])
 
 
 def dense_sketch(values: np.ndarray) -> bytes:
@@ -134,10 +136,10 @@ def folded_to(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of (id, th, text): (id, th, n, node, dense, own, low, own_shared, low_shared).
+def sketches(docs: DataFrame, width: int, percent: int, bits: int = 64) -> DataFrame:
+    """Of (id, th, text): (id, th, n, node, more, dense, own, low, own_shared, low_shared).
 
-    n is the set's size, node a 64-bit hash of the set, which stands for all its copies; `own` and
+    n is the set's size, node a hash of the set, which stands for all its copies, and `more` is 64 bits of another; `own` and
     `low` are segment keys in the set's band and, as the larger of two, in the band below. A task
     gives dense sketch and keys with a set's first copy only, so that many copies are no hot keys.
     """
@@ -149,12 +151,13 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
         bands, seen = _bands(percent), set()
         for whole in batches:
             for batch in slices(whole, "text"):
-                n, node, dense, shared, keys = [], [], [], ([], []), ([], [])
+                n, node, more, dense, shared, keys = [], [], [], [], ([], []), ([], [])
                 for s in shingle_sets(batch.column("text"), width):
                     size = len(s)
-                    h = set_hash(s)
+                    h = set_hash(s, bits)
                     n.append(size)
-                    node.append(h)
+                    node.append(h[0])
+                    more.append(h[1])
                     fresh = size > 0 and h not in seen
                     if fresh:
                         if len(seen) >= REMEMBERED:
@@ -171,10 +174,10 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         keys[i].append(k)
                         shared[i].append(least)
                 listed = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, k)]), pa.int32()), pa.array(np.concatenate(k).view(np.int64))) for k in keys]
-                columns = [batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(dense, pa.binary()), *listed, *(pa.array(x, pa.int32()) for x in shared)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "n", "node", "dense", "own", "low", "own_shared", "low_shared"])
+                columns = [batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(more, pa.int64()), pa.array(dense, pa.binary()), *listed, *(pa.array(x, pa.int32()) for x in shared)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "n", "node", "more", "dense", "own", "low", "own_shared", "low_shared"])
 
-    return docs.mapInArrow(run, f"id {kinds['id']}, th long, n long, node long, dense binary, own array<long>, low array<long>, own_shared int, low_shared int")
+    return docs.mapInArrow(run, f"id {kinds['id']}, th long, n long, node long, more long, dense binary, own array<long>, low array<long>, own_shared int, low_shared int")
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +238,10 @@ def rarest_keys(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.where(F.col("nth") >= least).select("key", "node", "low", "n", "weight")
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _sizes_fit(a: str | Column, b: str | Column, percent: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
@@ -243,7 +250,8 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(hub, other, n) of the pairs (hub, other) within the bounds of sizes and Hamming distance."""
     hubs = classes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("dense").alias("hub_dense"))
     others = classes.select(F.col("node").alias("other"), "n", "dense")
-    both = pairs.join(others, "other").join(hubs, "hub").where(_sizes_fit("n", "hub_n", percent))
+    uses = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("uses"))
+    both = with_counts(pairs, hubs.join(uses, "hub"), "hub", "uses", _parts(pairs)).join(others, "other").where(_sizes_fit("n", "hub_n", percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,13 +327,13 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
     goes along once a group and a group is bounded however many pairs a hub has.
     """
     pairs = keep(pairs, "pairs")
-    load = pairs.groupBy("hub").agg(F.sum("n").alias("load"))
+    load = keep(pairs.groupBy("hub").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("uses")), "load")
     total = load.agg(F.sum("load")).first()[0] or 0
     if not total:
         return pairs.sparkSession.createDataFrame([], "a long, b long")
     spread = -(-total // GROUP_SHINGLES)
     chunks = F.ceil(F.col("load") / GROUP_SHINGLES).cast("int")
-    dealt = pairs.join(load, "hub").withColumn("chunk", F.pmod(F.xxhash64("other"), chunks))
+    dealt = with_counts(pairs, load, "hub", "uses", _parts(pairs)).withColumn("chunk", F.pmod(F.xxhash64("other"), chunks))
     group = F.pmod(F.xxhash64("hub", "chunk"), F.lit(spread))
     dealt = keep(dealt.select(group.alias("group"), "hub", "chunk", "other"), "dealt")
     members = dealt.select("group", "hub", F.col("other").alias("node")).union(dealt.select("group", "hub", F.col("hub").alias("node")).distinct())
@@ -349,22 +357,39 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     links = keep(members.join(texts, "node").groupBy("group").applyInArrow(check, "a long, b long"), "links")
-    for done in (pairs, dealt, wanted, texts):
+    for done in (pairs, load, dealt, wanted, texts):
         drop_kept(done)
     return links
 
 
-def _solve(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _told_apart(sketched: DataFrame) -> DataFrame:
+    """`sketched` with a node of its own for each set: where several sets share a node, all but one get others."""
+    shared = sketched.where(F.col("n") > 0).groupBy("node").agg(F.min("more").alias("stays"), F.max("more").alias("last")).where(F.col("stays") != F.col("last")).select("node", "stays")
+    renamed = F.when(F.col("stays").isNotNull() & (F.col("more") != F.col("stays")), F.xxhash64("node", "more")).otherwise(F.col("node"))
+    return sketched.join(shared, "node", "left").withColumn("node", renamed).select(*sketched.columns)
+
+
+def _solve(rows: DataFrame, width: int, percent: int, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Of (id, th, text): (id, th, n, node) of each row, and (node, first, component) of each set.
 
     `first` is (no id, id, th) of the set's first row, `component` the least node it is linked to.
     """
     spark = rows.sparkSession
-    sketched = keep(sketches(rows, width, percent), "sketches")
-    base = keep(sketched.select("id", "th", "n", "node"), "sets")
+    sketched = keep(sketches(rows, width, percent, bits), "sketches")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
-    full = sketched.where(F.col("n") > 0).groupBy("node").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("dense").alias("dense"), F.max("own_shared").alias("own_shared"), F.max("low_shared").alias("low_shared"))
-    classes = keep(full, "classes")
+
+    def sets() -> DataFrame:
+        full = sketched.where(F.col("n") > 0).groupBy("node").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("dense").alias("dense"), F.max("own_shared").alias("own_shared"), F.max("low_shared").alias("low_shared"), (F.min("more") != F.max("more")).alias("several"))
+        return keep(full, "classes")
+
+    classes = sets()
+    if not classes.where("several").isEmpty():
+        # sets of one node, told apart by 128 bits
+        before, sketched = (sketched, classes), keep(_told_apart(sketched), "sketches")
+        classes = sets()
+        for done in before:
+            drop_kept(done)
+    base = keep(sketched.select("id", "th", "n", "node"), "sets")
     sides = [sketched.select(F.explode(side).alias("key"), "node", F.lit(side == "low").alias("low")) for side in ("own", "low")]
     shared = shared_keys(sides[0].union(sides[1]))
     posted = keep(rarest_keys(shared, classes), "posted")
@@ -372,8 +397,8 @@ def _solve(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
         drop_kept(done)
     let_go(spark)
     # first the pairs with the member of each key that shares most: it is the likeliest origin
-    heads = posted.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("head"))
-    stars = posted.join(heads, "key").where((F.col("node") != F.col("head.node")) & _sizes_fit("n", "head.n", percent))
+    heads = keep(posted.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("head"), F.count(F.lit(1)).alias("uses")), "heads")
+    stars = with_counts(posted, heads, "key", "uses", _parts(posted)).where((F.col("node") != F.col("head.node")) & _sizes_fit("n", "head.n", percent))
     stars = keep(stars.select(F.col("head.node").alias("hub"), F.col("node").alias("other")).distinct(), "stars")
     links = verified(_close(stars, classes, percent), classes, rows, width, percent)
     let_go(spark)
@@ -386,7 +411,7 @@ def _solve(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     others = verified(more, classes, rows, width, percent)
     let_go(spark)
     linked = first_linked if others.isEmpty() else components(links.union(others))
-    for done in (posted, stars):
+    for done in (posted, heads, stars):
         drop_kept(done)
     return base, classes.select("node", "first").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -402,7 +427,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingles (fewer words: the whole sequence is the one shingle). component_id is the least id
     reachable over links, the row's own included. Null and blank texts have an empty set and
     link with nothing, so component_id is the row's own id. Repeated rows and copies are one
-    class, compared once, by a 64-bit hash of the set; ids may repeat. A null id is no least id: a component has the least of
+    class, compared once, by a hash of the set of 128 bits; ids may repeat. A null id is no least id: a component has the least of
     its other ids, or null. An empty table gives an empty result. Other columns are not read.
     """
     base, classes = _solve(_rows(docs, id_col, text_col), width, percent)

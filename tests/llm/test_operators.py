@@ -462,6 +462,15 @@ def test_jaccard_copies_over_many_tasks(spark, monkeypatch):
     assert got == brute_components(rows, 5, 80)
 
 
+@pytest.mark.parametrize("bits", [1, 3])
+def test_jaccard_sets_that_share_a_hash_are_told_apart(spark, docs, rows, bits):
+    """Names of sets of so few bits that nearly all sets share theirs with others."""
+    base, classes = shingles._solve(shingles._rows(docs, "doc_id", "text"), 5, 80, bits)
+    least = classes.groupBy("component").agg(F.min("first.id").alias("c"))
+    known = base.join(classes.join(least, "component").select("node", "c"), "node", "left")
+    assert {r.id: (r.n, r.c if r.n else r.id) for r in known.collect()} == brute_components(rows, 5, 80)
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = shingles.jaccard_components(odd).collect()
     assert len(got) == 7 and {(r.doc_id, r.component_id) for r in got} == {(None, 1), (None, None), (1, 1), (2, 1), (3, 3)}
