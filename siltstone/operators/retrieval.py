@@ -17,11 +17,12 @@ from siltstone.session import written
 
 @dataclass
 class LexicalIndex:
-    """postings (term, chunk_id, tf, len), terms (term, df), totals (n, avgdl); len is the chunk's."""
+    """postings (term, chunk_id, tf, len), terms (term, df), totals (n, avgdl), chunks (chunk_id, len); len is the chunk's."""
 
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
+    chunks: DataFrame
 
 
 def build_lexical(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> LexicalIndex:
@@ -35,8 +36,9 @@ def build_lexical(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "
     table = written(each.groupBy("term", "chunk_id", "len").agg(F.count(F.lit(1)).alias("tf")), "postings")
     postings = table.where(F.col("term").isNotNull()).select("term", "chunk_id", "tf", "len")
     terms = written(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
-    totals = table.where(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    return LexicalIndex(postings, terms, totals)
+    chunks = table.where(F.col("term").isNull()).select("chunk_id", "len")
+    totals = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    return LexicalIndex(postings, terms, totals, chunks)
 
 
 def deal_hot(wanted: DataFrame, postings: DataFrame, terms: DataFrame, by: str) -> DataFrame:
@@ -170,17 +172,27 @@ def hashed_vectors(rows: DataFrame, id_col: str = "chunk_id", text_col: str = "t
     has zeros. Where the signs cancel in all components, counts without signs stand in, so that
     every text with a word has a direction. Ids should be unique.
     """
-    words = rows.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("word"))
+    words = rows.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("word"), F.lit(1).alias("tf"))
+    return _directions(words, rows.select(F.col(id_col).alias("of")), dimension).withColumnRenamed("of", id_col)
+
+
+def vectors_of(index: LexicalIndex, dimension: int = 64) -> DataFrame:
+    """hashed_vectors() of the chunks of a lexical index (chunk_id, embedding), from its postings: texts are not read again."""
+    words = index.postings.select(F.col("chunk_id").alias("id"), F.col("term").alias("word"), "tf")
+    return _directions(words, index.chunks.select(F.col("chunk_id").alias("of")), dimension).withColumnRenamed("of", "chunk_id")
+
+
+def _directions(words: DataFrame, ids: DataFrame, dimension: int) -> DataFrame:
+    """(of, embedding) of the ids (of), from their words (id, word, tf)."""
     digits = lambda at, n: F.conv(F.substring(F.md5("word"), at, n), 16, 10).cast("long")
     signed = F.when(digits(9, 1) % 2 == 0, 1).otherwise(-1)
-    sums = words.groupBy("id", (digits(1, 8) % dimension).cast("int").alias("at")).agg(F.sum(signed).alias("s"), F.count(F.lit(1)).alias("n"))
+    sums = words.groupBy("id", (digits(1, 8) % dimension).cast("int").alias("at")).agg(F.sum(signed * F.col("tf")).alias("s"), F.sum("tf").alias("n"))
     cancelled = F.max(F.abs("s")).over(Window.partitionBy("id")) == 0
     sums = sums.withColumn("s", F.when(cancelled, F.col("n")).otherwise(F.col("s")))
     damped = (F.signum("s") * F.log1p(F.abs("s"))).alias("w")
     listed = sums.select("id", "at", damped).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("held"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("held", i) / F.nullif(F.col("length"), F.lit(0.0)), F.lit(0.0)).cast("float"))
-    of = rows.select(F.col(id_col).alias("of")).join(listed, F.col("of").eqNullSafe(F.col("id")), "left")
-    return of.select(F.col("of").alias(id_col), dense.alias("embedding"))
+    return ids.join(listed, F.col("of").eqNullSafe(F.col("id")), "left").select("of", dense.alias("embedding"))
 
 
 def normalised(hits: DataFrame, score: str = "score", name: str = "norm") -> DataFrame:

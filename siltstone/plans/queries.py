@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions import values as V
-from siltstone.operators import audit, calibration, chunking, donors, instructions, languages, offers, pruned, retrieval, structure, sync, tabular
+from siltstone.operators import audit, calibration, chunking, donors, instructions, languages, names, offers, pruned, retrieval, structure, sync, tabular
 from siltstone.plans.bindings import FILES, FLIGHTS, KNOWN, OFFERS, SEARCHES, TRANSACTIONS, bound, duck
 from siltstone.session import dealt, read_table, scratch
 from siltstone.sources import files, payloads
@@ -172,6 +172,23 @@ def _(spark, d):
 _NAMED = "p_name || ' ' || (p_size * 5) || CASE WHEN p_partkey % 2 = 0 THEN ' mg №' || p_size ELSE ' MCG ' || p_size || ' tab' END"
 
 
+_PRODUCT_QUERIES = "SELECT p_partkey AS query_id, concat(split_part(p_name, ' ', 1), ' ', substr(split_part(p_name, ' ', 2), 2, 4), ' ', CAST(p_size AS STRING), ' zz') AS query FROM {part}"
+
+
+@query(
+    "t_product_search",
+    f"""WITH q AS ({duck(_PRODUCT_QUERIES)}), w AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-zA-Zа-яА-ЯёЁ0-9]+')) AS word FROM q),
+    n AS (SELECT p_partkey AS id, lower(concat(p_name, ' ', p_brand)) AS name FROM part),
+    m AS (SELECT word, id FROM (SELECT DISTINCT word FROM w) JOIN n ON contains(name, word))
+    SELECT query_id, count(DISTINCT id) AS found, min(id) AS first, max(id) AS last FROM w JOIN m USING (word) GROUP BY query_id""",
+)
+def _(spark, d):
+    """Every part's query against all names; what each finds, as a count and the ends of its ids."""
+    part = read_table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    found = names.search_names(names.index_names(part, "p_partkey", "name"), bound(spark, d, _PRODUCT_QUERIES))
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 @query(
     "t_product_fields",
     f"""SELECT p_partkey, name, nullif(regexp_replace(label, '[^0-9]', '', 'g'), '')::DOUBLE AS price, nullif(regexp_extract(name, '(?i)([0-9]+[.,]?[0-9]*\\s?(?:mg|mcg|mkg|iu|мг|мкг|ме|g|г))', 1), '') AS dosage, p_size::VARCHAR AS package_size,
@@ -303,15 +320,17 @@ def _(spark, d):
 
 @query(
     "c_chunk_names",
-    f"""WITH p AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN [text, 'second page of ' || doc_id] ELSE [text] END AS pages FROM documents WHERE length(text) < 700 AND regexp_matches(text, '[^{SP}]')),
-    f AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: {s_strip('x')}), lambda x: x <> '')[1] AS first FROM p)
-    SELECT doc_id, CASE WHEN length(first) <= 150 THEN first ELSE source END AS law_name, CASE WHEN doc_id % 2 = 0 THEN 1 END AS page_number FROM f""",
+    f"""WITH p AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: {s_strip('x')}), lambda x: x <> '')[1] AS first FROM documents WHERE regexp_matches(text, '[^{SP}]'))
+    SELECT doc_id, CASE WHEN length(first) <= 150 THEN first ELSE source END AS law_name, 1::BIGINT AS names, CASE WHEN doc_id % 2 = 0 THEN 1 END AS first_page, true AS pages FROM p""",
 )
 def _(spark, d):
-    rows = docs(spark, d).where((F.length("text") < 700) & F.col("text").rlike(f"[^{X.SPACE}]"))
+    """All chunks of a document have its name; pages are numbered where there are several, from 1 on and forward."""
+    rows = docs(spark, d).where(F.col("text").rlike(f"[^{X.SPACE}]"))
     paged = rows.withColumn("pages", F.when(F.col("doc_id") % 2 == 0, F.array("text", F.concat(F.lit("second page of "), F.col("doc_id").cast("string")))).otherwise(F.array("text")))
     chunks = chunking.chunk_documents(paged.withColumn("file", F.concat("source", F.lit(".txt"))), pages_col="pages", name_col="file")
-    return chunks.where("chunk_index = 0").select("doc_id", "law_name", "page_number")
+    back = F.coalesce(F.lag("page_number").over(Window.partitionBy("doc_id").orderBy("chunk_index")) > F.col("page_number"), F.lit(False))
+    each = chunks.select("doc_id", "law_name", "page_number", (~back & (F.coalesce("page_number", F.lit(1)) <= 2)).alias("forward"))
+    return each.groupBy("doc_id").agg(F.max("law_name").alias("law_name"), F.countDistinct("law_name").alias("names"), F.min("page_number").alias("first_page"), F.bool_and("forward").alias("pages"))
 
 
 @query("c_article_chunks")
@@ -571,7 +590,8 @@ def _(spark, d):
 
 def _retrieved(spark: SparkSession, d: str) -> DataFrame:
     chunks = docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.retrieve(_asked(spark, d), chunks, _index(spark, d), retrieval.hashed_vectors(chunks))
+    index = _index(spark, d)
+    return retrieval.retrieve(_asked(spark, d), chunks, index, retrieval.vectors_of(index))
 
 
 _TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
