@@ -129,6 +129,22 @@ def _(spark, d):
     return files.upload_report(files.validate_upload(spark, path))
 
 
+@query("s_upload_array", "SELECT conv_id, turn, md5(text) AS instruction, turn % 3 <> 0 AS valid FROM conversations UNION ALL SELECT NULL, NULL, NULL, false")
+def _(spark, d):
+    """All turns as the elements of one array in one file, read back by byte ranges."""
+    path = scratch(spark, "array")
+    c = read_table(spark, d, "conversations")
+    output = F.when(F.col("turn") % 3 != 0, F.concat_ws("-", "conv_id", "turn"))
+    rows = c.select(F.to_json(F.struct("text", F.struct(F.col("text").alias("instruction"), F.concat_ws("-", "conv_id", "turn").alias("input"), output.alias("output"), F.array("role", F.lit('], "{ \\')).alias("more")).alias("x"))).alias("value"))
+    element = F.regexp_extract("value", "(?s)\"x\":(.*)\\}$", 1)
+    # one file, as an upload is: brackets around a null and all turns
+    edge = lambda x: spark.createDataFrame([(x,)], "value string")
+    files.write_file(edge("[null").unionByName(rows.select(F.concat(F.lit(", "), element).alias("value"))).unionByName(edge("]")), f"{path}/upload.json")
+    back = files.validate_upload(spark, f"{path}/upload.json", size=1 << 16)
+    id_and_turn = F.split(F.nullif("input", F.lit("")), "-")
+    return back.select(id_and_turn[0].cast("long").alias("conv_id"), id_and_turn[1].cast("long").alias("turn"), F.md5("instruction").alias("instruction"), "valid")
+
+
 @query(
     "s_load_files",
     f"""SELECT doc_id, CASE WHEN regexp_matches(text, '[^{SP}]') THEN 'loaded' ELSE 'failed' END AS status, nullif(md5({s_clean('text', False)}), md5('')) AS text, encode AS encoding

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.text import clean_text
+from siltstone.sources.arrays import RANGE, read_json_arrays
 
 READABLE = (".txt", ".html", ".htm")
 KNOWN = (*READABLE, ".pdf", ".docx")
@@ -126,6 +127,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_file(df: DataFrame, path: str) -> None:
+    """The one text column as lines of a single file of that name; for what has to be one file."""
+    df.coalesce(1).write.text(f"{path}-parts")
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder, target = jvm.org.apache.hadoop.fs.Path(f"{path}-parts"), jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        if status.getPath().getName().startswith("part-"):
+            system.rename(status.getPath(), target)
+    system.delete(folder, True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = INSTRUCTION, strict: bool = False) -> DataFrame:
     """JSON lines, blank ones skipped; malformed ones have `_corrupt` set, or fail the load if strict."""
     options = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
@@ -137,14 +151,14 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def validate_upload(spark: SparkSession, path: str) -> DataFrame:
+def validate_upload(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """(raw, instruction, input, output, valid) of uploads: `.json` files hold an array, all others JSON lines.
 
-    Rows are valid if they are objects with an instruction and an output. Lines are read as lines,
-    so a large file of them is split over tasks; an array is one value and goes whole.
+    Rows are valid if they are objects with an instruction and an output. Large files of either
+    kind are split over tasks: lines by Spark's reader, arrays by read_json_arrays().
     """
     array = F.col("_metadata.file_name").endswith(".json")
-    listed = spark.read.text(path, wholetext=True).where(array).select(F.explode(F.from_json("value", "array<string>")).alias("raw"))
+    listed = read_json_arrays(spark, path, size=size)
     each = spark.read.text(path).where(~array & (F.trim("value") != "")).select(F.col("value").alias("raw")).unionByName(listed)
     keys = F.json_object_keys("raw")
     has = F.coalesce(F.array_contains(keys, "instruction") & F.array_contains(keys, "output"), F.lit(False))
