@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm import classifier, language, licenses, mixing, neighbours, packing, periodic, phrases, quality, repeats, secrets, shingles, topk
 from siltstone.session import dealt, read_table
@@ -108,7 +109,8 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 #: All grams of one to three words counted by themselves.
 _OP13 = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
 f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS x, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
@@ -121,10 +123,22 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM b JOIN n USING (lang) QUALIFY rank <= 2000
 """
 
+#: Sizes, and the level at which shares by weight, each up to three times its source, add up to all.
+_MIX = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, 1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+r AS (SELECT *, 3 * n / w::DOUBLE AS ratio, sum(n) OVER () AS total, coalesce(sum(3 * n) OVER before, 0) AS capped, sum(w) OVER after AS open FROM s
+  WINDOW before AS (ORDER BY 3 * n / w::DOUBLE, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (ORDER BY 3 * n / w::DOUBLE, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+l AS (SELECT arg_min((total - capped)::DOUBLE / open, ratio) AS level FROM r WHERE (total - capped)::DOUBLE / open <= ratio),
+t AS (SELECT source, n, least(3.0::DOUBLE * n, w * (SELECT level FROM l)) AS target FROM s)
+SELECT d.doc_id, d.size, t.n AS source_size, round(t.target, 4) AS target FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source
+"""
+
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 QUERIES |= {
-    # what of two operators' results SQL can state
+    # what of three operators' results SQL can state
     "quality_base_counts": lambda spark, sf_dir: QUERIES["op3_fertility_rules"](spark, sf_dir).select("doc_id", *_BASE),
+    "mixing_targets": lambda spark, sf_dir: QUERIES["op4_entropy_balancing"](spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target")),
     "secret_base_counts": lambda spark, sf_dir: QUERIES["op1_secret_ownership"](spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex"),
 }
 
@@ -135,6 +149,7 @@ ORACLE_SQL: dict[str, str] = {
     "op11_periodic_runs": _OP11,
     "op12_histogram_topk": _OP12,
     "op13_phrase_graph": _OP13,
+    "mixing_targets": _MIX,
     "quality_base_counts": _QUALITY,
     "secret_base_counts": _SECRETS,
 }

@@ -6,7 +6,8 @@ sorted over range partitions by anchor and content: of equal runs all but the fi
 repeats as they stand. Runs that share the anchor but not the content are compared byte by
 byte: their suffixes are sorted in two stages (directly those smaller than their successors,
 the rest induced by bucket scans) and windows with a common prefix of LENGTH are found next
-to each other. Only those runs leave their texts.
+to each other. Only those runs leave their texts. Runs of an anchor that very many share are
+sorted in bounded groups first; what no group repeats goes on under a further anchor.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from siltstone.llm._cluster import keep, mix64
 from siltstone.llm._words import slices
 
 LENGTH, GRAM = 100, 24
-#: Runs whose suffixes are sorted in one group, about; an anchor with more than MOST_RUNS
-#: different runs is compared by hashed windows in a range-partitioned sort instead.
-GROUP_RUNS, MOST_RUNS = 4000, 20_000
+#: Runs whose suffixes are sorted in one group, about. Anchors of more than MOST_RUNS runs are first
+#: thinned in groups of that size and parted by further anchors, up to ROUNDS times.
+GROUP_RUNS, MOST_RUNS, ROUNDS = 4000, 20_000, 8
 #: Parts two runs; no byte of UTF-8.
 SEPARATOR = 0xFF
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -53,11 +54,11 @@ def leftmost_minima(values: np.ndarray, window: int) -> np.ndarray:
     return at
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
+def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed: int = 0):
     """For texts in `data`: runs of windows with one anchor: (text, start, count, gram, whole).
 
-    The anchor of a window of `length` bytes is its least gram. `whole` hashes all bytes that
-    the run's windows cover.
+    The anchor of a window of `length` bytes is its least gram, in an order of its own for each
+    seed. `whole` hashes all bytes that the run's windows cover.
     """
     size = np.diff(bounds)
     long = np.flatnonzero(size >= length)
@@ -65,6 +66,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     grams = gram_hashes(data)
+    if seed:
+        grams = mix64(grams + np.uint64(seed) * _C[0])
     at = leftmost_minima(grams, length - GRAM + 1)
     count = size[long] - length + 1
     starts = np.repeat(bounds[long] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
@@ -326,82 +329,84 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, most_runs: int = M
     schema = f"id {kind}, th long, start long, end long"
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.select(["id", "th", "run", "bytes"]).sort_by([("run", "ascending")])
-        rank = _order_of(table)
-        table = table.take(pa.array(np.argsort(rank)))
-        table = table.filter(pa.array(_differs(table["id"], table["th"], table["run"])))
-        run = np.asarray(table["run"])
-        data, bounds = utf8(table["bytes"].combine_chunks())
-        # each run is followed by a separator
-        text = np.full(len(data) + len(run), SEPARATOR, np.uint8)
-        text[np.arange(len(data)) + np.repeat(np.arange(len(run)), np.diff(bounds))] = data
-        windows = run & 0xFFFF
-        row = np.repeat(np.arange(len(run)), windows)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        later = later_windows(text, (bounds[:-1] + np.arange(len(run)))[row] + offset, np.arange(len(row)), length)
-        r, a, b = _intervals(row[later], (run >> 16)[row[later]] + offset[later], length)
-        some = table.take(pa.array(r))
-        return pa.table({"id": some["id"], "th": some["th"], "start": pa.array(a, pa.int64()), "end": pa.array(b, pa.int64())})
-
-    grouped = pieces.where(~F.col("busy")).withColumn("group", F.pmod(F.xxhash64("gram"), F.lit(groups)))
-    compared = grouped.groupBy("group").applyInArrow(compare, schema)
-    return again.unionByName(compared).unionByName(_hashed(pieces.where("busy"), kind, length, n))
-
-
-def _hashed(pieces: DataFrame, kind: str, length: int, partitions: int) -> DataFrame:
-    """Intervals of windows that occur earlier among `pieces`, by sorting 128-bit window hashes."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = utf8(batch.column("bytes"))
-            run = np.asarray(batch.column("run"))
-            n = run & 0xFFFF
-            row = np.repeat(np.arange(len(run)), n)
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            at, words = bounds[row] + offset, _words8(data, length)
-            h = np.zeros((2, len(row)), np.uint64)
-            for depth in [*range(0, length - 7, 8), length - 8]:
-                for k in (0, 1):
-                    h[k] = mix64(h[k] * _C[0] + words[at + depth] * _C[k + 1])
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), batch.column("id").take(take), batch.column("th").take(take), pa.array((run >> 16)[row] + offset)],
-                ["h1", "h2", "id", "th", "at"],
-            )
-
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the partition's last row so far, if it is not out as its first one
-
-        def out(table: pa.Table, again: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
-            yield from table.append_column("again", pa.array(again)).append_column("edge", pa.array(edge)).combine_chunks().to_batches()
-
-        some = False
-        for table, (head,) in _each_after_another(batches, ("h1", "h2", "id", "th", "at"), ("h1", "h2")):
-            if last is not None:
-                again = last[1]
-                if again:
-                    yield from out(last[0], np.array([True]), np.array([False]))
-            edge = np.zeros(table.num_rows, bool)
-            edge[0] = not some
-            some = True
-            end = table.num_rows - 1
-            last = None if edge[end] else (table.slice(end), not head[end])
-            chosen = edge | ~head
-            chosen[end] &= last is None
-            if chosen.any():
-                yield from out(table.filter(pa.array(chosen)), ~head[chosen], edge[chosen])
-        if last is not None:
-            yield from out(last[0], np.array([last[1]]), np.array([True]))
-
-    order = [F.col("h1"), F.col("h2"), F.col("id").asc_nulls_last(), F.col("th"), F.col("at")]
-    each = pieces.mapInArrow(windows, f"h1 long, h2 long, id {kind}, th long, at long")
-    found = keep(each.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(later, f"h1 long, h2 long, id {kind}, th long, at long, again boolean, edge boolean"), "windows")
-    # the first window of a partition is a repeat if the partition before ends with its equal
-    before = Window.orderBy(*order)
-    edges = found.where("edge").withColumns({"b1": F.lag("h1").over(before), "b2": F.lag("h2").over(before)})
-    edges = edges.where(~F.col("again") & (F.col("b1") == F.col("h1")) & (F.col("b2") == F.col("h2")))
-    hit = found.where("again").select("id", "th", "at").unionByName(edges.select("id", "th", "at"))
-    return hit.select("id", "th", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+        return _removed(*_sorted_windows(table, length)[:5], length)
+
+    def in_groups(part: DataFrame) -> DataFrame:
+        """Runs under one anchor in one group, several anchors in each."""
+        return part.withColumn("group", F.pmod(F.xxhash64("gram"), F.lit(groups))).groupBy("group").applyInArrow(compare, schema)
+
+    out = again.unionByName(in_groups(pieces.where(~F.col("busy"))))
+    crowded = pieces.where("busy").drop("busy")
+    thinned_schema = f"gram long, id {kind}, th long, run long, bytes binary, start long, end long"
+    for seed in range(1, ROUNDS + 1):
+        n_runs = crowded.count()
+        if not n_runs:
+            break
+        dealt = crowded.withColumn("group", F.pmod(F.xxhash64("id", "th", "run"), F.lit(-(-n_runs // GROUP_RUNS))))
+        thinned = keep(dealt.groupBy("group").applyInArrow(_thin(seed, length), thinned_schema), "thinned")
+        out = out.unionByName(thinned.where(F.col("bytes").isNull()).select("id", "th", "start", "end"))
+        rest = thinned.where(F.col("bytes").isNotNull()).select("gram", "id", "th", "run", "bytes")
+        busy = rest.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (most_runs if seed < ROUNDS else 2**62)).select("gram")
+        out = out.unionByName(in_groups(rest.join(busy, "gram", "left_anti")))
+        crowded = rest.join(busy, "gram", "left_semi")
+    return out
+
+
+def _sorted_windows(table: pa.Table, length: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs (id, th, run, bytes, ..): the different ones in order, their run numbers, and for each
+    window its row, its place there, and whether it equals an earlier one; then all bytes and their borders."""
+    table = table.sort_by([("run", "ascending")])
+    rank = _order_of(table)
+    table = table.take(pa.array(np.argsort(rank)))
+    table = table.filter(pa.array(_differs(table["id"], table["th"], table["run"])))
+    run = np.asarray(table["run"])
+    data, bounds = utf8(table["bytes"].combine_chunks())
+    # each run is followed by a separator
+    text = np.full(len(data) + len(run), SEPARATOR, np.uint8)
+    text[np.arange(len(data)) + np.repeat(np.arange(len(run)), np.diff(bounds))] = data
+    windows = run & 0xFFFF
+    row = np.repeat(np.arange(len(run)), windows)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    later = later_windows(text, (bounds[:-1] + np.arange(len(run)))[row] + offset, np.arange(len(row)), length)
+    return table, run, row, offset, later, data, bounds
+
+
+def _removed(table: pa.Table, run: np.ndarray, row: np.ndarray, offset: np.ndarray, later: np.ndarray, length: int) -> pa.Table:
+    """(id, th, start, end) of the windows that equal earlier ones."""
+    r, a, b = _intervals(row[later], (run >> 16)[row[later]] + offset[later], length)
+    some = table.take(pa.array(r))
+    return pa.table({"id": some["id"], "th": some["th"], "start": pa.array(a, pa.int64()), "end": pa.array(b, pa.int64())})
+
+
+def _thin(seed: int, length: int):
+    """Of a group of runs: what equals an earlier window there, and the other windows as shorter runs.
+
+    A shorter run is of windows that share one more anchor, by another order of grams; equal
+    windows share it too, so they still meet, at most one of each from a group.
+    """
+
+    def thin(table: pa.Table) -> pa.Table:
+        table, run, row, offset, later, data, bounds = _sorted_windows(table, length)
+        gone = _removed(table, run, row, offset, later, length)
+        _, _, n, gram, _ = anchors(data, bounds, length, seed)
+        of = np.repeat(np.arange(len(n)), n)  # the windows of all runs in order, as above
+        stay = np.flatnonzero(~later)
+        fresh = np.append(True, (stay[1:] != stay[:-1] + 1) | (of[stay][1:] != of[stay][:-1])) if len(stay) else np.zeros(0, bool)
+        head, count = stay[fresh], np.diff(np.append(np.flatnonzero(fresh), len(stay)))
+        first, size = bounds[row[head]] + offset[head], count - 1 + length
+        text = data[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        cuts = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        some = table.take(pa.array(row[head]))
+        both = mix64(np.asarray(some["gram"]).view(np.uint64) * _C[1] + gram[of[head]])
+        left = pa.table({
+            "gram": both.view(np.int64), "id": some["id"], "th": some["th"], "run": ((run >> 16)[row[head]] + offset[head]) << 16 | count,
+            "bytes": pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, cuts.buffers()[1], pa.py_buffer(text)]),
+            "start": pa.nulls(len(head), pa.int64()), "end": pa.nulls(len(head), pa.int64()),
+        })
+        none = lambda t: pa.nulls(gone.num_rows, t)
+        return pa.concat_tables([left, pa.table({"gram": none(pa.int64()), "id": gone["id"], "th": gone["th"], "run": none(pa.int64()), "bytes": none(pa.binary()), "start": gone["start"], "end": gone["end"]})])
+
+    return thin
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_runs: int = MOST_RUNS) -> DataFrame:

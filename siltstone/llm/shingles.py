@@ -116,8 +116,9 @@ def segment_keys(values: np.ndarray, band: int, count: int, most: int) -> tuple[
 def set_hash(values: np.ndarray, bits: int = 64) -> tuple[int, int]:
     """Two hashes of the whole set: one of `bits` bits that names it, and one of 64 more that tells sets of one name apart."""
     mixed = mix64(values)
-    first, second = np.bitwise_xor.reduce(mixed), mix64(mixed ^ _ODD).sum(dtype=np.uint64)
-    both = mix64(np.array([first ^ second * _ODD ^ np.uint64(len(values)), mix64(mixed + _ODD).sum(dtype=np.uint64) ^ first], np.uint64))
+    # arrays of one value: they wrap round in silence
+    first, second = np.bitwise_xor.reduce(mixed, keepdims=True), mix64(mixed ^ _ODD).sum(dtype=np.uint64, keepdims=True)
+    both = mix64(np.concatenate([first ^ second * _ODD ^ np.uint64(len(values)), mix64(mixed + _ODD).sum(dtype=np.uint64, keepdims=True) ^ first]))
     both[0] >>= np.uint64(64 - bits)
     return int(both[:1].view(np.int64)[0]), int(both[1:].view(np.int64)[0])
 
