@@ -75,11 +75,11 @@ def nfc(c: Column, first: Callable[[Column], Column] = _same) -> Column:
     """Composed form of first(c), which may take characters away but not bring any.
 
     Texts without a character that composition looks at skip Python. The test is of `c` itself, so
-    that `first` is evaluated once.
+    that it and `first` are evaluated once.
     """
     # characters of ASCII alone never compose
     may = (F.octet_length(c) != F.length(c)) & c.rlike(_MAY_COMPOSE)
-    return F.when(may, _compose(F.when(may, first(c)))).otherwise(first(c))
+    return F.coalesce(_compose(F.when(may, first(c))), first(c))
 
 
 def one_apostrophe(c: Column) -> Column:
