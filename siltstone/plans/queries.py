@@ -1003,6 +1003,43 @@ def _(spark, d):
     return tabular.compare_models(["logistic", "forest", "bayes", "tree", "svm", "svm_balanced"], train, test, "id")
 
 
+_X = ("amount", "account_age_days", "total_transactions_user", "shipping_distance_km")
+_TRAIN = f"t AS (SELECT id, is_fraud AS y, {', '.join(f'{x}::DOUBLE AS {x}' for x in _X)}, {s_place('id')} % 10000 < 8000 AS train FROM {_T})"
+_NORMAL = " + ".join(f"(-0.5 * (ln(2 * pi() * (v_{x} + e)) + (t.{x} - m_{x}) * (t.{x} - m_{x}) / (v_{x} + e)))" for x in _X)
+
+
+@query(
+    "m_bayes",
+    f"""WITH {_TRAIN}, e AS (SELECT 1e-9 * greatest({', '.join(f'var_pop({x})' for x in _X)}) AS e, count(*) AS n FROM t WHERE train),
+    c AS (SELECT y, ln(count(*) / any_value(n)::DOUBLE) AS prior, any_value(e) AS e, {', '.join(f'avg({x}) AS m_{x}, var_pop({x}) AS v_{x}' for x in _X)} FROM t, e WHERE train GROUP BY y),
+    l AS (SELECT t.id, c.y, prior + {_NORMAL} AS l FROM t, c WHERE NOT train),
+    w AS (SELECT id, max(l) FILTER (y = 1) AS l1, max(l) FILTER (y = 0) AS l0 FROM l GROUP BY id)
+    SELECT id, (l1 > l0)::DOUBLE AS prediction, round(1 / (1 + exp(l0 - l1)), 6) AS score FROM w""",
+)
+def _(spark, d):
+    train, test = _assembled(spark, d)
+    return tabular.predictions(tabular.fit_model("bayes", train), test, "id").select("id", "prediction", F.round("score", 6).alias("score"))
+
+
+@query("m_logistic_moments", f"WITH {_TRAIN} " + " UNION ALL ".join(f"SELECT '{x}' AS feature, round(sum(y * {x}) / sum({x}), 3) AS mean FROM t WHERE train" for x in _X))
+def _(spark, d):
+    """A logistic fit without a penalty gives each feature, over the training rows, the labels' mean weighted by it."""
+    train, _ = _assembled(spark, d)
+    said = tabular.predictions(tabular.fit_model("logistic", train), train, "id").join(train.select("id", *_FEATURES), "id")
+    means = said.agg(*[(F.sum(F.col("score") * F.col(c)) / F.sum(c)).alias(c) for c in _FEATURES])
+    return means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(c, 3).alias("mean")) for c in _FEATURES])))
+
+
+@query("m_tree_leaves", f"WITH {_TRAIN} SELECT true AS leaves, sum(y)::BIGINT AS positives, count(*) AS rows FROM t WHERE train")
+def _(spark, d):
+    """A tree says of the training rows of a leaf what share of them has the label."""
+    train, _ = _assembled(spark, d)
+    said = tabular.predictions(tabular.fit_model("tree", train), train, "id")
+    leaves = said.groupBy("score").agg(F.avg("label").alias("share"), F.count(F.lit(1)).alias("rows"))
+    fine = F.bool_and(F.abs(F.col("share") - F.col("score")) < 1e-9)
+    return leaves.agg(fine.alias("leaves"), F.round(F.sum(F.col("score") * F.col("rows"))).cast("long").alias("positives"), F.sum("rows").alias("rows"))
+
+
 @query("m_probabilities")
 def _(spark, d):
     train, test = _assembled(spark, d)
