@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import mixing, packing, quality, secrets, shingles
-from siltstone.llm._cluster import fresh_names, keep
+from siltstone.llm._cluster import drop_kept, fresh_names, keep
 from siltstone.session import read_table, with_workers
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -73,9 +73,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what a stage returns is written before the next one reads it."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = keep(docs, f"stage{i}")
+            if before is not None:
+                drop_kept(before)  # the next table is written, so nothing reads it any more
+            before = docs
     return docs
