@@ -225,12 +225,24 @@ def _(spark, d):
 # ---- pages and sources
 
 
-@query("s_page_text")
+#: Scripts and styles go, runs of tags and comments become a line end, and the characters named in the pages are put back.
+_VISIBLE = r"regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', '<x>', 'g'), '(?s)(<!--.*?-->|<[^>]*>)+', chr(10), 'g')"
+for _name, _code in (("middot", 183), ("copy", 169), ("quot", 34), ("lt", 60), ("gt", 62), ("amp", 38)):
+    _VISIBLE = f"replace({_VISIBLE}, '&{_name};', chr({_code}))"
+
+
+@query("s_page_text", f"SELECT page_id, url, {s_clean(_VISIBLE, False)} AS text FROM pages")
 def _(spark, d):
     return files.pages_text(read_table(spark, d, "pages"))
 
 
-@query("s_page_details")
+_HEADING = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+for _name, _code in (("middot", 183), ("copy", 169), ("quot", 34), ("lt", 60), ("gt", 62), ("amp", 38)):
+    _HEADING = f"replace({_HEADING}, '&{_name};', chr({_code}))"
+_ABSENT = ("brand", "manufacturer", "dosage", "package_size", "form", "usage_instructions", "storage_conditions")
+
+
+@query("s_page_details", f"SELECT url, nullif({s_strip(_HEADING)}, '') AS name, NULL::VARCHAR AS description, {', '.join(f'NULL::VARCHAR AS {c}' for c in _ABSENT)} FROM pages")
 def _(spark, d):
     return payloads.product_details(read_table(spark, d, "pages"))
 
@@ -333,6 +345,23 @@ def _(spark, d):
     return each.groupBy("doc_id").agg(F.max("law_name").alias("law_name"), F.countDistinct("law_name").alias("names"), F.min("page_number").alias("first_page"), F.bool_and("forward").alias("pages"))
 
 
+#: The words of a text up to the size, then again from the first word that leaves the overlap; P holds the characters before each word.
+_WORD_CHUNKS = """WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+u AS (SELECT doc_id, i, x, sum(length(x) + (i > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d)),
+a AS (SELECT doc_id, array_agg(x ORDER BY i) AS w, list_prepend(0, array_agg(upto ORDER BY i)) AS p, count(*) AS n FROM u GROUP BY doc_id),
+r(doc_id, c, s, e) AS (SELECT doc_id, 0, 0::BIGINT, len(list_filter(p, lambda x: x <= 800)) - 1 FROM a
+  UNION ALL SELECT doc_id, c + 1, j, len(list_filter(p, lambda x: x <= p[j + 1] + 800)) - 1 FROM (
+    SELECT r.doc_id, r.c, a.p, len(list_filter(a.p, lambda x: x < greatest(a.p[r.e + 1] - 150, a.p[r.e + 2] - 800))) AS j FROM r JOIN a USING (doc_id) WHERE r.e < a.n))
+SELECT r.doc_id, c AS chunk_index, md5(array_to_string(w[s + 1:e], ' ')) AS body, length(array_to_string(w[s + 1:e], ' '))::INT AS char_count FROM r JOIN a USING (doc_id)"""
+
+
+@query("c_word_chunks", _WORD_CHUNKS)
+def _(spark, d):
+    """Exact chunks, where blanks are all that can be cut at: split points and overlaps."""
+    plain = docs(spark, d).select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("text"))
+    return chunking.chunk_documents(plain).select("doc_id", "chunk_index", F.md5("text").alias("body"), "char_count")
+
+
 @query("c_article_chunks")
 def _(spark, d):
     return chunking.chunk_documents(_legal(spark, d), by_tokens=True, size=200, overlap=30)
