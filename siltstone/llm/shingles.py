@@ -27,6 +27,7 @@ from siltstone.llm._cluster import drop_kept, keep, let_go, mix64, with_counts
 from siltstone.llm._components import components
 from siltstone.llm._pieces import forget_words
 from siltstone.llm._words import plain, slices, split_words
+from siltstone.operators.instructions import bloom_words, maybe_among
 
 #: Segments beyond the pigeonhole's need, so that linked documents share several.
 SPARE = 3
@@ -339,8 +340,11 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
     dealt = keep(dealt.select(group.alias("group"), "hub", "chunk", "other"), "dealt")
     members = dealt.select("group", "hub", F.col("other").alias("node")).union(dealt.select("group", "hub", F.col("hub").alias("node")).distinct())
     wanted = members.select("node").distinct().join(classes, "node").select("node", F.xxhash64("first.id").alias("i"), F.col("first.th").alias("t"))
-    wanted = keep(wanted, "wanted")  # a table's size is known, so where it is small texts need no shuffle
-    found = rows.select(F.xxhash64("id").alias("i"), F.col("th").alias("t"), "text").join(wanted, ["i", "t"])
+    wanted = keep(wanted.withColumn("h", F.xxhash64("i", "t")), "wanted")
+    # of the texts only those that a Bloom filter of the wanted ones lets pass are shuffled
+    words, n_words = bloom_words(wanted, "h", wanted.count())
+    maybe = maybe_among(rows.select(F.xxhash64("id").alias("i"), F.col("th").alias("t"), "text").withColumn("h", F.xxhash64("i", "t")), "h", words, n_words)
+    found = maybe.drop("h").join(wanted.drop("h"), ["i", "t"])
     # repeated rows meet in the join's partitions; one of them is enough
     nth = F.row_number().over(Window.partitionBy("i", "t").orderBy(F.lit(0)))
     texts = keep(found.withColumn("nth", nth).where(F.col("nth") == 1).select("node", "text"), "texts")
