@@ -30,6 +30,8 @@ SLICE = 8 << 20
 AT_ONCE = 200_000
 _ROWS = "key string, lang string, n long"
 _SUMS = "kind int, lang string, node string, next string, n long"
+#: Parts of a language's phrases that are ranked by themselves before all are.
+RANK_BUCKETS = 128
 #: Kinds of sums: a word, a pair (its node), a triple (an edge).
 WORD, PAIR, TRIPLE = 1, 2, 3
 
@@ -309,6 +311,11 @@ def phrases(docs: DataFrame, least: int = 10, percent: int = 50, top: int | None
         F.when(later, F.col("s2")).otherwise(F.col("s1")).cast("long").alias("score"),
     )
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    if top is not None:
+        # of each bucket of a language's phrases the first ones, so that a language is no single task's
+        part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_BUCKETS))
+        within = Window.partitionBy("lang", "part").orderBy(F.desc("score"), F.desc("a"), "phrase")
+        result = result.withColumn("part", part).withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= top).drop("part", "nth")
     ranked = result.withColumn("rank", F.row_number().over(order).cast("long"))
     chosen = ranked.where(F.col("rank") <= top) if top is not None else ranked
     return chosen.join(F.broadcast(totals) if top is not None else totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
