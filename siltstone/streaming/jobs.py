@@ -16,14 +16,24 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 
 
 def _start(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
-    """Starts with the state store that keyed state needs; the session's setting stays as it was."""
-    key, provider = STATE_STORE
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, provider)
+    """Starts with the store that keyed state needs; the session's settings stay as they were.
+
+    State has as many partitions as shuffles, but no more than two a core: each costs a Python
+    worker in every batch. A query keeps the number that it was first started with.
+    """
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    wanted = {STATE_STORE[0]: STATE_STORE[1], "spark.sql.shuffle.partitions": str(partitions)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         return writer.trigger(availableNow=True).start()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 # ---- corpus sync
