@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.values import dosage, iso_minutes, pack_size, parse_price
-from siltstone.sources.files import map_batches
+from siltstone.sources.files import map_batches, plain_ampersands
 
 _POINT = "struct<iataCode:string,at:string>"
 OFFERS = (
@@ -95,7 +95,7 @@ class _Tree(HTMLParser):
 
 def _parse(html: str | None) -> dict:
     tree = _Tree()
-    tree.feed(html or "")
+    tree.feed(plain_ampersands(html or ""))
     tree.close()
     return tree.root
 
