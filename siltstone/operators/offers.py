@@ -250,9 +250,12 @@ DEGREE_KM = 6371.0088 * math.pi / 180
 def airports_near(points: DataFrame, airports: DataFrame, radius_km: float = 60.0, n: int = 20) -> DataFrame:
     """The `n` nearest airports within the radius of each point (point_id, lat, lon).
 
+    Places meet, not rows: points of one place have the same answer, and of airports of one place
+    only the first `n` by code can be in it. Point ids should be unique.
+
     Both sides meet by cells: bands of latitude as high as the radius, each cut along longitude
     into as many cells as are at least as wide, so that there are fewer towards the poles. A
-    point looks into the cells of three bands that its circle of longitudes touches, across 180
+    place looks into the cells of three bands that its circle of longitudes touches, across 180
     degrees too, and into whole bands where the circle holds a pole. Longitudes may be given in any turn;
     points and airports without a place, or beyond a pole, take no part.
     """
@@ -275,13 +278,17 @@ def airports_near(points: DataFrame, airports: DataFrame, radius_km: float = 60.
     sine = F.sin(F.radians(F.lit(height))) / F.cos(F.radians("lat"))
     reach = F.when((F.abs("lat") + height >= 90) | (sine >= 1), 180.0).otherwise(F.degrees(F.asin(sine)) * 1.000001)
     bands = F.filter(F.array(*[band(F.col("lat")) + i for i in (-1, 0, 1)]), lambda b: (b >= 0) & (b <= top))
-    left = placed(points).withColumns({"reach": reach, "band": F.explode(bands)}).withColumn("count", cells_of(F.col("band")))
+    asked = placed(points)
+    left = asked.select("lat", "lon").distinct().withColumns({"reach": reach, "band": F.explode(bands)}).withColumn("count", cells_of(F.col("band")))
     span = F.floor((F.col("lon") + 180 + F.col("reach")) / 360 * F.col("count")) - F.floor((F.col("lon") + 180 - F.col("reach")) / 360 * F.col("count"))
     first = F.floor((F.col("lon") + 180 - F.col("reach")) / 360 * F.col("count"))
     steps = F.sequence(F.lit(0).cast("long"), F.least(span, F.col("count").cast("long") - 1))
     left = left.withColumn("cell", F.explode(F.transform(steps, lambda i: F.pmod(first + i, F.col("count").cast("long")).cast("int"))))
-    right = placed(airports.select("iata", "lat", "lon")).select("iata", F.col("lat").alias("alat"), F.col("lon").alias("alon"), band(F.col("lat")).alias("band"))
-    right = right.withColumn("cell", at(F.col("alon"), cells_of(F.col("band"))))
-    near = left.join(right, ["band", "cell"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))).where(F.col("km") <= radius_km)
-    w = Window.partitionBy("point_id").orderBy("km", "iata")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("point_id", "rank", "iata", "km")
+    first_here = F.row_number().over(Window.partitionBy("alat", "alon").orderBy("iata"))
+    right = placed(airports.select("iata", "lat", "lon")).select("iata", F.col("lat").alias("alat"), F.col("lon").alias("alon")).withColumn("nth", first_here).where(F.col("nth") <= n).drop("nth")
+    right = right.withColumn("band", band(F.col("alat"))).withColumn("cell", at(F.col("alon"), cells_of(F.col("band"))))
+    # neither side is sent whole: planned sizes are those of packed files
+    near = left.join(right.hint("merge"), ["band", "cell"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))).where(F.col("km") <= radius_km)
+    w = Window.partitionBy("lat", "lon").orderBy("km", "iata")
+    best = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).groupBy("lat", "lon").agg(F.collect_list(F.struct("rank", "iata", "km")).alias("best"))
+    return asked.join(best.hint("merge"), ["lat", "lon"]).select("point_id", F.inline("best"))
