@@ -120,7 +120,8 @@ def replace_cached(cache: DataFrame, rows: DataFrame, key: str = "query") -> Dat
 
 def fresh(cache: DataFrame, now: Column, ttl_seconds: int = 900) -> DataFrame:
     """Rows fetched at most `ttl_seconds` ago."""
-    return cache.where(F.unix_timestamp(F.col("fetched_at").cast("timestamp")) >= F.unix_timestamp(now) - ttl_seconds)
+    # to the microsecond: whole seconds would let rows pass that are a part of one too old
+    return cache.where(F.unix_micros(F.col("fetched_at").cast("timestamp")) >= F.unix_micros(now.cast("timestamp")) - 1_000_000 * ttl_seconds)
 
 
 def recent_searches(history: DataFrame, n: int, tie: str = "id") -> DataFrame:

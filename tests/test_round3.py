@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import offers
 from siltstone.sources import files, payloads
+from siltstone.streaming import jobs
 
 CUT = "<title>t</title><script>a && b</script><p title='x&amp y'>one&amp</p><p>R&D &amp;amp; &#33; &#33</p><h1>two &lt;&lt</h1>"
 
@@ -26,3 +27,11 @@ def test_points_of_one_place_do_not_meet_all_airports_there(spark):
     got = {(r.point_id, r["rank"], r.iata) for r in near.collect()}
     assert got == {(p, i + 1, f"A{2 * i + (p == 299):03d}") for p in range(300) for i in range(3)}
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_cached_row_part_of_a_second_too_old_is_not_fresh(spark):
+    rows = spark.sql("SELECT 1 AS id, timestamp'2026-01-01 00:00:00.4' AS fetched_at UNION ALL SELECT 2, timestamp'2026-01-01 00:00:00.5'")
+    now = F.lit("2026-01-01 00:15:00.5").cast("timestamp")
+    assert [r.id for r in offers.fresh(rows, now).collect()] == [2]
+    latest = rows.selectExpr("'s' AS store", "CAST(id AS STRING) AS url", "1.0 AS price", "fetched_at").union(spark.sql("SELECT 's', 'now', 1.0, timestamp'2026-01-01 00:15:00.5'"))
+    assert {r.url for r in jobs.latest_offers(latest).collect()} == {"2", "now"}
