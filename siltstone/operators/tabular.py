@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltstone.functions.values import shuffled_place
+from siltstone.operators.donors import fit_donors, impute
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -99,84 +95,14 @@ def scale(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({c: ((F.col(f"`{c}`") - low) / (high - low) if high is not None and high > low else F.lit(0.0)) for c, (low, high) in limits.items()})
 
 
-#: Rows with nulls and donors of a block of knn_impute(): what one task holds of each.
-HOLE_ROWS, DONOR_ROWS = 1024, 8192
-
-
-def nearest_donors(columns: int, k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """For a block of rows with nulls and a block of donors: each null's k nearest donors, ties by donor key."""
-
-    def numbers(t: pa.Table) -> np.ndarray:
-        return np.stack([t.column(f"c{i}").to_numpy() for i in range(columns)], axis=1).astype(np.float64)
-
-    def found(holes: pa.Table, donors: pa.Table) -> pa.Table:
-        donors = donors.sort_by("key")
-        h, d = numbers(holes), numbers(donors)
-        known = ~np.isnan(d)
-        parts = []
-        patterns, of = np.unique(np.isnan(h), axis=0, return_inverse=True) if len(h) and len(d) else ([], None)
-        for p, missing in enumerate(patterns):
-            rows = np.flatnonzero(of.ravel() == p)
-            shared = known[:, ~missing].sum(1)
-            for at in range(0, len(rows), 128):
-                some = rows[at : at + 128]
-                far = np.zeros((len(some), len(d)))
-                for c in np.flatnonzero(~missing):
-                    far += np.where(known[:, c], np.square(h[some, c][:, None] - d[:, c]), 0.0)
-                far = np.where(shared > 0, np.sqrt(far * columns / np.maximum(shared, 1)), np.inf)
-                for c in np.flatnonzero(missing):
-                    usable = np.flatnonzero(known[:, c] & (shared > 0))
-                    if not len(usable):
-                        continue
-                    near = far[:, usable]
-                    last = np.partition(near, min(k, len(usable)) - 1, axis=1)[:, min(k, len(usable)) - 1]
-                    row, col = np.nonzero(near <= last[:, None])
-                    # donors are in the order of their keys, and the sort is stable
-                    order = np.lexsort((near[row, col], row))
-                    row, col = row[order], col[order]
-                    take = np.arange(len(row)) - np.searchsorted(row, row) < k
-                    row, col = row[take], col[take]
-                    parts.append((some[row], np.full(len(row), c), near[row, col], usable[col], d[usable[col], c]))
-        if not parts:
-            return schema.empty_table()
-        row, c, distance, donor, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table([holes.column("key").take(pa.array(row)), pa.array(c, pa.int32()), pa.array(distance), donors.column("key").take(pa.array(donor)), pa.array(value)], schema=schema)
-
-    return found
-
-
 def knn_impute(df: DataFrame, key: str, columns: list[str], k: int = 5) -> DataFrame:
     """Nulls of `columns` filled with the mean of the k nearest of all rows that have the column.
 
     Distance is Euclidean over the columns both rows have, scaled up for missing ones; ties
     go to the smaller key, which should be unique. NaN is missing too. A null without a row
-    to compare with stays. Blocks of rows with nulls meet blocks of donors, so a task is
-    bounded; the comparisons are rows with nulls times all rows.
+    to compare with stays. The rows are their own donors; see donors.impute().
     """
-    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    rows = df.select(F.col(key).alias("key"), *[value(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    hole = F.greatest(*[F.col(f"c{i}").isNull() for i in range(len(columns))]) if len(columns) > 1 else F.col("c0").isNull()
-    n, n_holes = rows.agg(F.count(F.lit(1)), F.count_if(hole)).first()
-    hole_blocks, donor_blocks = -(-max(n_holes, 1) // HOLE_ROWS), -(-max(n, 1) // DONOR_ROWS)
-
-    def block(count: int, seed: int) -> Column:
-        return F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(count)).cast("int")
-
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    holes = rows.where(hole).withColumn("hb", block(hole_blocks, 1)).withColumn("db", every(donor_blocks))
-    donors = rows.withColumn("db", block(donor_blocks, 2)).withColumn("hb", every(hole_blocks))
-    # columns of their own, as both sides come from the same rows
-    donors = donors.toDF(*donors.columns)
-    kind = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("no", T.IntegerType()), T.StructField("far", T.DoubleType()), T.StructField("donor", rows.schema["key"].dataType), T.StructField("value", T.DoubleType())])
-    near = holes.groupBy("hb", "db").cogroup(donors.groupBy("hb", "db")).applyInArrow(nearest_donors(len(columns), k, to_arrow_schema(kind)), kind)
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("key", "no").orderBy("far", F.col("donor").asc_nulls_last()))).where(F.col("rank") <= k)
-    listed = best.groupBy("key", "no").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("near"))
-    mean = F.aggregate("near", F.lit(0.0), lambda a, x: a + x["value"]) / F.size("near")
-    patched = listed.groupBy(F.col("key").alias(key)).agg(*[F.max(F.when(F.col("no") == i, mean)).alias(f"__{c}") for i, c in enumerate(columns)])
-    out = df.join(patched, key, "left")
-    return out.withColumns({c: F.coalesce(value(c), F.col(f"__{c}")) for c in columns}).select(*df.columns)
+    return impute(fit_donors(df, key, columns), df, key, k)[0]
 
 
 def derive_features(df: DataFrame) -> DataFrame:
