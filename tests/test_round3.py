@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import donors, offers
+from siltstone.operators import donors, names, offers
 from siltstone.sources import files, payloads
 from siltstone.streaming import jobs
 
@@ -54,3 +54,15 @@ def test_imputation_meets_cells_of_the_columns_that_both_have(spark):
         near = sorted((math.sqrt(((a - x) ** 2 + (c - z) ** 2) * 3 / 2), i, y) for i, x, y, z in rows)[:5]
         assert got[key] == pytest.approx(sum(y for *_, y in near) / 5, rel=1e-12)
     assert met.count() == 42 and met.agg(F.avg("n_met")).first()[0] < 200 and {r.n_donors for r in met.collect()} == {4596}
+
+
+def test_equal_names_and_equal_queries_are_met_once(spark):
+    names_ = ["Small ring Brand#1", "SMALL RING brand#1", "hot bolt 12", None, "vitamin d3"]
+    parts = spark.createDataFrame([(i, names_[i % 5]) for i in range(500)], "id long, name string")
+    asked = spark.createDataFrame([(i, ["ring zz", "RING zz ring", "bolt mall", "", "nothing", "1 ol"][i % 6]) for i in range(60)], "query_id long, query string")
+    index = names.index_names(parts, "id", "name")
+    assert index.spellings.count() == 3
+    pairs = {(q, i) for q, text in enumerate(["ring zz", "RING zz ring", "bolt mall", "", "nothing", "1 ol"] * 10) for i in range(500) if names_[i % 5] and any(w in names_[i % 5].lower() for w in text.lower().split())}
+    assert {tuple(r) for r in names.search_names(index, asked).collect()} == pairs
+    want = {(q, len(x := [i for p, i in pairs if p == q]), min(x), max(x)) for q in {q for q, _ in pairs}}
+    assert {tuple(r) for r in names.count_names(index, asked).collect()} == want
