@@ -8,15 +8,18 @@ blocks whose bound reaches it are searched then. Results are those of the full s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.retrieval import QUERY_BLOCK, ROW_BLOCK, LexicalIndex, best_of_block, deal_hot, matrix, top_k, weighted_terms
+from siltstone.operators.retrieval import (
+    ASKED_BLOCK, CHUNK_BLOCK, QUERY_BLOCK, ROW_BLOCK, LexicalIndex, best_of_block, best_scores, deal_hot, every_block, in_blocks, matrix, numbered, top_k, weigh_lists, weighted_terms,
+)
 from siltstone.session import written
 
 #: What bounds may lack by rounding.
@@ -37,33 +40,69 @@ def threshold(scores: DataFrame, k: int, slack: float = SLACK) -> DataFrame:
 
 #: Chunks of a block, as a power of two; a query's blocks that set its threshold.
 BLOCK_BITS, SEED_BLOCKS = 6, 8
+#: Terms of queries that go to every task, at most.
+FEW = 50_000
 
 
 @dataclass
 class BlockedIndex:
-    """postings (term, block, chunk_id, tf, len, weight) and bounds (term, block, most, n) of an index, for one k1 and b."""
+    """lists (block, chunk_id, len, terms, tfs) and bounds (term, block, most, n) of an index, for one k1 and b."""
 
     index: LexicalIndex
-    postings: DataFrame
+    lists: DataFrame
     bounds: DataFrame
+    k1: float
+    b: float
 
 
 def build_blocks(index: LexicalIndex, k1: float = 1.5, b: float = 0.75, bits: int = BLOCK_BITS) -> BlockedIndex:
     """Chunks in blocks of 2^bits neighbours, ordered by their most frequent term and their length.
 
     Neighbours share a language, so that their blocks lack the terms of others, and have similar
-    weights. The order is a range-partitioned sort; no task sees more than its range.
+    weights. The order is a range-partitioned sort of whole lists; no task sees more than its range.
     """
-    top = index.postings.groupBy("chunk_id", "len").agg(F.max_by("term", F.struct("tf", "term")).alias("top"))
-    ordered = top.repartitionByRange("top", "len", "chunk_id").sortWithinPartitions("top", "len", "chunk_id")
-    blocks = written(ordered.select("chunk_id", F.shiftright(F.monotonically_increasing_id(), bits).alias("block")), "blocks")
-    one = index.totals.select("avgdl")
+    most = F.array_max(F.arrays_zip(F.col("tfs").alias("tf"), F.col("terms").alias("term")))["term"]
+    ordered = index.lists.withColumn("top", most).repartitionByRange("top", "len", "chunk_id").sortWithinPartitions("top", "len", "chunk_id")
+    lists = written(ordered.select(F.shiftright(F.monotonically_increasing_id(), bits).alias("block"), "chunk_id", "len", "terms", "tfs"), "blocks")
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     # one row of totals, for all postings
-    postings = index.postings.join(blocks, "chunk_id").crossJoin(F.broadcast(one)).select("term", "block", "chunk_id", "tf", "len", weight.alias("weight"))
-    postings = written(postings, "block-postings")
-    bounds = written(postings.groupBy("term", "block").agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("n")), "bounds")
-    return BlockedIndex(index, postings, bounds)
+    each = lists.crossJoin(F.broadcast(index.totals.select("avgdl"))).select("block", "len", "avgdl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+    bounds = written(each.groupBy("term", "block").agg(F.max(weight).alias("most"), F.count(F.lit(1)).alias("n")), "bounds")
+    return BlockedIndex(index, lists, bounds, k1, b)
+
+
+def best_of_chosen(k: int, k1: float, b: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a group of blocks of lists the k best chunks, of scores over 0, of each query in the blocks that it has chosen.
+
+    `asked` holds both the terms of queries (query_id, term, weight_of_term, avgdl) and their chosen
+    blocks (query_id, chosen).
+    """
+
+    def best(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found = [pa.table({"query_id": asked["query_id"][:0], "chunk_id": rows["chunk_id"][:0], "score": pa.array([], pa.float64())})]
+        chosen = asked.filter(pc.is_valid(asked["chosen"]))
+        terms = asked.filter(pc.and_(pc.is_valid(asked["term"]), pc.is_in(asked["query_id"], chosen["query_id"].combine_chunks())))
+        if rows.num_rows and terms.num_rows:
+            rows = rows.sort_by([("block", "ascending"), ("chunk_id", "ascending")])
+            ids, of = numbered(terms["query_id"])
+            terms = terms.append_column("q", pa.array(of))
+            chosen = chosen.append_column("q", pc.index_in(chosen["query_id"], ids))
+            block, picked = rows["block"].to_numpy(), chosen["chosen"].to_numpy()
+            for x in np.intersect1d(block, picked):
+                asks = chosen.filter(pa.array(picked == x))["q"].combine_chunks().unique()
+                part = rows.slice(int(np.searchsorted(block, x)), int((block == x).sum()))
+                among = terms.filter(pc.is_in(terms["q"], asks))
+                own, q = numbered(among["query_id"])
+                for lo, scores in weigh_lists(part, among.set_column(among.schema.get_field_index("q"), "q", pa.array(q)), k1, b):
+                    row, at, score = best_scores(scores.T, k)
+                    over = score > 0
+                    found.append(pa.table({"query_id": own.take(pa.array(row[over])), "chunk_id": part["chunk_id"].take(pa.array(at[over] + lo)), "score": pa.array(score[over])}))
+        # of the blocks together, k of each query
+        out = pa.concat_tables(found).combine_chunks().sort_by([("query_id", "ascending"), ("score", "descending"), ("chunk_id", "ascending")])
+        _, of = numbered(out["query_id"])
+        return out.filter(pa.array(np.arange(len(of)) - np.searchsorted(of, of) < k)) if out.num_rows else out
+
+    return best
 
 
 def search_lexical_pruned(blocked: BlockedIndex, queries: DataFrame, k: int = 20, negative_idf: str = "floor", seeds: int = SEED_BLOCKS) -> tuple[DataFrame, DataFrame]:
@@ -74,21 +113,29 @@ def search_lexical_pruned(blocked: BlockedIndex, queries: DataFrame, k: int = 20
     """
     wanted = written(weighted_terms(blocked.index, queries, negative_idf), "wanted")
     # blocks that hold any of a query's terms, each with what it can give at most
-    met = deal_hot(wanted, blocked.bounds, blocked.index.terms, "block")
-    item = F.struct("term", "weight_of_term")
-    bounds = met.groupBy("query_id", "block").agg(F.sum(F.greatest(F.col("weight_of_term"), F.lit(0.0)) * F.col("most")).alias("bound"), F.sum("n").alias("n"), F.collect_list(item).alias("terms"))
+    few = wanted.count() <= FEW
+    met = blocked.bounds.join(F.broadcast(wanted), "term") if few else deal_hot(wanted, blocked.bounds, blocked.index.terms, "block")
+    bounds = met.groupBy("query_id", "block").agg(F.sum(F.greatest(F.col("weight_of_term"), F.lit(0.0)) * F.col("most")).alias("bound"), F.sum("n").alias("n"))
     bounds = written(bounds, "query-blocks")
+    cores = blocked.lists.sparkSession.sparkContext.defaultParallelism
+    n, n_asked = blocked.lists.count(), wanted.select("query_id").distinct().count()
+    row_blocks, query_blocks = max(1, -(-n // CHUNK_BLOCK), min(cores, n)), max(1, -(-n_asked // ASKED_BLOCK))
+    terms = wanted.select(every_block(row_blocks).alias("rb"), in_blocks("query_id", query_blocks).alias("qb"), "query_id", "term", "weight_of_term", "avgdl", F.lit(None).cast("long").alias("chosen"))
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("chunk_id", blocked.lists), ("query_id", wanted))}
 
     def scored(chosen: DataFrame) -> DataFrame:
-        each = chosen.select("query_id", "block", F.inline("terms"))
-        hits = each.join(blocked.postings, ["term", "block"])
-        return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight_of_term") * F.col("weight")), 9).alias("score"))
+        """The k best of each query in each group of blocks; only lists of blocks that any query has chosen are dealt."""
+        asks = chosen.select(in_blocks("block", row_blocks).alias("rb"), in_blocks("query_id", query_blocks).alias("qb"), "query_id", F.col("block").alias("chosen"))
+        rows = blocked.lists.join(chosen.select("block").distinct(), "block", "left_semi")
+        left = rows.select(in_blocks("block", row_blocks).alias("rb"), every_block(query_blocks).alias("qb"), "block", "chunk_id", "len", "terms", "tfs")
+        right = terms.unionByName(asks, allowMissingColumns=True)
+        return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(best_of_chosen(k, blocked.k1, blocked.b), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
 
-    first = _nth(bounds, [F.desc("bound"), F.col("block")], "nth").where(F.col("nth") <= seeds)
-    least = written(threshold(scored(first).where(F.col("score") > 0), k), "least")
+    first = written(_nth(bounds, [F.desc("bound"), F.col("block")], "nth").where(F.col("nth") <= seeds).drop("nth"), "seeds")
+    least = written(threshold(scored(first), k), "least")
     left = bounds.join(least, "query_id", "left").where(F.col("bound") > 0).where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
     left = written(left.drop("least"), "left")
-    hits = top_k(scored(left), k).where(F.col("score") > 0)
+    hits = top_k(scored(left), k)
     read = bounds.groupBy("query_id").agg(F.sum("n").alias("n_postings")).join(left.groupBy("query_id").agg(F.sum("n").alias("n_read")), "query_id", "left").na.fill(0, ["n_read"])
     return hits, read
 
@@ -167,12 +214,6 @@ def search_dense_pruned(clustered: ClusteredVectors, queries: DataFrame, k: int
     n_blocks, n_asked = clustered.blocks.count(), asked.count()
     ball_parts, query_parts = max(1, -(-n_blocks // ROW_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
 
-    def block(c: str, count: int) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
-
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
     def bound(balls: pa.Table, q: pa.Table) -> pa.Table:
         if not balls.num_rows or not q.num_rows:
             return pa.table({"query_id": q["query_id"][:0], "block": balls["block"][:0], "bound": pa.array([], pa.float64()), "n": balls["n"][:0]})
@@ -181,8 +222,8 @@ def search_dense_pruned(clustered: ClusteredVectors, queries: DataFrame, k: int
         of, at = np.divmod(np.arange(most.size), balls.num_rows)
         return pa.table({"query_id": q["query_id"].take(pa.array(of)), "block": balls["block"].take(pa.array(at)), "bound": most.ravel(), "n": balls["n"].take(pa.array(at))})
 
-    left = clustered.blocks.select(block("block", ball_parts).alias("bb"), every(query_parts).alias("qb"), "block", "centre", "radius", "n")
-    right = asked.select(every(ball_parts).alias("bb"), block("query_id", query_parts).alias("qb"), "query_id", "embedding")
+    left = clustered.blocks.select(in_blocks("block", ball_parts).alias("bb"), every_block(query_parts).alias("qb"), "block", "centre", "radius", "n")
+    right = asked.select(every_block(ball_parts).alias("bb"), in_blocks("query_id", query_parts).alias("qb"), "query_id", "embedding")
     bounds = written(left.groupBy("bb", "qb").cogroup(right.groupBy("bb", "qb")).applyInArrow(bound, f"query_id {kind}, block long, bound double, n long"), "query-balls")
 
     def scored(chosen: DataFrame) -> DataFrame:
