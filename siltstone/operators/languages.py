@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import slices
+
 #: Characters of a gram, and the buckets that grams are hashed to.
 GRAM, BUCKETS = 3, 4096
 #: Texts that were decoded wrongly: UTF-8 read as one byte a character, replacement characters.
@@ -54,12 +56,13 @@ def gram_buckets(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, n
 def train_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", buckets: int = BUCKETS) -> LanguageModel:
     """A model of all rows with a language; one is added to each bucket's count.
 
-    Buckets are counted inside each batch, so what is shuffled is a row for each batch, language
-    and bucket, and what reaches the driver is one for each language and bucket.
+    Buckets are counted inside each part of a batch, and summed in each task, so what is shuffled is
+    a row for each task, language and bucket, and what reaches the driver is one for each language
+    and bucket.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             found, starts = gram_buckets(batch.column("text"), buckets)
             lang = batch.column("lang").dictionary_encode()
             key = np.repeat(np.asarray(lang.indices).astype(np.int64), np.diff(starts)) * buckets + found
@@ -84,7 +87,7 @@ def guess_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id"
     buckets = model.logs.shape[1]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             found, starts = gram_buckets(batch.column("text"), buckets)
             n = np.diff(starts)
             sums = np.zeros((len(model.languages), len(n)))
