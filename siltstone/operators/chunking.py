@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import approx_tokens, chunk_id, title
-from siltstone.operators.structure import LEGAL, Patterns, articles, distinct_articles, page_of, strip_noise
+from siltstone.functions.text import approx_tokens, chunk_id, strip, title
+from siltstone.operators.structure import LEGAL, Patterns, articles, distinct_articles, page_begins, page_number, strip_noise
+from siltstone.session import slices, written
 
 SIZE, OVERLAP = 800, 150
 # Separators from the strongest to none.
@@ -83,18 +84,20 @@ def split_column(df: DataFrame, text_col: str, size: int = SIZE, overlap: int =
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, piece int, at long"
     length = token_length if by_tokens else len
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [list(zip(c := split_text(t, size, overlap, length), place_chunks(t, c), strict=True)) if t else [] for t in pdf[text_col]]
-            n = [len(f) for f in found]
-            out = pdf.loc[pdf.index.repeat(n)].reset_index(drop=True)
-            flat = [x for f in found for x in f]
-            out[text_col] = [x[0] for x in flat]
-            out["piece"] = pd.Series([i for k in n for i in range(k)], dtype="int32")
-            out["at"] = pd.Series([x[1] for x in flat], dtype="int64")
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
+            texts, pieces, places, of = [], [], [], []
+            for i, t in enumerate(batch.column(text_col).to_pylist()):
+                chunks = split_text(t, size, overlap, length) if t else []
+                texts += chunks
+                pieces += range(len(chunks))
+                places += place_chunks(t, chunks) if chunks else []
+                of += [i] * len(chunks)
+            out = batch.take(pa.array(of, pa.int64()))
+            out = out.set_column(out.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
+            yield out.append_column("piece", pa.array(pieces, pa.int32())).append_column("at", pa.array(places, pa.int64()))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 #: Longest first line that counts as a document's name.
@@ -123,28 +126,24 @@ def chunk_documents(
     name = F.regexp_replace(F.col(name_col), "\\.[^.]*$", "") if name_col else F.lit(None).cast("string")
     whole = F.array_join(pages_col, "\n\n") if pages_col else F.col(text_col)
     pages = F.transform(pages_col, lambda x: strip_noise(x, patterns)) if pages_col else F.array(strip_noise(F.col(text_col), patterns))
-    clean = docs.select(F.col(id_col).alias("doc"), F.array_join(pages, "\n\n").alias("text"))
-    # by the text as it was: boilerplate may be the first line
-    names = docs.select(F.col(id_col).alias("named"), title(whole, name, LONGEST_NAME).alias("law_name"))
-    found = distinct_articles(articles(clean, "doc", "text", patterns), "doc")
-    plain = clean.join(found.select("doc").distinct(), "doc", "left_anti")
+    # names by the text as it was: boilerplate may be the first line; exploded, so that a text is cleaned once
+    read = docs.select(F.col(id_col).alias("doc"), title(whole, name, LONGEST_NAME).alias("law_name"), F.explode(F.array(pages)).alias("pages"))
+    begins = page_begins(F.col("pages")) if pages_col else F.lit(None).cast("array<bigint>")
+    read = read.select("doc", "law_name", begins.alias("begins"), F.explode(F.array(F.array_join("pages", "\n\n"))).alias("text"))
+    has_articles = F.exists(F.split("text", "\n"), lambda x: strip(x).rlike(patterns.article))
     none = F.lit(None).cast("string")
-    units = found.select("doc", "nth", "article_number", "section", F.col("start_offset").alias("base"), "text", F.lit(True).alias("whole")).unionByName(
-        plain.select("doc", F.lit(0).alias("nth"), none.alias("article_number"), none.alias("section"), F.lit(0).cast("long").alias("base"), "text", F.lit(False).alias("whole"))
-    )
+    # a text without articles stays in its row from the file to the chunks
+    plain = split_column(read.where(~has_articles), "text", size, overlap, by_tokens)
+    plain = plain.select("doc", F.col("piece").alias("chunk_index"), "text", "law_name", none.alias("article_number"), none.alias("section"), F.col("at").alias("offset"), "begins")
+    # read more than once
+    legal = written(read.where(has_articles), "legal")
+    found = distinct_articles(articles(legal, "doc", "text", patterns), "doc")
     n = approx_tokens(F.col("text")) if by_tokens else F.length("text")
-    fits = F.col("whole") & (n <= size)
-    kept = units.where(fits).withColumns({"piece": F.lit(0), "at": F.lit(0).cast("long")})
-    chunks = kept.unionByName(split_column(units.where(~fits), "text", size, overlap, by_tokens))
-    index = F.row_number().over(Window.partitionBy("doc").orderBy("nth", "piece")) - 1
-    out = chunks.withColumn("chunk_index", index)
-    out = out.withColumn("offset", F.when(F.col("whole"), F.col("base")).otherwise(F.col("base") + F.col("at")))
-    if pages_col:
-        out = page_of(out, docs.select(F.col(id_col).alias("doc"), pages.alias("pages")), "doc")
-    else:
-        out = out.withColumn("page_number", F.lit(None).cast("int"))
-    out = out.join(names, F.col("doc") == F.col("named"), "left")
+    chunks = found.where(n <= size).withColumn("piece", F.lit(0)).unionByName(split_column(found.where(n > size), "text", size, overlap, by_tokens).drop("at"))
+    chunks = chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc").orderBy("nth", "piece")) - 1)
+    chunks = chunks.join(legal.select("doc", "law_name", "begins"), "doc")
+    out = plain.unionByName(chunks.select("doc", "chunk_index", "text", "law_name", "article_number", "section", F.col("start_offset").alias("offset"), "begins"))
     return out.select(
         F.col("doc").alias(id_col), "chunk_index", chunk_id(F.col("doc"), F.col("chunk_index")).alias("chunk_id"), "text",
-        F.length("text").alias("char_count"), "law_name", "article_number", "section", "page_number", F.col("offset").alias("start_offset"),
+        F.length("text").alias("char_count"), "law_name", "article_number", "section", page_number("begins", "offset").alias("page_number"), F.col("offset").alias("start_offset"),
     )

@@ -125,6 +125,19 @@ def distinct_articles(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.withColumn("again", F.row_number().over(w)).where("again = 1").drop("again")
 
 
+def page_begins(pages: Column) -> Column:
+    """Where each of several pages starts, parted by two characters; null for one page or none."""
+    lengths = F.transform(pages, lambda p: F.length(p).cast("bigint") + 2)
+    begins = F.transform(F.sequence(F.lit(0), F.size(pages) - 1), lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("bigint"), lambda a, n: a + n))
+    return F.when(F.size(pages) > 1, begins)
+
+
+def page_number(begins: Column | str, offset: Column | str) -> Column:
+    """The last page that starts at or before the offset, from 1; null without page_begins()."""
+    begins, offset = (F.col(c) if isinstance(c, str) else c for c in (begins, offset))
+    return F.when(begins.isNotNull(), F.size(F.filter(begins, lambda b: b <= offset)))
+
+
 def page_of(offsets: DataFrame, pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """`offsets` (id, offset) with page_number: the last page that starts at or before the offset.
 

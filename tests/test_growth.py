@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import pruned, retrieval
+from siltstone.operators import chunking, languages, pruned, retrieval
+from siltstone.session import slices
 
 
 def shuffled(spark, work) -> int:
@@ -43,3 +45,27 @@ def test_words_are_counted_in_their_row(spark):
     rows = spark.createDataFrame([(1, ["b", "a", "b", "c", "b"]), (2, []), (3, ["x"])], "id long, words array<string>")
     got = {r.id: (r.c.terms, r.c.tfs) for r in rows.select("id", retrieval.counted(F.col("words")).alias("c")).collect()}
     assert got == {1: (["a", "b", "c"], [1, 3, 1]), 2: ([], []), 3: (["x"], [1])}
+
+
+def test_texts_without_articles_are_chunked_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, "a heading\n" + "many plain words " * 200) for i in range(40)], "doc_id long, text string")
+    found = []
+    assert shuffled(spark, lambda: found.extend(chunking.chunk_documents(docs).collect())) == 0
+    assert len({r.doc_id for r in found}) == 40 and {r.law_name for r in found} == {"a heading"} and {r.chunk_index for r in found} == set(range(6))
+
+
+def test_articles_and_plain_texts_keep_names_and_pages(spark):
+    """A text is an article's on any of its pages; numbers of pages and names go to the chunks of both kinds."""
+    article = "12-modda. Soliq\nbody of it"
+    docs = spark.createDataFrame([(1, ["Name one", article]), (2, ["Name two", "plain"]), (3, ["Name three\n" + article])], "doc_id long, pages array<string>")
+    got = {(r.doc_id, r.chunk_index, r.law_name, r.article_number, r.page_number) for r in chunking.chunk_documents(docs, pages_col="pages").collect()}
+    assert got == {(1, 0, "Name one", "12", 2), (2, 0, "Name two", None, 1), (3, 0, "Name three", "12", None)}
+
+
+def test_a_worker_holds_parts_of_a_batch():
+    texts = ["a" * 300, None, "b" * 5000, "", "c" * 700, "d" * 400]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(6)), "text": texts})
+    parts = list(slices(batch, "text", 1000))
+    assert [p["id"].to_pylist() for p in parts] == [[0, 1], [2], [3, 4], [5]]
+    assert list(slices(batch.slice(0, 0), "text")) == []
+    assert sum(len(languages.gram_buckets(p["text"])[0]) for p in parts) == len(languages.gram_buckets(batch["text"])[0])
