@@ -210,6 +210,10 @@ def mix_slices(slices: dict[str, tuple[DataFrame, float]], total: int, key: str,
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Steps of a component of a direction, as many as two bytes hold.
+STEPS = 32767
+
+
 def near_copies(embedded: DataFrame, key: str, cosine: float = 0.95, bands: int = 48, bits: int = 14, block: int = 1024, seed: int = 42) -> DataFrame:
     """(key, other, cosine): rows of (key, embedding) that are near, key < other; keys should be unique.
 
@@ -220,6 +224,9 @@ def near_copies(embedded: DataFrame, key: str, cosine: float = 0.95, bands: int
     with that key. A band that many rows share is dealt into blocks of which each pair is a group
     of its own, so a task is bounded and only near pairs leave it. Null and zero vectors are near
     to nothing, and vectors of another length than the most common one (of those, the longer) are left out.
+
+    Bands meet on directions in steps of 1 / STEPS, two bytes a component, with a bound that no
+    near pair fails; the pairs that pass get their vectors and are judged by those.
     """
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     rows = embedded.select(F.col(key).alias("key"), "embedding", F.xxhash64("embedding").alias("h")).where(norm > 0)
@@ -229,6 +236,8 @@ def near_copies(embedded: DataFrame, key: str, cosine: float = 0.95, bands: int
     classes = rows.groupBy("h").agg(F.min_by("embedding", "key").alias("embedding"), F.min("key").alias("key"))
     kind = rows.schema["key"].dataType.simpleString()
     planes = np.random.default_rng(seed).standard_normal((dimension, bands * bits))
+    # a component is off by half a step at most, so a product of two directions by their lengths times that; single precision adds less than the rest
+    least = cosine - (1.01 * dimension**0.5 / STEPS + 1e-5 * max(1, dimension // 64))
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -240,42 +249,50 @@ def near_copies(embedded: DataFrame, key: str, cosine: float = 0.95, bands: int
             signs = (vectors(batch.column("embedding")) @ planes > 0).reshape(-1, bands, bits)
             found = (signs @ weights) * bands + np.arange(bands)
             ends = pa.array(np.arange(len(found) + 1) * bands, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "embedding")), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], ["key", "embedding", "codes"])
-
-    coded = classes.select("key", "embedding").mapInArrow(codes, f"key {kind}, embedding array<{embedded.schema['embedding'].dataType.elementType.simpleString()}>, codes array<bigint>")
-    posted = coded.select("key", "embedding", F.explode("codes").alias("code"))
-    sizes = posted.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    dealt = posted.join(sizes, "code").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+            with np.errstate(invalid="ignore", over="ignore"):
+                v = vectors(batch.column("embedding"))
+                near = np.rint(np.nan_to_num(v / np.linalg.norm(v, axis=1, keepdims=True)) * STEPS).astype(np.int16)
+            places = pa.array(np.arange(len(near) + 1) * dimension, pa.int32())
+            lists = [pa.ListArray.from_arrays(places, pa.array(near.ravel())), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *lists], ["key", "direction", "codes"])
+
+    coded = written(classes.select("key", "embedding").mapInArrow(codes, f"key {kind}, direction array<smallint>, codes array<bigint>"), "directions")
+    posted = coded.select("key", "direction", F.explode("codes").alias("code"))
+    # of a block's rows and more each, so there are few
+    large = posted.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("code", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = posted.join(F.broadcast(large), "code", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # small bands share groups, as many as rows fill; each pair of blocks of a large one is a group
-    spread = max(1, -(-rows.count() * bands // (16 * block)))
+    spread = max(1, -(-coded.count() * bands // (16 * block)))
     b0, b1 = F.least("mine", "with"), F.greatest("mine", "with")
     group = F.when(F.col("blocks") > 1, F.xxhash64("code", b0, b1)).otherwise(F.pmod(F.xxhash64("code"), F.lit(spread)))
-    met = met.select(group.alias("group"), (F.col("blocks") > 1).alias("large"), "code", b0.alias("b0"), b1.alias("b1"), "mine", "key", "embedding")
+    met = met.select(group.alias("group"), (F.col("blocks") > 1).alias("large"), "code", b0.alias("b0"), b1.alias("b1"), "mine", "key", "direction")
     key_type = to_arrow_type(rows.schema["key"].dataType)
-    out = pa.schema([("key", key_type), ("other", key_type), ("cosine", pa.float64())])
+    out = pa.schema([("key", key_type), ("other", key_type)])
 
     def compare(table: pa.Table) -> pa.Table:
-        v = vectors(table["embedding"])
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        v = vectors(table["direction"]).astype(np.float32) / np.float32(STEPS)
         code, mine, b0, b1 = (table[c].to_numpy() for c in ("code", "mine", "b0", "b1"))
         order = np.lexsort((b1, b0, code))
         borders = np.flatnonzero((np.diff(code[order]) != 0) | (np.diff(b0[order]) != 0) | (np.diff(b1[order]) != 0)) + 1
         found = []
         for at in np.split(order, borders):
             left, right = at[mine[at] == b0[at[0]]], at[mine[at] == b1[at[0]]]
-            near = v[left] @ v[right].T
-            i, j = np.nonzero(near >= cosine)
+            i, j = np.nonzero(v[left] @ v[right].T >= least)
             apart = left[i] < right[j] if b0[at[0]] == b1[at[0]] else left[i] != right[j]
-            found.append((left[i][apart], right[j][apart], near[i, j][apart]))
-        i, j, near = (np.concatenate([f[k] for f in found]) for k in range(3))
+            found.append((left[i][apart], right[j][apart]))
+        i, j = (np.concatenate([f[k] for f in found]) for k in range(2))
         keys = table["key"].combine_chunks()
         a, b = keys.take(pa.array(i)), keys.take(pa.array(j))
         swap = pc.greater(a, b)
-        return pa.table([pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(near)], schema=out)
+        return pa.table([pc.if_else(swap, b, a), pc.if_else(swap, a, b)], schema=out)
 
-    near = met.groupBy("group", "large").applyInArrow(compare, f"key {kind}, other {kind}, cosine double")
-    near = near.groupBy("key", "other").agg(F.max("cosine").alias("cosine"))
+    pairs = met.groupBy("group", "large").applyInArrow(compare, f"key {kind}, other {kind}").distinct()
+    unit = classes.withColumn("norm", norm).select("key", F.transform("embedding", lambda x: x / F.col("norm")).alias("unit"))
+    both = pairs.join(unit, "key").join(unit.select(F.col("key").alias("other"), F.col("unit").alias("second")), "other")
+    product = F.aggregate(F.zip_with("unit", "second", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    near = both.select("key", "other", product.alias("cosine")).where((F.col("cosine") >= cosine) & ~F.isnan("cosine"))
     copies = rows.select("h", F.col("key").alias("other")).join(classes.select("h", "key"), "h").where("key < other")
     return near.unionByName(copies.select("key", "other", F.lit(1.0).alias("cosine")))
 
