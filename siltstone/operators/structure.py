@@ -8,11 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import squeeze, strip
+from siltstone.session import parts_for
 
 # Words for ordinal numbers in headings, and the patterns of headings.
 ORDINALS = "Birinchi|Ikkinchi|Uchinchi|Toʻrtinchi|Beshinchi|Oltinchi|Yettinchi|Sakkizinchi|Toʻqqizinchi|Oʻninchi"
 
 
+#: Characters of text of a part.
+PART = 16_000_000
+
+
 @dataclass(frozen=True)
 class Patterns:
     """What headings look like: number in group 1, title on the same line in group 2."""
@@ -37,8 +42,13 @@ def strip_noise(text: Column, patterns: Patterns = LEGAL) -> Column:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, raw, line, offset): each line, stripped too, and where it starts in the text."""
-    each = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
+    """(id, pos, raw, line, offset): each line, stripped too, and where it starts in the text.
+
+    Texts are dealt by id before they are cut, in parts of about PART characters, so that what
+    later steps sort in a task does not grow with the table.
+    """
+    parts = parts_for(docs.sparkSession, docs.agg(F.sum(F.length(text_col))).first()[0] or 0, PART)
+    each = docs.select(id_col, text_col).repartition(parts, id_col).select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
     before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return each.select(id_col, "pos", "raw", strip(F.col("raw")).alias("line"), F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)).alias("offset"))
 

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from siltstone.operators import instructions, retrieval, tabular
+from siltstone.operators import instructions, retrieval, structure, tabular
+from siltstone.plans.bindings import OFFERS, bound
 from tests.test_growth import shuffled
 
 
@@ -51,3 +52,17 @@ def test_models_are_compared_on_rows_made_once(spark):
     train, test = tabular.split_rows(tabular.assemble(rows, ["a", "b"], "y"), "id")
     got = {r.model: r for r in tabular.compare_models(["bayes", "tree", "logistic"], train, test, "id").collect()}
     assert made.value <= 800 and got["tree"].accuracy == 1.0 and set(got) == {"bayes", "tree", "logistic"}
+
+
+def test_lines_are_dealt_in_parts_of_so_many_characters(spark, monkeypatch):
+    monkeypatch.setattr(structure, "PART", 1000, raising=False)
+    docs = spark.createDataFrame([(i, "a line\n" * 50) for i in range(60)], "doc_id long, text string")
+    found = structure.lines(docs)
+    assert found.rdd.getNumPartitions() >= 21 and found.count() == 60 * 51
+    assert structure.lines(docs.where("false")).count() == 0
+
+
+def test_offers_are_dealt_in_parts_of_so_many_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    dealt = bound(spark, sf, OFFERS, {"lineitem": "l_partkey", "part": "p_partkey"}, rows_each=500)
+    assert dealt.rdd.getNumPartitions() >= 12 and sorted(map(str, dealt.collect())) == sorted(map(str, bound(spark, sf, OFFERS).collect()))
