@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.session import read_table
+from siltstone.session import parts_for, read_table
 
 OFFERS = """
 SELECT l_orderkey * 10 + l_linenumber AS offer_id, p_partkey AS product, s_name AS store, p_name AS name,
@@ -68,10 +68,18 @@ def tables_of(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
 
-def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The binding over the tables in `sf_dir`."""
+def bound(spark: SparkSession, sf_dir: str, sql: str, dealt: dict[str, str] | None = None, rows_each: int = 500_000) -> DataFrame:
+    """The binding over the tables in `sf_dir`.
+
+    Those in `dealt` are dealt by the column given there, all in as many parts as keep a part of the largest at
+    some `rows_each` rows; what joins and groups by these columns then stays in its part.
+    """
     text = sql.replace("sha256(text)", "sha2(text, 256)").replace("sha256(concat(text, '!'))", "sha2(concat(text, '!'), 256)")
-    return spark.sql(text, **{t: read_table(spark, sf_dir, t) for t in tables_of(sql)})
+    tables = {t: read_table(spark, sf_dir, t) for t in tables_of(sql)}
+    if dealt:
+        parts = parts_for(spark, max(tables[t].count() for t in dealt), rows_each)
+        tables |= {t: tables[t].repartition(parts, by) for t, by in dealt.items()}
+    return spark.sql(text, **tables)
 
 
 def duck(sql: str) -> str:
