@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.values import shuffled_place
 from siltstone.operators.donors import fit_donors, impute
+from siltstone.session import written
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -181,10 +182,12 @@ def classification_metrics(scored: DataFrame) -> DataFrame:
 
     Counts per distinct score are dealt into ranges of scores of about equal size; how many
     negatives lie below a score are those of the ranges before and those below it in its range.
-    So no task sees all scores, however many differ.
+    So no task sees all scores, however many differ. The counts are written, so that what gives
+    the scores runs once.
     """
     hit = lambda label, said: F.count_if((F.col("label") == label) & (F.col("prediction") == said))
     by_score = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label") == F.col("prediction")).alias("right"), hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"))
+    by_score = written(by_score, "scores")
     cuts = by_score.withColumn("score", F.col("score").cast("double")).approxQuantile("score", [i / SCORE_RANGES for i in range(1, SCORE_RANGES)], 0.5 / SCORE_RANGES)
     place = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("score"))) if cuts else F.lit(0)
     by_score = by_score.withColumn("range", place)
@@ -201,7 +204,14 @@ def classification_metrics(scored: DataFrame) -> DataFrame:
 
 
 def compare_models(kinds: list[str], train: DataFrame, test: DataFrame, key: str) -> DataFrame:
-    """Metrics of each kind, one row per model."""
+    """Metrics of each kind, one row per model.
+
+    Both tables are read many times, so they are written first; training rows are dealt by key and
+    sorted, so that models that draw rows by their place draw the same again.
+    """
+    weight = [c for c in ("weight",) if c in train.columns]
+    train = written(train.select(key, "features", "label", *weight).repartition(key).sortWithinPartitions(key), "train")
+    test = written(test.select(key, "features", "label"), "test")
     out = None
     for kind in kinds:
         row = classification_metrics(predictions(fit_model(kind, train), test, key)).withColumn("model", F.lit(kind))
